@@ -11,9 +11,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from .word_cache import WordCache
+
 # The pre-tokenizer pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,97 +28,87 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers. Bounded: emptied when full.
-
-    Words not met before go to the library joined by a letter that takes part in no merge, which
-    keeps every word to itself; a word that holds this letter is encoded alone.
-    """
+class WordEncoder:
+    """Whole texts -> ids. Words not met before go to the library together: two letters that take part
+    in no merge part their pieces and the words, so every piece is encoded by itself; a word that
+    holds one of the two is encoded alone."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         whole = Tokenizer.from_file(path)
-        self.model, self.limit = Tokenizer(whole.model), cached_words
-        self.find = regex.compile(PATTERN).findall
+        self.model = Tokenizer(whole.model)
         self.letters = _byte_letters()
         self.special = [(t.content, i) for i, t in whole.get_added_tokens_decoder().items()]
         merged = set("".join("".join(m) for m in json.loads(whole.to_str())["model"]["merges"]))
-        self.mark_byte = next(b for b in range(128) if self.letters[b] not in merged)
-        self.mark = self.letters[self.mark_byte]
-        self.mark_id = whole.token_to_id(self.mark)
-
-    def _letters(self, piece: str) -> str:
-        return piece.encode("utf-8").decode("latin-1").translate(self.letters)
-
-    def _pack(self, text: str) -> bytes:
-        ids = [i for p in self.find(text) for i in self.model.encode(self._letters(p), add_special_tokens=False).ids]
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self[word] = self._pack(" " + word)
-        return packed
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode the words that are new, together."""
-        new = words.difference(self)
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = words
-        odd = chr(self.mark_byte)
-        new = [w for w in new if odd not in w]
-        if not new:
-            return
-        cut = [[" " + w] if w.isalpha() else self.find(" " + w) for w in new]
-        joined = [self._letters(odd.join([p for c in cut[i : i + 128] for p in c])) for i in range(0, len(cut), 128)]
+        free = [b for b in range(32) if self.letters[b] not in merged and not chr(b).isspace()][:2]
+        self.piece_mark, self.word_mark = map(chr, free)
+        self.piece_id, self.word_id = (whole.token_to_id(self.letters[b]) for b in free)
+        self.find = regex.compile(PATTERN).findall
+        # the same pattern for words that are parted by marks: a mark ends a word as the text's end does
+        mark = self.word_mark
+        marked = PATTERN.replace(r"\p{N}]+", rf"\p{{N}}{mark}]+").replace(r"(?!\S)", rf"(?![^\s{mark}])")
+        self.find_marked = regex.compile(f"{mark}|{marked}").findall
+        self.cache = WordCache(self._words, mark_first=True)
+
+    def _letters(self, text: str) -> str:
+        return text.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _alone(self, text: str) -> list[int]:
+        return [i for p in self.find(text) for i in self.model.encode(self._letters(p), add_special_tokens=False).ids]
+
+    def _words(self, words: list[bytes], first: list[bool]) -> list[list[int]]:
+        """Ids of words, each with the space before it unless it begins a text."""
+        texts = [w.decode() if f else " " + w.decode() for w, f in zip(words, first, strict=True)]
+        odd = {i: self._alone(t) for i, t in enumerate(texts) if self.piece_mark in t or self.word_mark in t}
+        if odd:
+            texts = ["" if i in odd else t for i, t in enumerate(texts)]
+        joined = []
+        for at in range(0, len(texts), 256):
+            pieces = self.find_marked(self.word_mark.join(texts[at : at + 256]) + self.word_mark)
+            joined.append(self._letters(self.piece_mark.join(pieces)))
         ids: list[int] = []
         for encoded in self.model.encode_batch_fast(joined, add_special_tokens=False):
             ids += encoded.ids
-            ids.append(self.mark_id)
-        packed = np.array(ids, "<u4")
-        real = packed != self.mark_id
-        ends = np.cumsum(real)[~real][np.cumsum(list(map(len, cut))) - 1] * 4  # bytes up to each word's end
-        packed = packed[real].tobytes()
-        begin = 0
-        for word, end in zip(new, ends.tolist(), strict=True):
-            self[word] = packed[begin:end]
-            begin = end
-
-    def _ordinary(self, text: str, words: list[str]) -> bytes:
-        if "  " in text:
-            return self._pack(text)
-        return self._pack(words[0]) + b"".join(map(self.__getitem__, words[1:]))
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids of one whole text; null counts as empty."""
+        flat = np.array(ids, np.int64)
+        flat = flat[flat != self.piece_id]
+        ends = np.flatnonzero(flat == self.word_id)
+        ends -= np.arange(len(ends))
+        kept = flat[flat != self.word_id].tolist()
+        out = [kept[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i, own in odd.items():
+            out[i] = own
+        return out
+
+    def _whole(self, text: str) -> np.ndarray | None:
+        """Ids of a text that can't be cut before its spaces; None for others."""
         for content, token in self.special:
-            if text and content in text:
-                mark = int(token).to_bytes(4, "little")
-                return mark.join(self.packed(part) for part in text.split(content))
-        return self._ordinary(text, text.split(" ")) if text else b""
-
-    def packed_many(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
-        """Ids of many texts, their new words learnt in groups of about so many characters."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for i, text in enumerate(texts):
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= chars or i + 1 == len(texts):
-                cut = [t.split(" ") for t in group]
-                self._learn(set().union(*(c[1:] for t, c in zip(group, cut, strict=True) if "  " not in t)))
-                for t, c in zip(group, cut, strict=True):
-                    out.append(self.packed(t) if any(x in t for x, _ in self.special) else self._ordinary(t, c))
-                group, size = [], 0
+            if content in text:
+                parts = [x for p in self.ids_many(text.split(content)) for x in (p, np.array([token], np.uint16))]
+                return np.concatenate(parts[:-1])
+        if not text or "  " in text:
+            return np.array(self._alone(text), np.uint16)
+        return None
+
+    def ids_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts; null counts as empty."""
+        out = [self._whole(t or "") for t in texts]
+        plain = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(plain, self.cache.encode_texts([texts[i].encode("utf-8") for i in plain]), strict=True):
+            out[i] = ids
         return out
 
+    def packed_many(self, texts: list[str | None]) -> list[bytes]:
+        """The same, as little-endian unsigned 32-bit integers."""
+        return [ids.astype("<u4").tobytes() for ids in self.ids_many(texts)]
+
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.packed(text), "<u4")
+        return self.ids_many([text])[0]
 
 
 @lru_cache(maxsize=2)

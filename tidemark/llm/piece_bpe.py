@@ -21,22 +21,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_cache import WordCache
+
 MARK = "▁"
-CACHED_WORDS = 300_000
 CACHED_PAIRS = 500_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class PrefixTable(dict):
-    """Word (without spaces, after its space mark) -> packed ids."""
+class PrefixTable:
+    """Whole texts -> ids, by the tables of last tokens of their words."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
 
-        super().__init__()
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit = cached_words
+        self.cache = WordCache(self._words, mark_first=False)
         ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = {sp.id_to_piece(i): i for i in ordinary}
         self.rank = {p: (-sp.get_score(i), i) for p, i in pieces.items()}
@@ -94,7 +94,7 @@ class PrefixTable(dict):
             at -= length[at]
         return out[::-1]
 
-    def _pack(self, text: str) -> bytes:
+    def _ids(self, text: str) -> list[int]:
         out: list[int] = []
         run = ""
         for c in text:
@@ -104,38 +104,45 @@ class PrefixTable(dict):
             out += self._known_run(run) if run else []
             out += [self.byte[b] for b in c.encode("utf-8")]
             run = ""
-        out += self._known_run(run) if run else []
-        return np.array(out, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        packed = self[word] = self._pack(MARK + word)
-        return packed
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids of one whole text without begin and end."""
+        return out + self._known_run(run) if run else out
+
+    def _words(self, words: list[bytes], first: list[bool]) -> list[list[int]]:
+        known = self.known.issuperset
+        out = []
+        for w in words:
+            text = MARK + w.decode()
+            out.append(self._known_run(text) if known(text) else self._ids(text))
+        return out
+
+    def _whole(self, text: str) -> list[int] | None:
+        """Ids of a text whose words can't be parted at single spaces; None for others."""
         if not text:
-            return b""
+            return []
         if not self.normal or MARK in text or "\0" in text:
             text = self.library.normalize(text)
-        else:
-            words = text.split(" ")
-            if "" not in words:
-                return b"".join(map(self.__getitem__, words))
+        elif "  " in text or text[0] == " " or text[-1] == " ":
             text = MARK + text.replace(" ", MARK)
-        # runs of marks belong to the word after them
+        else:
+            return None
+        # a run of marks belongs to the word after it
         out, pending = [], ""
         for word in text.split(MARK)[1:] if text.startswith(MARK) else [text]:
-            if word == "":
-                pending += MARK
-            else:
-                out.append(self._pack(pending + MARK + word) if pending else self[word])
+            pending += MARK
+            if word:
+                out += self._ids(pending + word)
                 pending = ""
-        return b"".join(out) + (self._pack(pending) if pending else b"")
+        return out + self._ids(pending) if pending else out
+
+    def ids_many(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of whole texts without begin and end; null counts as empty."""
+        out = [self._whole(t or "") for t in texts]
+        plain = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(plain, self.cache.encode_texts([texts[i].encode("utf-8") for i in plain]), strict=True):
+            out[i] = ids.tolist()
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [self.library.bos_id(), *np.frombuffer(self.packed(text), "<u4").tolist(), self.library.eos_id()]
+        return [self.library.bos_id(), *self.ids_many([text])[0], self.library.eos_id()]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -154,15 +161,15 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         import pyarrow as pa
 
         pieces = table(model)
-        begin, end = (np.array([x], "<u4").tobytes() for x in (pieces.library.bos_id(), pieces.library.eos_id()))
+        begin, end = pieces.library.bos_id(), pieces.library.eos_id()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = []
-                for text in part.column(1).to_pylist():
-                    packed = begin + pieces.packed(text) + end
-                    decoded = pieces.decode(np.frombuffer(packed, "<u4").tolist())
-                    rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+                for found in pieces.ids_many(part.column(1).to_pylist()):
+                    ids = [begin, *found, end]
+                    packed = np.array(ids, "<u4").tobytes()
+                    rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(pieces.decode(ids).encode("utf-8")).hexdigest()))
                 n, ids, back = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
