@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCORED = "doc_id long, score double"
+from .shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str = "quality") -> Model:
+    small_batches(docs.sparkSession)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != cfg.held_fold))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_rows)  # bounded, so it can be broadcast
@@ -195,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
 
 def score(docs: DataFrame, model: Model, cfg: NbSvm = NbSvm()):
     """A string column function: text -> score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -86,6 +86,7 @@ def pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 def pieces(docs: DataFrame, cfg: Packing, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per piece of each whole document, with the crc32 of its ids."""
+    small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator:
         import pyarrow as pa

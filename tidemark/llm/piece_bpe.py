@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .word_cache import WordCache
 
 MARK = "▁"
@@ -156,6 +157,7 @@ def table(path: str) -> PrefixTable:
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per document: number of ids, digest of the ids, digest of the decoded text. No shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator:
         import pyarrow as pa

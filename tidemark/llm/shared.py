@@ -31,6 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+TEXTS_PER_BATCH = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python at most TEXTS_PER_BATCH at a time, so that a worker's memory stays
+    bounded; a lower setting of the session is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_PER_BATCH:
+        spark.conf.set(key, TEXTS_PER_BATCH)
+
+
 def open_fs(path: str):
     """(file system, path inside it) of any URI that pyarrow can open; used inside tasks."""
     from pyarrow import fs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import materialise, skew_safe_lookup
+from .shared import materialise, skew_safe_lookup, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -58,6 +58,7 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator:
         import pyarrow as pa

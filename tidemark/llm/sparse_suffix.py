@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, small_batches
 
 SPANS = "doc_id long, start_word long, end_word long, n_words long, first boolean"
 CHUNK = 1 << 18  # words of a long text that are hashed at once
@@ -181,6 +181,7 @@ def compare_neighbours(rows: DataFrame, name: str) -> DataFrame:
 
 def _per_text(rows: DataFrame, cfg: Passages, with_suffixes: bool) -> DataFrame:
     """(hash, doc_id, text_key, place) of the minimisers, or of the stretches around given suffixes."""
+    small_batches(rows.sparkSession)
 
     def run(batches) -> Iterator:
         import pyarrow as pa

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repair_codec
-from .shared import make_dir, open_fs, shared_path
+from .shared import make_dir, open_fs, shared_path, small_batches
 
 MANIFEST = "part int, path string, documents long, ids long, bytes long"
 DOCUMENT_IDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -40,6 +40,7 @@ def write_tokens(docs: DataFrame, folder: str, fmt: TokenFormat, id_col: str = "
     """Write the files; returns their manifest (a row a file) in the order of the ids."""
     spark = docs.sparkSession
     make_dir(folder)
+    small_batches(spark)
 
     def write(batches) -> Iterator:
         import uuid

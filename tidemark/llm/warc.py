@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import make_dir, materialise, open_fs, shared_path, skew_safe_lookup
+from .shared import make_dir, materialise, open_fs, shared_path, skew_safe_lookup, small_batches
 
 # Fixed values of the archive format.
 VERSION = "WARC/1.0"
@@ -135,6 +135,7 @@ class _Writer:
 def write_responses(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """A response record per row; returns the manifest, a row per archive."""
     make_dir(folder)
+    small_batches(pages.sparkSession)
 
     def run(batches) -> Iterator:
         out = _Writer(folder, level)

@@ -22,7 +22,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class WordCache:
     """encode(words, first) -> ids of each word; first says whether a word begins its text."""
 
-    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], mark_first: bool, bits: int = 21, width: int = 12, group: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], mark_first: bool, bits: int = 20, width: int = 12, group: int = 1 << 19):
         self.encode, self.mark_first, self.shift, self.width, self.group = encode, mark_first, np.uint64(64 - bits), width, group
         self.key = np.zeros(1 << bits, np.uint64)
         self.front = np.zeros(1 << bits, np.uint64)
