@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, skew_safe_lookup
+from .shared import free_name, materialise, skew_safe_lookup
 
 INDEX = "digest binary, keep_id long, copies long"
 
@@ -68,7 +68,8 @@ class DigestIndex:
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = index.ingest(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keyed = docs.withColumn("_text_digest", text_digest(text_col))
-    joined = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_text_digest"] == kept["_digest"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_text_digest"]).select(*docs.columns)
+    one, digest, other = (free_name(docs, c) for c in ("kept_id", "text_digest", "kept_digest"))
+    kept = index.ingest(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(one), F.col("digest").alias(other)).distinct()
+    keyed = docs.withColumn(digest, text_digest(text_col))
+    joined = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(digest) == F.col(other)), "left_semi")
+    return joined.dropDuplicates([id_col, digest]).select(*docs.columns)

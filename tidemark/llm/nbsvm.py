@@ -206,8 +206,13 @@ def score(docs: DataFrame, model: Model, cfg: NbSvm = NbSvm()):
     return scored
 
 
+def accept(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm()) -> DataFrame:
+    """The documents that are predicted to have label 1, as they are."""
+    return docs.filter(score(docs, train(docs, labels, cfg), cfg)("text") >= cfg.threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm()) -> DataFrame:
-    """docs with held_out, score and predicted."""
+    """docs with held_out, score and predicted, which replace columns of these names."""
     scored = score(docs, train(docs, labels, cfg), cfg)
     return (
         docs.withColumn("held_out", fold(F.col("doc_id")) == cfg.held_fold)

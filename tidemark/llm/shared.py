@@ -42,6 +42,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXTS_PER_BATCH)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base with underscores behind it, so that no column of df has the name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def open_fs(path: str):
     """(file system, path inside it) of any URI that pyarrow can open; used inside tasks."""
     from pyarrow import fs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import materialise, skew_safe_lookup, small_batches
+from .shared import free_name, materialise, skew_safe_lookup, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -203,6 +203,9 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    stays = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(stays.select(F.col("doc_id").alias("_id")).distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near-duplicates stays: the one with the least doc_id. Rows without
+    a doc_id can't be told apart by it and all stay; so do rows that share the least doc_id."""
+    mine = free_name(docs, "stays_id")
+    stays = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(stays, F.col(id_col).cast("long") == F.col(mine), "left_semi")
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))

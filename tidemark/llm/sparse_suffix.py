@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import free_name, materialise, small_batches
 
 SPANS = "doc_id long, start_word long, end_word long, n_words long, first boolean"
 CHUNK = 1 << 18  # words of a long text that are hashed at once
@@ -249,16 +249,17 @@ def remove_repeats(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "d
     """Documents without their later occurrences of passages; what is left without a word goes. The
     first occurrence of each passage stays where it is, and other texts stay as they are."""
     later = repeated_passages(docs, cfg, id_col, text_col).filter(~F.col("first"))
-    cuts = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
-    cuts = cuts.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
+    one, key, spans = (free_name(docs, c) for c in ("cut_id", "cut_key", "cut_spans"))
+    cuts = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
+    cuts = cuts.withColumnsRenamed({"doc_id": one, "text_key": key})
+    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.xxhash64(text_col) == F.col(key)), "left")
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if s is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]))
+    def cut(texts, found):
+        return texts.combine(found, lambda t, s: t if s is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]))
 
-    whole = joined.filter("_cuts is null")
-    changed = joined.filter("_cuts is not null").withColumn(text_col, cut(text_col, "_cuts"))
+    whole = joined.filter(F.col(spans).isNull())
+    changed = joined.filter(F.col(spans).isNotNull()).withColumn(text_col, cut(text_col, spans))
     changed = changed.filter(F.length(F.trim(F.regexp_replace(text_col, r"[\x09-\x0D]", " "))) > 0)
     if length_col and length_col in docs.columns:
         changed = changed.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
