@@ -333,7 +333,7 @@ def date_signal(spark, sf_dir):
     return _market(spark, sf_dir).select("event_id", "action")
 
 
-@query(f"""WITH {_SIGNALS} SELECT event_id FROM acted WHERE pos <= (SELECT max(pos) FROM acted WHERE action <> 0)
+@query(f"""WITH {_SIGNALS} SELECT event_id FROM acted WHERE (SELECT count(*) FROM acted WHERE action <> 0) < {len({*BUYS, *SELLS})} OR pos <= (SELECT max(pos) FROM acted WHERE action <> 0)
     + (SELECT max_by(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, pos) FROM acted WHERE action <> 0)""")
 def until_last_signal(spark, sf_dir):
     return orders.until_done(_market(spark, sf_dir), len({*BUYS, *SELLS})).select("event_id")
