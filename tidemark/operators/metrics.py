@@ -35,8 +35,8 @@ def ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | Non
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     """Columns scaled to [0, 1] by their ranges, which are one row and enter the plan as values. None
     if any column is constant or has no value."""
-    found = ranges(df, columns)
-    if not columns or any(lo is None or hi - lo == 0 for lo, hi in found.values()):
+    found = ranges(df, columns) if columns else {}
+    if any(lo is None or hi - lo == 0 for lo, hi in found.values()) or not found:
         return None
     scaled = {c: (as_double(F.col(c), df.schema[c].dataType) - lo) / F.lit(hi - lo) for c, (lo, hi) in found.items()}
     return df.withColumns(scaled)

@@ -58,11 +58,14 @@ def predict(df: DataFrame, layers: Sequence[Layer], features: str, output: str =
 
     @F.pandas_udf("array<double>")
     def batch(vectors):
-        known = vectors.notna()
-        out = vectors.astype(object)
-        if known.any():
-            out[known] = list(evaluate(np.stack(vectors[known].to_numpy()), layers))
-        return out
+        import pandas as pd
+
+        at = np.flatnonzero(vectors.notna())
+        out = [None] * len(vectors)
+        if len(at):
+            for i, found in zip(at, evaluate(np.stack(vectors.iloc[at].to_numpy()), layers), strict=True):
+                out[i] = found
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(output, batch(F.col(features)))
 
