@@ -79,6 +79,32 @@ def test_repair_grammar_expands_to_its_ids():
     assert len(g.sequence) < len(ids) // 4
 
 
+def test_repair_files_give_any_range_of_their_ids():
+    import io
+
+    rng, whole, sink = np.random.default_rng(4), [], io.BytesIO()
+    for n in (500, 1, 0, 3000):
+        ids = np.tile(rng.integers(0, 300, max(1, n // 10)), 10)[:n].astype(np.uint32)
+        repair_codec.write_shard(sink, [None, 7], np.array([n // 2, n - n // 2]), repair_codec.compress(ids, 300, 4, 8))
+        whole += ids.tolist()
+    sink.seek(0)
+    assert [i for _, _, g in repair_codec.read_shards(sink) for i in g.decode().tolist()] == whole
+    for start, length in ((0, 3501), (499, 3), (450, 500), (3400, 999), (9999, 5), (10, 0)):
+        assert repair_codec.read_range(sink, start, length).tolist() == whole[start : start + length]
+
+
+def test_op1_random_access_to_written_files(spark):
+    folder, docs = queries.token_store.shared_path(spark, "tokens"), documents(spark)
+    files = token_store.write_tokens(docs, folder, token_store.TokenFormat(BPE, shard_ids=20_000)).collect()
+    ids = np.frombuffer(b"".join(bpe_ids(t, 2) for _, t in sorted(texts(docs))), "<u4")
+    begin = 0
+    for f in files:
+        for start in (0, f.ids // 3, max(0, f.ids - 70)):
+            want = ids[begin + start : begin + min(f.ids, start + 1000)]
+            assert np.array_equal(token_store.read_range(f.path, start, 1000), want)
+        begin += f.ids
+
+
 def test_op2_odd_rows(spark):
     docs = frame(spark, odd_rows())
     index = digest_index.DigestIndex(spark, "odd_index").create()

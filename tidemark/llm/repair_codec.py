@@ -2,8 +2,9 @@
 
 Each round counts the adjacent pairs of the sequence, takes the frequent ones that cannot overlap
 each other, and replaces every occurrence by a new nonterminal. A shard keeps its rules, the number
-of ids each symbol expands to, and the remaining sequence; any range of ids can be decoded from the
-symbols that cover it.
+of ids each nonterminal expands to, and the remaining sequence. The kept lengths find the symbols that
+cover any range of ids, and only these are expanded; the sizes in a shard's head let a reader step over
+shards that it doesn't need.
 """
 
 from __future__ import annotations
@@ -24,26 +25,23 @@ class Grammar:
     right: np.ndarray
     sequence: np.ndarray
 
+    sizes: np.ndarray  # ids that each nonterminal expands to
+
     @property
     def lengths(self) -> np.ndarray:
         """Ids that each symbol expands to."""
-        out = np.ones(self.base + len(self.left), np.int64)
-        for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            out[self.base + k] = out[a] + out[b]
-        return out
+        return np.concatenate((np.ones(self.base, np.int64), self.sizes.astype(np.int64)))
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Each rule's own expansion is built once; the symbols then gather theirs."""
-        rules = []
-        for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
-            half = [rules[x - self.base] if x >= self.base else np.array([x], np.uint16) for x in (a, b)]
-            rules.append(np.concatenate(half))
-        table = np.concatenate([np.arange(self.base, dtype=np.uint16), *rules])
-        lengths = self.lengths
-        begin, size = (np.cumsum(lengths) - lengths)[symbols], lengths[symbols]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return table[np.repeat(begin - (ends - size), size) + np.arange(total)]
+        """Nonterminals become their halves until none is left: a pass for each level of the grammar."""
+        while (inner := symbols >= self.base).any():
+            at = np.arange(len(symbols)) + np.cumsum(inner) - inner
+            rule = symbols[inner] - self.base
+            out = np.empty(len(symbols) + len(rule), symbols.dtype)
+            out[at] = symbols
+            out[at[inner]], out[at[inner] + 1] = self.left[rule], self.right[rule]
+            symbols = out
+        return symbols
 
     def decode(self) -> np.ndarray:
         return self._expand(self.sequence).astype(np.uint32)
@@ -80,6 +78,7 @@ def compress(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int =
     sequence = ids.astype(np.uint32)
     left: list[int] = []
     right: list[int] = []
+    lengths = np.ones(base, np.int64)
     for _ in range(max_rounds):
         room = SYMBOLS - base - len(left)
         if len(sequence) < 2 or room <= 0:
@@ -111,13 +110,13 @@ def compress(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int =
         sequence = sequence[keep]
         left += [a for a, _ in chosen]
         right += [b for _, b in chosen]
-    return Grammar(base, np.array(left, np.uint16), np.array(right, np.uint16), sequence.astype(np.uint16))
+        lengths = np.concatenate((lengths, lengths[[a for a, _ in chosen]] + lengths[[b for _, b in chosen]]))
+    return Grammar(base, np.array(left, np.uint16), np.array(right, np.uint16), sequence.astype(np.uint16), lengths[base:])
 
 
 def write_shard(out: io.RawIOBase, doc_ids: list[int | None], counts: np.ndarray, grammar: Grammar) -> int:
     """Layout, little-endian: magic, five u64 sizes (base, rules, symbols, documents, ids), then
     doc ids i64, null flags u8, counts u32, left u16, right u16, expansion lengths u32, symbols u16."""
-    lengths = grammar.lengths[grammar.base :]
     head = np.array([grammar.base, len(grammar.left), len(grammar.sequence), len(doc_ids), counts.sum()], "<u8")
     body = b"".join(
         [
@@ -128,7 +127,7 @@ def write_shard(out: io.RawIOBase, doc_ids: list[int | None], counts: np.ndarray
             counts.astype("<u4").tobytes(),
             grammar.left.astype("<u2").tobytes(),
             grammar.right.astype("<u2").tobytes(),
-            lengths.astype("<u4").tobytes(),
+            grammar.sizes.astype("<u4").tobytes(),
             grammar.sequence.astype("<u2").tobytes(),
         ]
     )
@@ -136,13 +135,40 @@ def write_shard(out: io.RawIOBase, doc_ids: list[int | None], counts: np.ndarray
     return len(body)
 
 
+def _head(source: io.RawIOBase) -> list[int] | None:
+    """base, rules, symbols, documents and ids of the next shard; None at the file's end."""
+    mark = source.read(4)
+    if not mark:
+        return None
+    if mark != MAGIC:
+        raise ValueError("not a Re-Pair shard file")
+    return np.frombuffer(source.read(40), "<u8").tolist()
+
+
 def read_shards(source: io.RawIOBase):
     """Yield (doc ids, token counts, grammar) of each shard of a file."""
-    while mark := source.read(4):
-        if mark != MAGIC:
-            raise ValueError("not a Re-Pair shard file")
-        base, rules, symbols, docs, _ = np.frombuffer(source.read(40), "<u8").tolist()
+    while head := _head(source):
+        base, rules, symbols, docs, _ = head
         take = lambda kind, n: np.frombuffer(source.read(np.dtype(kind).itemsize * n), kind)
         ids, nulls, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
-        left, right, _lengths, sequence = take("<u2", rules), take("<u2", rules), take("<u4", rules), take("<u2", symbols)
-        yield [None if n else d for d, n in zip(ids.tolist(), nulls.tolist(), strict=True)], counts, Grammar(base, left, right, sequence)
+        left, right, sizes, sequence = take("<u2", rules), take("<u2", rules), take("<u4", rules), take("<u2", symbols)
+        yield [None if n else d for d, n in zip(ids.tolist(), nulls.tolist(), strict=True)], counts, Grammar(base, left, right, sequence, sizes)
+
+
+def read_range(source, start: int, length: int) -> np.ndarray:
+    """Ids start .. start+length of a seekable file; other shards are stepped over by their heads."""
+    out, begin, at = [np.empty(0, np.uint32)], 0, 0
+    while begin < start + length:
+        source.seek(at)
+        head = _head(source)
+        if head is None:
+            break
+        _, rules, symbols, docs, ids = head
+        if begin + ids > start:
+            source.seek(at)
+            _, _, grammar = next(read_shards(source))
+            first = max(0, start - begin)
+            out.append(grammar.decode_range(first, min(ids, start + length - begin) - first))
+        begin += ids
+        at += 44 + 13 * docs + 8 * rules + 2 * symbols
+    return np.concatenate(out)

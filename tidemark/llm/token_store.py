@@ -124,14 +124,11 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, DOCUMENT_IDS)
 
 
-def read_range(manifest_row, shard: int, start: int, length: int) -> np.ndarray:
-    """Random access: ids start .. start+length of one shard of a file."""
-    system, inner = open_fs(manifest_row.path)
-    with system.open_input_stream(inner) as source:
-        for k, (_, _, grammar) in enumerate(repair_codec.read_shards(source)):
-            if k == shard:
-                return grammar.decode_range(start, length)
-    raise IndexError(shard)
+def read_range(path: str, start: int, length: int) -> np.ndarray:
+    """Random access: ids start .. start+length of one file of the manifest."""
+    system, inner = open_fs(path)
+    with system.open_input_file(inner) as source:
+        return repair_codec.read_range(source, start, length)
 
 
 def store_and_read(docs: DataFrame, fmt: TokenFormat) -> DataFrame:
