@@ -116,6 +116,19 @@ def test_returns(spark):
         assert np.allclose(column(windows.discounted_return(rows, 0.9, by=by), "ret"), want[::-1])
 
 
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_returns_of_long_episodes_fold_in_levels(spark, monkeypatch, by):
+    monkeypatch.setattr(windows, "RETURN_BLOCK", 4)
+    r = np.random.default_rng(2).normal(size=333)
+    for last in (1.0, np.inf):
+        r[-1], want, g = last, [], 0.0
+        for x in r[::-1]:
+            g = x + 0.9 * g
+            want.append(g)
+        rows = series(spark, r.tolist(), "reward").withColumn("k", F.lit("x"))
+        assert np.allclose(column(windows.discounted_return(rows, 0.9, by=by), "ret"), want[::-1])
+
+
 @pytest.mark.parametrize("most", [3, 5, 9])
 def test_episode(spark, most):
     got = windows.episode(series(spark, range(5)), most).orderBy("t").collect()

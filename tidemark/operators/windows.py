@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse
+from ..sources.scratch import materialise
 from .position import _same, ahead, blocks
 
 RETURN_BLOCK = 512
@@ -65,6 +66,34 @@ def value_rewards(df: DataFrame, actual: str, max_steps: int, name: str = "pos")
     return df.filter(F.col(name) <= max_steps).select(name, F.when(F.col(name) < max_steps, F.col(actual)).otherwise(F.lit(0.0)).alias("reward"))
 
 
+def _carried(heads: DataFrame, by: Sequence[str], last: int) -> DataFrame:
+    """(by, _b, carry): what blocks 0 .. last get from those after them, where a block turns x into
+    a + c x. RETURN_BLOCK blocks are folded at a time, and these groups in turn by the same rule, so
+    that no task holds more than RETURN_BLOCK rows of an episode."""
+
+    def fold(pdf):
+        pdf = pdf.sort_values("_b", ascending=False, kind="stable").reset_index(drop=True)
+        held, share, out = 0.0, 1.0, []
+        for a, c in zip(pdf["a"], pdf["c"], strict=True):
+            out.append((held, share))
+            held, share = a + c * held, max(c * share, 5e-324)  # above 0, so that an infinite return stays one
+        pdf["held"], pdf["share"] = zip(*out, strict=True)
+        return pdf.assign(a=held, c=share)
+
+    kinds = ", ".join(f"`{c}` {heads.schema[c].dataType.simpleString()}" for c in by)
+    grouped = heads.select(*by, "_b", F.floor(F.col("_b") / RETURN_BLOCK).alias("_g"), "a", "c")
+    schema = f"{kinds + ', ' if by else ''}_b long, _g long, a double, c double, held double, share double"
+    folded = grouped.groupBy(*by, "_g").applyInPandas(fold, schema)
+    if last < RETURN_BLOCK:
+        return folded.select(*by, "_b", F.col("held").alias("carry"))
+    folded = materialise(folded, "folded")
+    groups = folded.select(*by, F.col("_g").alias("_b"), "a", "c").distinct()
+    own = [f"_{c}" for c in by]
+    above = _carried(groups, by, last // RETURN_BLOCK).toDF(*own, "_h", "_x")
+    joined = folded.join(above, _same(by, own) & (F.col("_g") == F.col("_h")))
+    return joined.select(*by, "_b", (F.col("held") + F.col("share") * F.col("_x")).alias("carry"))
+
+
 def discounted_return(df: DataFrame, gamma: float, reward: str = "reward", by: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """df with ``ret``: G = r + gamma * (G of the next position). Missing rewards count as 0.
 
@@ -80,20 +109,10 @@ def discounted_return(df: DataFrame, gamma: float, reward: str = "reward", by: S
     longest = df.agg(F.max(name)).first()[0]
     if longest is None or longest < RETURN_BLOCK:
         return local.drop("_b")
-    heads = local.groupBy(*by, "_b").agg(F.min_by("ret", name).alias("head"), F.count(F.lit(1)).alias("n"))
-
-    def carry(pdf):
-        pdf = pdf.sort_values("_b", ascending=False, kind="stable").reset_index(drop=True)
-        held, out = 0.0, []
-        for head, n in zip(pdf["head"], pdf["n"], strict=True):
-            out.append(held)
-            held = head + gamma**n * held
-        return pdf.assign(carry=out).drop(columns=["head", "n"])
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    carried = heads.groupBy(*by).applyInPandas(carry, f"{kinds + ', ' if by else ''}_b long, carry double")
+    power_of_block = F.pow(F.lit(float(gamma)), F.count(F.lit(1)).cast("double"))
+    heads = local.groupBy(*by, "_b").agg(F.min_by("ret", name).alias("a"), power_of_block.alias("c"))
     own = [f"_{c}" for c in by]
-    carried = carried.toDF(*own, "_c", "_carry")
+    carried = _carried(heads, by, longest // RETURN_BLOCK).toDF(*own, "_c", "_carry")
     joined = local.join(carried, _same(by, own) & (F.col("_b") == F.col("_c")))
     to_end = F.pow(F.lit(float(gamma)), (F.lit(RETURN_BLOCK) - k).cast("double"))  # only the last block is shorter; it carries 0
     return joined.withColumn("ret", F.col("ret") + to_end * F.col("_carry")).select(*df.columns, "ret")
