@@ -182,6 +182,29 @@ def test_op5_odd_rows(spark):
     assert pivot_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_op5_one_pivot_over_many_files_read_by_one_task(spark):
+    rng = np.random.default_rng(6)
+    # coordinates of many sizes: the files differ in size, and Spark reads the largest first
+    vectors = rng.normal(size=(1200, 4)) * rng.choice([0.02, 1, 30], size=(1200, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        cfg = pivot_search.PivotSearch(pivots=1, sample=8, annulus=32)
+        got = defaultdict(list)
+        for r in pivot_search.top_k(df, F.col("vec_id") % 3 == 0, cfg).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.score, r.vec_id))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    whole = np.floor(256 * vectors)
+    for q in range(0, 1200, 3):
+        scores = whole @ whole[q]
+        assert got[q] == sorted(((int(s), c) for c, s in enumerate(scores) if c != q), key=lambda p: (-p[0], p[1]))[:5]
+
+
 def test_op6_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")

@@ -108,12 +108,13 @@ class _Best:
 
 
 def _search(q, q_ids, floor, pivot_dist, radius2, x, x_ids, x_pivot, x_dist, best: _Best, cfg: PivotSearch) -> None:
-    """All queries of a block against one run of the index (sorted by pivot and distance)."""
+    """All queries of a block against some rows of the index. Within a pivot the rows mostly ascend in
+    distance, but a task may read files out of order, so an annulus' radii come from all its rows."""
     cuts = [0]
     for e in np.flatnonzero(np.append(x_pivot[1:] != x_pivot[:-1], True)) + 1:
         cuts += [*range(cuts[-1] + cfg.annulus, int(e), cfg.annulus), int(e)]
     begin, end = np.array(cuts[:-1]), np.array(cuts[1:])
-    center, inner, outer = x_pivot[begin], x_dist[begin], x_dist[end - 1]
+    center, inner, outer = x_pivot[begin], np.minimum.reduceat(x_dist, begin), np.maximum.reduceat(x_dist, begin)
     gap = np.maximum(0.0, np.maximum(pivot_dist[:, center] - outer, inner - pivot_dist[:, center]))
     norm2 = (q * q).sum(axis=1)
     margin = 1e-6 * (norm2 + radius2) + 1e-3
