@@ -298,6 +298,50 @@ def test_op8_links_in_small_blocks(spark):
     assert [got.get(f, f) for f in fps] == brute_components(fps, fps, 4)
 
 
+def brute_alike(rows):
+    """Least doc_id of each row's group, groups linked by five-word Jaccard >= 0.8."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = defaultdict(list)
+    for g, (d, _) in zip(group, rows, strict=True):
+        least[g].append(d)
+    return [min((d for d in least[g] if d is not None), default=None) for g in group]
+
+
+@pytest.mark.parametrize("kind", ["table", "odd", "groups"])
+def test_near_stage_equals_all_pairs_by_jaccard(spark, kind):
+    import corpus_pipeline
+    from tidemark.llm import jaccard_join
+
+    if kind == "table":
+        docs = documents(spark)
+    elif kind == "odd":
+        docs = frame(spark, odd_rows())
+    else:  # copies on both sides of 0.8 and chains, in one large group and small ones
+        rng, rows = np.random.default_rng(8), []
+        for n in (60, 12, 12, 5):
+            base = rng.choice(WORDS, 150)
+            for _ in range(n):
+                copy = base.copy()
+                copy[rng.choice(150, rng.integers(0, 7), replace=False)] = "other"
+                rows.append((len(rows), " ".join(copy)))
+        docs = frame(spark, rows)
+    rows = texts(docs)
+    want = brute_alike(rows)
+    got = jaccard_join.near_duplicates(docs, cfg=jaccard_join.Alike(block=8, sample=20))
+    assert Counter(map(tuple, got.collect())) == Counter(zip([d for d, _ in rows], want, strict=True))
+    left = corpus_pipeline.near(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    assert Counter(texts(left)) == Counter(r for r in rows if r[0] is None or r[0] in set(want))
+
+
 def brute_passages(rows, least=50):
     """Spans of later and first occurrences of every stretch of ``least`` words."""
     seen = defaultdict(list)
