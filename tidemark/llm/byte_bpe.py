@@ -2,11 +2,13 @@
 
 A text is cut before its single spaces, where the tokenizer's own pattern always cuts too, and each
 word goes through the library once per worker: the ids of a text are the joined ids of its words.
-Runs of spaces are the one case where that cut differs, so such texts are cut by the full pattern.
+Spaces beside other white space are the one case where that cut differs; the words that they join are
+cut by the full pattern, together, and the rest of their text goes the usual way.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +30,20 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+# A space beside other white space can't be a cut; words that such spaces join, from a cut to the next.
+_JOINED = re.compile(r"(?:^|(?<!\s) (?!\s))[^ ]*(?:(?: (?=\s)|(?<=\s) )[^ ]*)+")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_WHITE_ASCII = [c for c in _WHITE if c < "\x80"]
+
+
+def _joins_words(text: str) -> bool:
+    """Whether some space of the text stands beside other white space."""
+    if "  " in text:
+        return True
+    found = (c for c in (_WHITE_ASCII if text.isascii() else _WHITE) if c in text)
+    return any(c + " " in text or " " + c in text for c in found)
+
+
 class WordEncoder:
     """Whole texts -> ids. Words not met before go to the library together: two letters that take part
     in no merge part their pieces and the words, so every piece is encoded by itself; a word that
@@ -54,7 +70,7 @@ class WordEncoder:
         mark = self.word_mark
         marked = PATTERN.replace(r"\p{N}]+", rf"\p{{N}}{mark}]+").replace(r"(?!\S)", rf"(?![^\s{mark}])")
         self.find_marked = regex.compile(f"{mark}|{marked}").findall
-        self.cache = WordCache(self._words, mark_first=True)
+        self.cache = WordCache(self._words, mark_first=True, vocabulary=whole.get_vocab_size())
 
     def _letters(self, text: str) -> str:
         return text.encode("utf-8").decode("latin-1").translate(self.letters)
@@ -85,22 +101,32 @@ class WordEncoder:
             out[i] = own
         return out
 
-    def _whole(self, text: str) -> np.ndarray | None:
-        """Ids of a text that can't be cut before its spaces; None for others."""
+    def _parts(self, text: str) -> list[tuple[bytes, bool] | list[int]]:
+        """The text as parts for the word cache, and ids of what can't go there."""
         for content, token in self.special:
             if content in text:
-                parts = [x for p in self.ids_many(text.split(content)) for x in (p, np.array([token], np.uint16))]
-                return np.concatenate(parts[:-1])
-        if not text or "  " in text:
-            return np.array(self._alone(text), np.uint16)
-        return None
+                inner = [x for p in text.split(content) for x in (*self._parts(p), [token])]
+                return inner[:-1]
+        out: list[tuple[bytes, bool] | list[int]] = []
+        at = 0
+        if _joins_words(text):
+            for found in _JOINED.finditer(text):
+                if found.start() > at:
+                    out.append((text[at + (at > 0) : found.start()].encode("utf-8"), at == 0))
+                out.append(self._alone(found[0]))
+                at = found.end()
+        if at < len(text):
+            out.append((text[at + (at > 0) :].encode("utf-8"), at == 0))
+        return out
 
     def ids_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; null counts as empty."""
-        out = [self._whole(t or "") for t in texts]
-        plain = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(plain, self.cache.encode_texts([texts[i].encode("utf-8") for i in plain]), strict=True):
-            out[i] = ids
+        parts = [self._parts(t or "") for t in texts]
+        cached = iter(self.cache.encode_parts([x for p in parts for x in p if isinstance(x, tuple)]))
+        out = []
+        for p in parts:
+            ids = [next(cached) if isinstance(x, tuple) else np.array(x, self.cache.dtype) for x in p]
+            out.append(ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.empty(0, self.cache.dtype))
         return out
 
     def packed_many(self, texts: list[str | None]) -> list[bytes]:

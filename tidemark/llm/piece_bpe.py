@@ -8,7 +8,11 @@ these two. The ids are then read from the end backwards. Characters outside the
 merge, so they cut the string and become byte pieces.
 
 Pieces hold the space mark only at their front, so runs up to the next mark are encoded apart and
-kept, once per worker. Null counts as empty. ``decode`` is the library's.
+kept, once per worker. ``decode`` is the library's.
+
+Defined results: a null text is an empty one and has only its begin and end ids; rows that repeat are
+encoded as rows of their own; a null doc_id is carried along; texts of any length are encoded whole,
+half a megabyte at a time; an empty table gives no row; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ class PrefixTable:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache = WordCache(self._words, mark_first=False)
+        self.cache = WordCache(self._words, mark_first=False, vocabulary=sp.get_piece_size())
         ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         pieces = {sp.id_to_piece(i): i for i in ordinary}
         self.rank = {p: (-sp.get_score(i), i) for p, i in pieces.items()}
@@ -138,7 +142,7 @@ class PrefixTable:
         """Ids of whole texts without begin and end; null counts as empty."""
         out = [self._whole(t or "") for t in texts]
         plain = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(plain, self.cache.encode_texts([texts[i].encode("utf-8") for i in plain]), strict=True):
+        for i, ids in zip(plain, self.cache.encode_parts([(texts[i].encode("utf-8"), True) for i in plain]), strict=True):
             out[i] = ids.tolist()
         return out
 

@@ -31,15 +31,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-TEXTS_PER_BATCH = 2048
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python at most TEXTS_PER_BATCH at a time, so that a worker's memory stays
-    bounded; a lower setting of the session is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXTS_PER_BATCH:
-        spark.conf.set(key, TEXTS_PER_BATCH)
+    """Whole texts go to Python in batches of bounded rows and bytes, so that neither the executor nor
+    its workers hold more than a few megabytes of them besides one text; lower settings of the session
+    are kept. The settings stay, as frames are run after the operator that makes them has returned."""
+    for key, most in BATCH_LIMITS.items():
+        if not 0 < int(spark.conf.get(key, "0")) <= most:
+            spark.conf.set(key, most)
 
 
 def free_name(df: DataFrame, base: str) -> str:

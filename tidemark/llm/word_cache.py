@@ -1,8 +1,10 @@
 """Ids of texts whose encoding is that of their space-parted words, one numpy pass per group of texts.
 
-Words are found and hashed over the joined bytes, looked up in a direct-mapped table of fixed size,
-and their ids are gathered; only words that the table lacks go to the encoder, once per group. A
-word's slot is identified by its 64-bit hash and its first eight bytes.
+Words are found over the joined bytes and looked up in a direct-mapped table of fixed size, and their
+ids are gathered; only words that the table lacks go to the encoder, once per group. A slot holds the
+word itself (its bytes in two machine words, its length and whether it begins a text), and a hit
+compares all of them: hashes choose slots and never stand for words. Words of more than 16 bytes are
+kept by their bytes in a dictionary of bounded size.
 """
 
 from __future__ import annotations
@@ -11,98 +13,130 @@ from collections.abc import Callable
 
 import numpy as np
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_FIRST = np.uint64(0xD6E8FEB86659FD93)
+SHORT = 16  # bytes of the longest word that a slot can hold
+_LONG_WORDS = 20_000
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, np.uint64(base)))))
+def lanes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The first SHORT bytes of each word as integers of eight bytes, zeros behind its end."""
+    padded = np.concatenate((raw, np.zeros(SHORT, np.uint8)))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(raw) + SHORT - 7,), (1,))
+    return [eight[start + at] & _KEEP[np.clip(size - at, 0, 8)] for at in range(0, SHORT, 8)]
 
 
 class WordCache:
     """encode(words, first) -> ids of each word; first says whether a word begins its text."""
 
-    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], mark_first: bool, bits: int = 20, width: int = 12, group: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], mark_first: bool, vocabulary: int, bits: int = 20, width: int = 12, group: int = 1 << 19):
         self.encode, self.mark_first, self.shift, self.width, self.group = encode, mark_first, np.uint64(64 - bits), width, group
-        self.key = np.zeros(1 << bits, np.uint64)
-        self.front = np.zeros(1 << bits, np.uint64)
-        self.size = np.zeros(1 << bits, np.uint8)  # 0: free
-        self.ids = np.zeros((1 << bits, width), np.uint16)
-        rng = np.random.default_rng(7)
-        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.key = [np.zeros(1 << bits, np.uint64) for _ in range(SHORT // 8)]
+        self.code = np.zeros(1 << bits, np.uint8)  # 0: free; else twice the length, and whether it begins a text
+        self.size = np.zeros(1 << bits, np.uint8)
+        self.ids = np.zeros((1 << bits, width), self.dtype)
+        self.long: dict[tuple[bytes, bool], np.ndarray] = {}
 
-    def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(raw)
-        if len(self.power) < n + 1:
-            size = max(n + 1, self.group * 2)
-            self.power, self.inverse = _powers(_MULTIPLIER, size), _powers(pow(_MULTIPLIER, -1, 1 << 64), size)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.letters[raw] * self.power[:n], out=prefix[1:])
-        h = (prefix[end] - prefix[start]) * self.inverse[start]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-        padded = np.concatenate((raw, np.zeros(8, np.uint8)))
-        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n + 1,), (1,))
-        size = np.minimum(end - start, 8).astype(np.uint64)
-        mask = np.where(size == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (size * np.uint64(8))) - np.uint64(1))
-        return h, eight[start] & mask
+    def _known_long(self, words: list[tuple[bytes, bool]]) -> list[np.ndarray]:
+        new = list(dict.fromkeys(w for w in words if w not in self.long))
+        if len(self.long) + len(new) > _LONG_WORDS:
+            self.long.clear()
+            new = list(dict.fromkeys(words))
+        if new:
+            got = self.encode([w for w, _ in new], [f for _, f in new])
+            self.long.update(zip(new, (np.array(g, self.dtype) for g in got), strict=True))
+        return [self.long[w] for w in words]
 
-    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _group(self, texts: list[bytes], begins: list[bool]) -> list[np.ndarray]:
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         gaps = np.flatnonzero(raw == 32)
         start, end = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
+        length = end - start
         words_of = np.array([t.count(b" ") + 1 for t in texts])
         text_end = np.cumsum(words_of)
-        h, front = self._hashes(raw, start, end)
-        first = np.zeros(len(h), bool)
+        first = np.zeros(len(start), bool)
         if self.mark_first:
-            first[text_end - words_of] = True
-            h[first] ^= _FIRST
-        slot = (h >> self.shift).astype(np.int64)
-        hit = (self.key[slot] == h) & (self.front[slot] == front) & (self.size[slot] > 0)
+            first[text_end - words_of] = begins
+        short = length <= SHORT
+        code = np.where(short, 2 * (length + 1) + first, 0).astype(np.uint8)
+        parts = lanes(raw, start, length)
+        h = code.astype(np.uint64)
+        for part, factor in zip(parts, _MIX, strict=True):
+            h += part
+            h *= factor
+            h ^= h >> np.uint64(32)
+        slot = ((h * _MIX[0]) >> self.shift).view(np.int64)
+        hit = (self.code[slot] == code) & short
+        for key, part in zip(self.key, parts, strict=True):
+            hit &= key[slot] == part
         table, size = self.ids[slot], self.size[slot].astype(np.int64)
-        miss = np.flatnonzero(~hit)
-        long: dict[int, list[int]] = {}
+        apart: dict[int, np.ndarray] = {}  # words whose ids don't come from the table
+        miss = np.flatnonzero(~hit & short)
+        body = raw.tobytes() if len(miss) or not short.all() else b""
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            at = miss[one]
-            body = raw.tobytes()
+            # words that share a hash but aren't the same are entries of their own
+            odd = code[miss] != code[miss[one]][back]
+            for part in parts:
+                odd |= part[miss] != part[miss[one]][back]
+            back[odd] = len(one) + np.arange(int(odd.sum()))
+            at = np.concatenate((miss[one], miss[odd]))
             got = self.encode([body[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], first[at].tolist())
             n = np.fromiter(map(len, got), np.int64, len(got))
-            new = np.zeros((len(got), self.width), np.uint16)
             fits = n <= self.width
-            new[(np.arange(self.width) < n[:, None]) & fits[:, None]] = np.fromiter((i for g, f in zip(got, fits.tolist(), strict=True) if f for i in g), np.uint16)
+            new = np.zeros((len(got), self.width), self.dtype)
+            new[(np.arange(self.width) < n[:, None]) & fits[:, None]] = np.fromiter((i for g, f in zip(got, fits.tolist(), strict=True) if f for i in g), self.dtype)
             table[miss], size[miss] = new[back], n[back]
-            store = np.flatnonzero(fits & (n > 0))
-            to = slot[at[store]]
-            self.key[to], self.front[to], self.size[to], self.ids[to] = h[at[store]], front[at[store]], n[store], new[store]
+            store = np.flatnonzero(fits)
+            to, of = slot[at[store]], at[store]
+            to, last = np.unique(to[::-1], return_index=True)  # one of the words that want a slot gets all of it
+            store, of = store[::-1][last], of[::-1][last]
+            for key, part in zip(self.key, parts, strict=True):
+                key[to] = part[of]
+            self.code[to], self.size[to], self.ids[to] = code[of], n[store], new[store]
             if not fits.all():
-                long = {int(w): got[b] for w, b in zip(miss.tolist(), back.tolist(), strict=True) if not fits[b]}
+                apart = {int(w): np.array(got[b], self.dtype) for w, b in zip(miss.tolist(), back.tolist(), strict=True) if not fits[b]}
+        if not short.all():
+            at = np.flatnonzero(~short).tolist()
+            apart |= zip(at, self._known_long([(body[start[i] : end[i]], bool(first[i])) for i in at]), strict=True)
+            size[at] = [len(apart[i]) for i in at]
         ends = np.cumsum(size)
-        if long:
-            out = np.empty(int(ends[-1]), np.uint16)
-            short = size.copy()
+        if apart:
+            out = np.empty(int(ends[-1]), self.dtype)
+            inside = size.copy()
             free = np.ones(len(out), bool)
-            for w, ids in long.items():
+            for w, ids in apart.items():
                 out[ends[w] - size[w] : ends[w]] = ids
                 free[ends[w] - size[w] : ends[w]] = False
-                short[w] = 0
-            out[free] = table[np.arange(self.width) < short[:, None]]
+                inside[w] = 0
+            out[free] = table[np.arange(self.width) < inside[:, None]]
         else:
             out = table[np.arange(self.width) < size[:, None]]
         return np.split(out, ends[text_end[:-1] - 1])
 
-    def encode_texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text; texts are not empty."""
+    def encode_parts(self, parts: list[tuple[bytes, bool]]) -> list[np.ndarray]:
+        """Ids of each part; the flag says whether it begins a text. Other parts follow a space, which is
+        not in them and belongs to their first word. Parts of any length are encoded in bounded memory."""
+        cut: list[tuple[bytes, bool]] = []
+        pieces: list[int] = []  # of each part
+        for text, begins in parts:
+            at, n = 0, 1
+            while len(text) - at > self.group and (gap := text.find(b" ", at + self.group)) >= 0:
+                cut.append((text[at:gap], begins and at == 0))
+                at, n = gap + 1, n + 1
+            cut.append((text[at:] if at else text, begins and at == 0))
+            pieces.append(n)
         out: list[np.ndarray] = []
         at = 0
-        while at < len(texts):
+        while at < len(cut):
             upto, size = at, 0
-            while upto < len(texts) and size < self.group:
-                size += len(texts[upto])
+            while upto < len(cut) and size < self.group:
+                size += len(cut[upto][0])
                 upto += 1
-            out += self._group(texts[at:upto])
+            out += self._group([t for t, _ in cut[at:upto]], [f for _, f in cut[at:upto]])
             at = upto
-        return out
+        if len(out) == len(parts):
+            return out
+        ends = np.cumsum(pieces)
+        return [out[e - n] if n == 1 else np.concatenate(out[e - n : e]) for e, n in zip(ends.tolist(), pieces, strict=True)]
