@@ -23,6 +23,14 @@ def frame(spark, rows, clashes=True):
     return df.withColumns({c: F.lit(c) for c in CLASHES}) if clashes else df
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two words alike in every sum of powers mod 2^64 of their letters, but not alike."""
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join((a, b)[x] for x in word), "".join((b, a)[x] for x in word)
+
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -55,6 +63,24 @@ def bpe_ids(text, end):
     return np.array([*bpe_ids.library.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
+def test_words_that_hash_alike_keep_their_own_ids():
+    """Words are told apart by their bytes: op1, op7 and op10 give the libraries' ids."""
+    import sentencepiece
+    from tidemark.llm import byte_bpe
+
+    rng = np.random.default_rng(12)
+    signs = ["a", "b", "  ", "   ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "é", "日本", "<|endoftext|>", "12", "!", "'s", " the", "🙂", "ab" * 20, "\x00", "\x01"]
+    rows = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(1500)]
+    for n in (512, 1024, 2048, 4096):
+        one, two = thue_morse(n)
+        rows += [f"{one} {two}", f"x {two} y {one} {two}", f"in front{one} in front{two}", f"infront8{one} infront8{two}"]
+    rows += ["word " * 200_000, "a  b " * 30_000, None, "", " ", "  "]
+    encoder, pieces, sp = byte_bpe.WordEncoder(BPE), piece_bpe.PrefixTable(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text, ids, own in zip(rows, encoder.ids_many(rows), pieces.ids_many(rows), strict=True):
+        assert bpe_ids(text, 0)[:-4] == ids.astype("<u4").tobytes()
+        assert sp.encode(text or "") == list(own)
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_op1_token_store(spark, odd):
     docs = frame(spark, odd_rows()) if odd else documents(spark)
@@ -69,27 +95,45 @@ def test_op1_token_store(spark, odd):
     assert token_store.store_and_read(docs.limit(0), token_store.TokenFormat(BPE)).count() == 0
 
 
-def test_repair_grammar_expands_to_its_ids():
+def paying_pairs(symbols, least):
+    """Pairs of neighbours that occur often enough without overlaps."""
+    places = defaultdict(int)
+    last = {}
+    for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+        if last.get(pair, -2) != i - 1:
+            places[pair] += 1
+            last[pair] = i
+        else:
+            last[pair] = -2
+    return [p for p, n in places.items() if n >= least]
+
+
+@pytest.mark.parametrize("base", [300, 100_000])
+def test_repair_grammar_expands_to_its_ids(base):
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0), np.zeros(1), np.zeros(999), rng.integers(0, 5, 4000), np.tile(rng.integers(0, 300, 50), 80)):
-        g = repair_codec.compress(ids.astype(np.uint32), 300, 4, 8)
+    for ids in (np.zeros(0), np.zeros(1), np.zeros(999), rng.integers(0, 5, 4000), np.tile(rng.integers(0, base, 50), 80), rng.integers(base - 9, base, 3000)):
+        g = repair_codec.compress(ids.astype(np.uint32), base)
         assert np.array_equal(g.decode(), ids)
-        for start in range(0, len(ids), 397):
-            assert np.array_equal(g.decode_range(start, min(100, len(ids) - start)), ids[start : start + 100])
-    assert len(g.sequence) < len(ids) // 4
+        assert not paying_pairs(g.sequence.tolist(), repair_codec.MIN_COUNT)
+        assert g.sizes.tolist() == [len(g.expand(np.array([base + k]))) for k in range(len(g.left))]
+    with pytest.raises(ValueError):
+        repair_codec.compress(np.array([base]), base)
 
 
-def test_repair_files_give_any_range_of_their_ids():
+@pytest.mark.parametrize("base", [300, 100_000])
+def test_repair_files_give_any_range_of_their_ids(base):
     import io
 
-    rng, whole, sink = np.random.default_rng(4), [], io.BytesIO()
-    for n in (500, 1, 0, 3000):
-        ids = np.tile(rng.integers(0, 300, max(1, n // 10)), 10)[:n].astype(np.uint32)
-        repair_codec.write_shard(sink, [None, 7], np.array([n // 2, n - n // 2]), repair_codec.compress(ids, 300, 4, 8))
+    rng, whole, sink, shards = np.random.default_rng(4), [], io.BytesIO(), []
+    for n in (500, 1, 0, 30_000):
+        ids = (rng.integers(0, base, n) if n > 500 else np.tile(rng.integers(0, base, max(1, n // 10)), 10)[:n]).astype(np.uint32)
+        shards.append((sink.tell(), len(whole)))
+        repair_codec.write_shard(sink, [None, 7], np.array([n // 2, n - n // 2]), repair_codec.compress(ids, base))
         whole += ids.tolist()
+    repair_codec.write_index(sink, shards)
     sink.seek(0)
     assert [i for _, _, g in repair_codec.read_shards(sink) for i in g.decode().tolist()] == whole
-    for start, length in ((0, 3501), (499, 3), (450, 500), (3400, 999), (9999, 5), (10, 0)):
+    for start, length in ((0, 30_501), (499, 3), (450, 500), (3400, 999), (30_400, 999), (99_999, 5), (10, 0), (1523, 2049)):
         assert repair_codec.read_range(sink, start, length).tolist() == whole[start : start + length]
 
 

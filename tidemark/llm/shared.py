@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,8 +39,10 @@ def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in batches of bounded rows and bytes, so that neither the executor nor
     its workers hold more than a few megabytes of them besides one text; lower settings of the session
     are kept. The settings stay, as frames are run after the operator that makes them has returned."""
+    units = {"": 0, "k": 10, "m": 20, "g": 30}
     for key, most in BATCH_LIMITS.items():
-        if not 0 < int(spark.conf.get(key, "0")) <= most:
+        now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        if not (now and 0 < int(now[1]) << units[now[2]] <= most):
             spark.conf.set(key, most)
 
 

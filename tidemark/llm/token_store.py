@@ -6,7 +6,8 @@ has its own grammar. Executors write each file under a name of its own; the mani
 successful attempts return says which files count, so a lost executor leaves only an orphan file.
 
 Defined results: a null text is an empty one and has only its end id; rows with equal doc_id follow
-each other by text; a null doc_id comes first; an empty table gives no file and no row.
+each other by text; a null doc_id comes first; a text of any length is whole in one shard, which it then
+makes larger; an empty table gives no file and no row; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ class TokenFormat:
     vocabulary: int = 50257
     end_id: int = 2
     shard_ids: int = 1 << 20
-    min_count: int = 32
-    max_rounds: int = 6
+    min_count: int = repair_codec.MIN_COUNT  # a pair that occurs less often doesn't pay for its rule
 
 
 def write_tokens(docs: DataFrame, folder: str, fmt: TokenFormat, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,14 +57,16 @@ def write_tokens(docs: DataFrame, folder: str, fmt: TokenFormat, id_col: str = "
         done, sink = {"documents": 0, "ids": 0, "bytes": 0}, None
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
+        shards: list[tuple[int, int]] = []  # place and first id of each
         size = 0
 
         def flush() -> None:
             nonlocal sink, size
             ids = np.frombuffer(b"".join(parts), "<u4")
             counts = np.array([len(p) // 4 for p in parts], np.int64)
-            grammar = repair_codec.compress(ids, fmt.vocabulary, fmt.min_count, fmt.max_rounds)
+            grammar = repair_codec.compress(ids, fmt.vocabulary, fmt.min_count)
             sink = sink or system.open_output_stream(inner)
+            shards.append((done["bytes"], done["ids"]))
             done["bytes"] += repair_codec.write_shard(sink, doc_ids, counts, grammar)
             done["documents"] += len(parts)
             done["ids"] += len(ids)
@@ -84,6 +86,7 @@ def write_tokens(docs: DataFrame, folder: str, fmt: TokenFormat, id_col: str = "
         if parts:
             flush()
         if sink:
+            done["bytes"] += repair_codec.write_index(sink, shards)
             sink.close()
             row = {"part": TaskContext.get().partitionId(), "path": path, **done}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))

@@ -1,7 +1,7 @@
 """Ids of texts whose encoding is that of their space-parted words, one numpy pass per group of texts.
 
-Words are found over the joined bytes and looked up in a direct-mapped table of fixed size, and their
-ids are gathered; only words that the table lacks go to the encoder, once per group. A slot holds the
+Words are found over the joined bytes and looked up in a table of fixed size, in which each has two
+places, and their ids are gathered; only words that the table lacks go to the encoder, once per group. A slot holds the
 word itself (its bytes in two machine words, its length and whether it begins a text), and a hit
 compares all of them: hashes choose slots and never stand for words. Words of more than 16 bytes are
 kept by their bytes in a dictionary of bounded size.
@@ -48,6 +48,13 @@ class WordCache:
             self.long.update(zip(new, (np.array(g, self.dtype) for g in got), strict=True))
         return [self.long[w] for w in words]
 
+    def _same(self, slot: np.ndarray, code: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+        """Which slots hold exactly these words."""
+        hit = self.code[slot] == code
+        for key, part in zip(self.key, parts, strict=True):
+            hit &= key[slot] == part
+        return hit
+
     def _group(self, texts: list[bytes], begins: list[bool]) -> list[np.ndarray]:
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         gaps = np.flatnonzero(raw == 32)
@@ -67,12 +74,15 @@ class WordCache:
             h *= factor
             h ^= h >> np.uint64(32)
         slot = ((h * _MIX[0]) >> self.shift).view(np.int64)
-        hit = (self.code[slot] == code) & short
-        for key, part in zip(self.key, parts, strict=True):
-            hit &= key[slot] == part
+        hit = self._same(slot, code, parts) & short
+        again = np.flatnonzero(~hit & short)  # a word that finds its place taken has another
+        other = ((h[again] * _MIX[1]) >> self.shift).view(np.int64)
+        found = self._same(other, code[again], [part[again] for part in parts])
+        slot[again[found]] = other[found]
+        hit[again[found]] = True
         table, size = self.ids[slot], self.size[slot].astype(np.int64)
         apart: dict[int, np.ndarray] = {}  # words whose ids don't come from the table
-        miss = np.flatnonzero(~hit & short)
+        miss, other = again[~found], other[~found]
         body = raw.tobytes() if len(miss) or not short.all() else b""
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -81,7 +91,8 @@ class WordCache:
             for part in parts:
                 odd |= part[miss] != part[miss[one]][back]
             back[odd] = len(one) + np.arange(int(odd.sum()))
-            at = np.concatenate((miss[one], miss[odd]))
+            mine = np.concatenate((one, np.flatnonzero(odd)))
+            at = miss[mine]
             got = self.encode([body[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], first[at].tolist())
             n = np.fromiter(map(len, got), np.int64, len(got))
             fits = n <= self.width
@@ -89,7 +100,8 @@ class WordCache:
             new[(np.arange(self.width) < n[:, None]) & fits[:, None]] = np.fromiter((i for g, f in zip(got, fits.tolist(), strict=True) if f for i in g), self.dtype)
             table[miss], size[miss] = new[back], n[back]
             store = np.flatnonzero(fits)
-            to, of = slot[at[store]], at[store]
+            of = at[store]
+            to = np.where(self.code[slot[of]] == 0, slot[of], other[mine[store]])
             to, last = np.unique(to[::-1], return_index=True)  # one of the words that want a slot gets all of it
             store, of = store[::-1][last], of[::-1][last]
             for key, part in zip(self.key, parts, strict=True):
