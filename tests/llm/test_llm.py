@@ -413,18 +413,85 @@ def brute_passages(rows, least=50):
     return out
 
 
-@pytest.mark.parametrize("odd", [False, True])
-def test_op9_equals_all_stretches(spark, odd):
-    docs = frame(spark, [r for r in odd_rows() if r[0] != 13] + [(13, "word " * 3000)]) if odd else documents(spark)
-    rows = texts(docs)
-    got = sparse_suffix.repeated_passages(docs)
-    assert {(r.doc_id, r.start_word, r.end_word, r.first) for r in got.collect()} == brute_passages(rows)
-    left = sparse_suffix.remove_repeats(docs, length_col=None)
-    assert left.columns == docs.columns
-    assert not sparse_suffix.repeated_passages(left.filter("doc_id is not null")).join(left, "doc_id").filter(F.col("start_word") < 0).count()
+def passage_rows():
+    """Passages in many surroundings, on both sides of 50 words, with words that sums of powers confuse."""
+    rng, rows = np.random.default_rng(9), []
+    some = lambda n: rng.choice(WORDS, n).tolist()
+    shared = [some(n) for n in (49, 50, 51, 64, 75, 120)]
+    for k in range(60):
+        a, b = shared[k % 6], shared[(k // 6) % 6]
+        cut = int(rng.integers(0, 30))
+        rows.append((k, " ".join([*some(int(rng.integers(0, 40))), *a[cut:], *some(int(rng.integers(0, 3))), *b[: len(b) - cut], *some(20)])))
+    one, two = thue_morse(2048)
+    rows += [(70, " ".join([one, *shared[5][:49], two])), (71, " ".join([two, *shared[5][:49], one])), (72, " ".join([one, *shared[5][:49], one]))]
+    rows += [(73, " ".join([one, two] * 40)), (74, " ".join([two, one] * 40)), (75, " ".join(["a"] * 300)), (76, " ".join(["a"] * 60 + ["b"] * 60 + ["a"] * 60))]
+    rows += [(80 + k, " ".join([f"u{k}", *shared[3], f"v{k}"])) for k in range(30)]  # a gram with many own texts
+    return rows
+
+
+def cut_by_brute_force(rows):
+    """Texts without the later occurrences of passages, by splitting at words."""
+    import re
+
+    later = defaultdict(set)
+    for d, start, end, first in brute_passages(rows):
+        if not first:
+            later[d] |= set(range(start, end))
+    out = []
+    for d, t in rows:
+        parts = re.findall(r"^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "")
+        at = -1 if parts and not parts[0].strip(" \t\n\x0b\x0c\r") else 0
+        left = "".join(p for k, p in enumerate(parts) if k + at not in later[d])
+        if not later[d]:
+            out.append((d, t))
+        elif left.strip(" \t\n\x0b\x0c\r"):
+            out.append((d, left))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("kind", ["table", "odd", "passages", "passages in hot grams"])
+def test_op9_equals_all_stretches(spark, kind):
+    if kind == "table":
+        docs = documents(spark)
+    elif kind == "odd":
+        docs = frame(spark, [r for r in odd_rows() if r[0] != 13] + [(13, "word " * 3000)])
+    else:
+        docs = frame(spark, passage_rows()).repartition(7)
+    rows, cfg = texts(docs), sparse_suffix.Passages(most=5 if kind == "passages in hot grams" else 4096)
+    got = sparse_suffix.repeated_passages(docs, cfg)
+    assert Counter((r.doc_id, r.start_word, r.end_word, r.first) for r in got.collect()) == Counter(brute_passages(rows))
+    if kind != "odd":  # there rows with one doc_id differ
+        left = sparse_suffix.remove_repeats(docs, cfg, length_col=None)
+        assert left.columns == docs.columns
+        assert Counter(texts(left)) == cut_by_brute_force(rows)
     assert sparse_suffix.repeated_passages(docs.limit(0)).count() == 0
-    touched = {d for d, _, _, first in brute_passages(rows) if not first}
-    assert {r for r in rows if r[0] not in touched} <= set(texts(left))
+
+
+def test_op9_neighbours_over_the_edges_of_tasks(spark):
+    """One passage in every document: its suffixes go on over many tasks."""
+    rng = np.random.default_rng(10)
+    body = rng.choice(WORDS, 90).tolist()
+    rows = [(k, " ".join([*rng.choice(WORDS, 5), *body, *rng.choice(WORDS, 5)])) for k in range(200)]
+    conf = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sparse_suffix.repeated_passages(frame(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert Counter((r.doc_id, r.start_word, r.end_word, r.first) for r in got) == Counter(brute_passages(rows))
+
+
+def test_op9_long_texts_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sparse_suffix, "CHUNK", 64)
+    rng = np.random.default_rng(11)
+    body = rng.choice(WORDS, 700).tolist()
+    for text in (" ".join(body + body), " ".join(["a"] * 500), " ".join(body)):
+        key, place = sparse_suffix.suffixes(text, sparse_suffix.Passages())
+        assert place[:, 2].sum() == len(text.split()) - 49  # every stretch has its suffix
+        assert len(key) == len(place)
 
 
 def test_op9_cuts_words_and_the_space_behind():

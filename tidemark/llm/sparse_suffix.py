@@ -1,79 +1,64 @@
 """Repeated passages by a sparse suffix array over word positions.
 
-Of every ``min_words - gram + 1`` consecutive word positions the one whose ``gram`` words hash least
-is retained (a minimiser), so two copies of a passage of min_words words retain a common suffix. The
-retained suffixes of all documents are sorted by their first words and neighbours are compared; only
-those that agree with a neighbour are looked at again. They are extended left and right in their own
-texts: every stretch of min_words words that contains the suffix's first words is hashed, the
-stretches are sorted, and neighbours that agree are repeats. The union of repeated stretches is
-exactly the set of passages of min_words or more words that occur twice.
-
-Both sorts are range sorts whose ties are cut by document and position, so a passage that stands in
-a third of the documents is spread over many tasks; what meets at the edges of tasks is settled from
-one row per task. Words are runs of other than ASCII white space and are compared exactly; the white
-space between them doesn't matter.
-
-Defined results: null and short texts have no passage; rows alike in doc_id and text are one
-document; a passage twice in one document is a repeat too; the occurrence with the least
-(doc_id, position) is the first, the others are later ones; null doc_id sorts first.
+Every stretch of ``min_words`` words has a least run of ``gram`` words (by hash, leftmost of equals):
+its minimiser. The suffixes that start at minimisers are retained; a suffix owns the neighbouring
+stretches whose minimiser it is, and their words are its own text. Equal stretches have equal
+minimisers at the same place in them, so a stretch's copies are found among the suffixes that begin
+with the same gram.
+
+The suffixes are sorted by gram and by a 128-bit digest of their own text, and neighbours are compared.
+Own texts that are alike (the inside of a passage that stands in several places) are repeats as a whole:
+one row each. What is left, one suffix for each different own text of a gram, is compared by words:
+suffixes are sorted by their words, word for word to the right, then word for word to the left, and
+those that stay neighbours over all the words of a stretch share it. Each gives its repeated stretches as
+intervals, and the intervals of a document are joined: the union of repeated stretches is exactly the
+set of passages of min_words or more words that occur twice.
+
+The first sort is a range sort whose ties are cut by document and position, so a passage that stands
+in a third of the documents is spread over many tasks; what meets at the edges of tasks is settled from
+two rows a task. Grams with more than ``most`` different own texts go another exact way: a row for
+each of their stretches, and a group-by of the stretches' digests.
+
+Words are runs of other than ASCII white space; the white space between them doesn't matter. They are
+compared themselves, but for whole own texts, and stretches of the other way, which are the same if
+their 128-bit BLAKE2 digests are.
+
+Defined results: null and short texts have no passage; rows alike in doc_id and text are one document; a
+passage twice in one document is a repeat too; the occurrence with the least (doc_id, position) is the
+first, the others are later ones; a null doc_id (or -2^63) sorts first; texts of any length are read
+whole, CHUNK stretches at a time; an empty table gives no row; further columns are carried along by
+``remove_repeats`` and not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, small_batches
+from .shared import free_name, materialise, skew_safe_lookup, small_batches
+from .words import Words
 
-SPANS = "doc_id long, start_word long, end_word long, n_words long, first boolean"
-CHUNK = 1 << 18  # words of a long text that are hashed at once
-MULTIPLIER = 0x9E3779B97F4A7C15
+CHUNK = 1 << 16  # stretches of a long text that are looked at together
+NO_ID = -(1 << 63)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SUFFIX = ["gram", "d1", "d2", "rid", "text_key", "start", "head", "count"]
+_SUFFIX_TYPES = "gram long, d1 long, d2 long, rid long, text_key long, start long, head short, count int"
+_INTERVAL = "rid long, text_key long, start_word long, end_word long, later boolean"
 
 
 @dataclass(frozen=True)
 class Passages:
     min_words: int = 50
-    gram: int = 25
-
-
-class _Hasher:
-    """Hashes of runs of words, from prefix sums of a polynomial over the text's bytes (mod 2^64)."""
-
-    def __init__(self) -> None:
-        rng = np.random.default_rng(20240229)
-        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, 2 * len(self.powers), 1 << 16)
-            self.powers, self.inverse = (
-                np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(x)))))
-                for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))
-            )
-
-    def prepare(self, words: list[bytes]) -> None:
-        text = np.frombuffer(b" ".join(words), np.uint8)
-        self._grow(len(text) + 1)
-        gap = np.flatnonzero(text == 32)
-        self.starts = np.concatenate(([0], gap + 1))
-        self.ends = np.concatenate((gap, [len(text)]))
-        self.prefix = np.concatenate(([np.uint64(0)], np.cumsum(self.letters[text] * self.powers[: len(text)])))
-
-    def runs(self, first: np.ndarray, size: int) -> np.ndarray:
-        """Hash of the ``size`` words from each of the given ones."""
-        s, e = self.starts[first], self.ends[first + size - 1]
-        h = (self.prefix[e] - self.prefix[s]) * self.inverse[s]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(33))
+    gram: int = 12
+    most: int = 4096
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,151 +70,328 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _chunks(text: str | None, least: int) -> Iterator[tuple[int, list[bytes]]]:
-    words = text.encode("utf-8").split() if text else []
-    for at in range(0, max(0, len(words) - least + 1), CHUNK):
-        yield at, words[at : at + CHUNK + least - 1]
+def _digests(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128-bit digests, as two integers each, of the words first .. last."""
+    cuts = map(slice, words.starts[first].tolist(), words.ends[last].tolist())
+    raw = b"".join(hashlib.blake2b(words.raw[c], digest_size=16).digest() for c in cuts)
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
-def minimisers(text: str | None, cfg: Passages, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the first words, position) of each retained suffix."""
-    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+def suffixes(text: str | None, cfg: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Retained suffixes of a text: (gram, d1, d2) and (start, head, count): first word of the first of its
+    stretches, words before the suffix in it, and number of its stretches."""
+    keys, places = [np.empty((0, 3), np.int64)], [np.empty((0, 3), np.int64)]
     low = np.uint64((1 << 20) - 1)
-    for at, words in _chunks(text, cfg.min_words):
-        hasher.prepare(words)
-        h = hasher.runs(np.arange(len(words) - cfg.gram + 1), cfg.gram)
+    split = text.encode("utf-8").split() if text else []
+    for at in range(0, len(split) - cfg.min_words + 1, CHUNK):
+        words = Words(split[at : at + CHUNK + cfg.min_words - 1])
+        h = words.runs(cfg.gram)
         ranked = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        least = np.unique(_sliding_min(ranked, cfg.min_words - cfg.gram + 1) & low).astype(np.int64)
-        hashes.append(h[least])
-        places.append(least + at)
-    if len(places) > 2:  # chunks overlap
-        place, one = np.unique(np.concatenate(places), return_index=True)
-        return np.concatenate(hashes)[one], place
-    return hashes[-1], places[-1]
-
-
-def stretches(text: str | None, suffixes: np.ndarray, cfg: Passages, hasher: _Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of every min_words-word stretch that holds one of the suffixes' first words."""
-    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    reach = cfg.min_words - cfg.gram
-    for at, words in _chunks(text, cfg.min_words):
-        last = min(CHUNK, len(words) - cfg.min_words + 1)
-        near = suffixes[(suffixes >= at) & (suffixes < at + last + reach)] - at
-        cover = np.zeros(last + reach + cfg.min_words + 1, np.int32)
-        np.add.at(cover, np.maximum(near - reach, 0), 1)
-        np.add.at(cover, near + 1, -1)
-        first = np.flatnonzero(np.cumsum(cover)[:last] > 0)
-        if len(first):
-            hasher.prepare(words)
-            hashes.append(hasher.runs(first, cfg.min_words))
-            places.append(first + at)
-    return np.concatenate(hashes), np.concatenate(places)
+        least = (_sliding_min(ranked, cfg.min_words - cfg.gram + 1) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        count = np.diff(np.append(first, len(least)))
+        suffix = least[first]
+        digests = _digests(words, first, first + count + cfg.min_words - 2)
+        keys.append(np.column_stack([h[suffix].view(np.int64), digests]))
+        places.append(np.column_stack([first + at, suffix - first, count]))
+    return np.concatenate(keys), np.concatenate(places)
 
 
-def compare_neighbours(rows: DataFrame, name: str) -> DataFrame:
-    """rows (hash, doc_id, text_key, place) sorted; adds ``later`` (an unlike row with this hash sorts
-    before) and ``repeated`` (before or behind), and drops repetitions of one row. ``later`` and
-    ``repeated`` at the edges of tasks are set from the first and last hash of each task."""
-    order = ["hash", "doc_id", "text_key", "place"]
+def _referred(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, text_key: what tells documents apart; neither is null."""
+    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return docs.select(rid.alias("rid"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+
+
+def _retained(keyed: DataFrame, cfg: Passages) -> DataFrame:
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [suffixes(t, cfg) for t in part.column(2).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(p) for _, p in found]))
+                key, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                cols = [pa.array(np.ascontiguousarray(key[:, k])) for k in range(3)]
+                cols += [part.column(0).take(row), part.column(1).take(row), pa.array(np.ascontiguousarray(place[:, 0]))]
+                cols += [pa.array(place[:, 1].astype(np.int16)), pa.array(place[:, 2].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, _SUFFIX)
+
+    return keyed.mapInArrow(run, _SUFFIX_TYPES)
+
+
+class _Neighbours:
+    """Compares sorted suffixes with their neighbours, a batch at a time. Of suffixes with one gram and
+    digest the first is held until it is known whether it has a twin, and whether its gram has others."""
+
+    def __init__(self) -> None:
+        self.last: np.ndarray | None = None  # the row before the next batch
+        self.held: np.ndarray | None = None  # the first of its class
+        self.twin = self.shared = False
+        self.edge = True  # nothing has been given out yet
+
+    def take(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, flags: first, twin, shared, edge) that are settled. rows: a row each, as _SUFFIX."""
+        before = np.vstack([rows[:1] if self.last is None else self.last[None], rows[:-1]])
+        same = rows == before
+        new = ~same.all(axis=1)
+        if self.last is None:
+            new[0] = True
+        rows, same = rows[new], same[new]
+        if not len(rows):
+            return
+        new_class, new_gram = ~same[:, :3].all(axis=1), ~same[:, 0]
+        if self.last is None:
+            new_class[0] = new_gram[0] = True
+        self.last = rows[-1]
+        first = np.flatnonzero(new_class)
+        others = rows[~new_class]
+        if len(others):
+            yield others, np.zeros((len(others), 4), bool)
+        if self.held is not None:
+            self.twin |= not new_class[0]
+            if len(first):
+                self.shared |= not new_gram[first[0]]
+                yield from self.settle(False)
+        if len(first):
+            twin = np.append(~new_class[first[:-1] + 1], first[-1] + 1 < len(rows))
+            shared = ~new_gram[first]
+            shared[:-1] |= ~new_gram[first[1:]]
+            keep = (twin | shared)[:-1]
+            if self.edge and len(first) > 1:  # the first of all is given out whatever it is
+                keep[0] = True
+            if keep.any():
+                at = np.flatnonzero(keep)
+                flags = np.column_stack([np.ones(len(at), bool), twin[at], shared[at], (at == 0) & self.edge])
+                yield rows[first[at]], flags
+            self.edge &= len(first) == 1
+            self.held, self.twin, self.shared = rows[first[-1]], bool(twin[-1]), bool(shared[-1])
+
+    def settle(self, end: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held is not None and (end or self.edge or self.twin or self.shared):
+            yield self.held[None], np.array([[True, self.twin, self.shared, end or self.edge]])
+            self.edge = False
+
+
+def _compared(retained: DataFrame) -> DataFrame:
+    """Suffixes that share a gram or a digest: _SUFFIX, first (of its class), twin (its class has others),
+    shared (its gram has other classes)."""
+    types = f"{_SUFFIX_TYPES}, first boolean, twin boolean, shared boolean, edge boolean, part int"
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        held, before = None, None  # the last row so far, and the hash of the row before it
+        part, state = TaskContext.get().partitionId(), _Neighbours()
+
+        def given(rows: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+            cols = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(6)]
+            cols += [pa.array(rows[:, 6].astype(np.int16)), pa.array(rows[:, 7].astype(np.int32))]
+            cols += [pa.array(np.ascontiguousarray(flags[:, k])) for k in range(4)] + [pa.array(np.full(len(rows), part, np.int32))]
+            return pa.RecordBatch.from_arrays(cols, [*_SUFFIX, "first", "twin", "shared", "edge", "part"])
+
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            cols = [table.column(c).combine_chunks() for c in order]
-            filled = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in cols]
-            none = cols[1].is_null().to_numpy(zero_copy_only=False)
-            new = np.ones(table.num_rows, bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in (*filled, none)], axis=0)
-            at = np.flatnonzero(new)
-            h = filled[0][at]
-            later = np.concatenate(([before is not None and h[0] == before], h[1:] == h[:-1]))
-            repeated = later.copy()
-            repeated[:-1] |= later[1:]
-            out = table.take(pa.array(at)).append_column("later", pa.array(later)).append_column("repeated", pa.array(repeated))
-            held = table.slice(int(at[-1]), 1)
-            if len(at) > 1:
-                before = h[-2]
-                yield from out.slice(0, len(at) - 1).append_column("part", pa.array(np.full(len(at) - 1, part, np.int32))).combine_chunks().to_batches()
-        if held is not None:
-            again = before is not None and held.column("hash")[0].as_py() == before
-            for flag in ("later", "repeated"):
-                held = held.append_column(flag, pa.array([again]))
-            yield from held.append_column("part", pa.array([part], pa.int32())).to_batches()
-
-    dealt = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = materialise(dealt.mapInArrow(run, "hash long, doc_id long, text_key long, place long, later boolean, repeated boolean, part int"), name)
-    ends = marked.groupBy("part").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).orderBy("part").collect()
-    edges = []  # two rows a task at most: (part, hash, comes before in an earlier task, goes on in a later one)
-    for one, two in zip(ends[:-1], ends[1:], strict=True):
-        if one.high == two.low:
-            edges += [(one.part, one.high, False), (two.part, two.low, True)]
-    if not edges:
-        return marked.drop("part")
-    met = rows.sparkSession.createDataFrame(edges, "part int, hash long, behind boolean").groupBy("part", "hash").agg(F.max("behind").alias("behind"))
-    return marked.join(F.broadcast(met), ["part", "hash"], "left").select(
-        *order, F.expr("later or coalesce(behind, false)").alias("later"), F.expr("repeated or behind is not null").alias("repeated")
-    )
+            if batch.num_rows:
+                rows = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(len(_SUFFIX))])
+                for out in state.take(rows):
+                    yield given(*out)
+        for out in state.settle(True):
+            yield given(*out)
+
+    order = ["gram", "d1", "d2", "rid", "text_key", "start"]
+    dealt = retained.select(*_SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = materialise(dealt.mapInArrow(run, types), "suffixes")
+    # the first and last class of each task, two rows a task: here classes and grams may go on
+    edges = [r.asDict() for r in marked.filter("edge").orderBy("part", *order).collect()]
+    for _, same_gram in groupby(edges, key=lambda r: r["gram"]):
+        classes = [list(rows) for _, rows in groupby(same_gram, key=lambda r: (r["d1"], r["d2"]))]
+        shared = len(classes) > 1 or any(r["shared"] for r in classes[0])
+        for first, *others in classes:
+            first |= {"shared": shared, "twin": first["twin"] or bool(others)}
+            for r in others:
+                r["first"] = False
+    settled = marked.sparkSession.createDataFrame([tuple(r.values()) for r in edges], marked.schema)
+    return marked.filter("not edge").union(settled).drop("edge", "part")
+
+
+def _names(rows: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """New names for rows: equal where the names before and the next words are equal; -1 for others."""
+    out = np.full(len(before), -1, np.int64)
+    if len(rows):
+        out[rows] = np.unique(before[rows] * (int(code.max()) + 1) + code, return_inverse=True)[1]
+    return out
+
+
+def share_stretches(gram: np.ndarray, head: np.ndarray, count: np.ndarray, twin: np.ndarray, words, cfg: Passages) -> tuple[np.ndarray, ...]:
+    """(row, first stretch, end, later) of the repeated stretches of some suffixes. rows stand in the
+    order of documents and places within a gram; words: list array of each row's own words."""
+    n, least, reach = len(gram), cfg.min_words, cfg.min_words - cfg.gram
+    code = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    begin = words.offsets.to_numpy().astype(np.int64)
+    suffix = begin[:-1] + head
+    right = {0: np.unique(gram, return_inverse=True)[1]}
+    for k in range(least):
+        rows = np.flatnonzero((suffix + k < begin[1:]) & (right[k] >= 0))
+        right[k + 1] = _names(rows, right[k], code[suffix[rows] + k])
+        if k < least - reach:
+            del right[k]  # no stretch ends so near
+    left, found = np.zeros(n, np.int64), [np.empty((0, 3), np.int64)]
+    for o in range(reach + 1):
+        if o:
+            rows = np.flatnonzero((head >= o) & (left >= 0))
+            left = _names(rows, left, code[suffix[rows] - o])
+        rows = np.flatnonzero((head >= o) & (head - count < o))  # whose stretches have o words before the suffix
+        if not len(rows):
+            continue
+        name = right[least - o][rows] * n + left[rows]
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        later, repeated = np.zeros(len(rows), bool), twin[rows].copy()
+        later[order[1:]] = same
+        repeated[order[1:]] |= same
+        repeated[order[:-1]] |= same
+        at = np.flatnonzero(repeated)
+        found.append(np.column_stack([rows[at], head[rows[at]] - o, later[at]]))
+    every = np.concatenate(found)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    if not len(every):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    step = np.diff(every, axis=0)
+    cut = np.flatnonzero(np.concatenate(([True], (step[:, 0] != 0) | (step[:, 1] != 1) | (step[:, 2] != 0))))
+    end = np.append(cut[1:], len(every)) - 1
+    return every[cut, 0], every[cut, 1], every[end, 1] + least, every[cut, 2] > 0
+
+
+def _own_texts(keyed: DataFrame, wanted: DataFrame, cfg: Passages) -> DataFrame:
+    """wanted suffixes with their own words, joined by spaces."""
+    texts = keyed.groupBy("rid", "text_key").agg(F.first("text").alias("text"))  # rows alike are one document
+    lists = wanted.groupBy("rid", "text_key").agg(F.collect_list(F.struct("gram", "start", "head", "count", "twin")).alias("wanted"))  # bounded by the text's length
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.column(3).flatten()
+            fields = [rows.field(k) for k in range(5)]
+            start, count = (fields[k].to_numpy() for k in (1, 3))
+            ends = np.cumsum(batch.column(3).value_lengths().to_numpy().astype(np.int64))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+            own: list[bytes] = []
+            size = done = 0
+
+            def given(upto: int) -> pa.RecordBatch:
+                part, of = slice(done, upto), pa.array(doc[done:upto])
+                cols = [batch.column(0).take(of), batch.column(1).take(of), *(f[part] for f in fields)]
+                return pa.RecordBatch.from_arrays([*cols, pa.array(own, pa.binary()).cast(pa.string())], ["rid", "text_key", "gram", "start", "head", "count", "twin", "own"])
+
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                split = text.encode("utf-8").split()
+                for r in range(int(ends[k - 1]) if k else 0, int(ends[k])):
+                    own.append(b" ".join(split[start[r] : start[r] + count[r] + cfg.min_words - 1]))
+                    size += len(own[-1])
+                    if size > 4 << 20:
+                        yield given(r + 1)
+                        own.clear()
+                        size, done = 0, r + 1
+            if own:
+                yield given(len(doc))
+
+    joined = texts.join(lists.hint("merge"), ["rid", "text_key"]).select("rid", "text_key", "text", "wanted")
+    return joined.mapInArrow(run, "rid long, text_key long, gram long, start long, head short, count int, twin boolean, own string")
+
+
+def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
+    """Intervals of repeated stretches, comparing the suffixes of each gram by words."""
 
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def solve(table: pa.Table) -> pa.RecordBatch:
+            cols = {c: table.column(c).combine_chunks() for c in table.column_names}
+            gram, head, count, twin, start = (cols[c].to_numpy(zero_copy_only=False) for c in ("gram", "head", "count", "twin", "start"))
+            row, first, end, later = share_stretches(gram, head.astype(np.int64), count.astype(np.int64), twin, pc.split_pattern(cols["own"], " "), cfg)
+            taken = pa.array(row)
+            return pa.RecordBatch.from_arrays([cols["rid"].take(taken), cols["text_key"].take(taken), pa.array(start[row] + first), pa.array(start[row] + end), pa.array(later.astype(bool))], ["rid", "text_key", "start_word", "end_word", "later"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            gram = held.column("gram").to_numpy()
+            # the last gram may go on in the next batch; it has at most cfg.most rows
+            keep = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
+            if keep >= 4096:
+                yield solve(held.slice(0, keep))
+                held = held.slice(keep)
+        if held is not None and held.num_rows:
+            yield solve(held)
+
+    dealt = own.repartition("gram").sortWithinPartitions("gram", "rid", "text_key", "start")
+    return dealt.mapInArrow(run, _INTERVAL)
 
-def _per_text(rows: DataFrame, cfg: Passages, with_suffixes: bool) -> DataFrame:
-    """(hash, doc_id, text_key, place) of the minimisers, or of the stretches around given suffixes."""
-    small_batches(rows.sparkSession)
+
+def _by_digests(own: DataFrame, cfg: Passages) -> DataFrame:
+    """The same for grams with very many own texts: a row for each stretch, grouped by digest."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hasher = _Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(2).to_pylist()
-                if with_suffixes:
-                    given = part.column(3)
-                    found = [stretches(t, np.sort(given[i].values.to_numpy()), cfg, hasher) for i, t in enumerate(texts)]
-                else:
-                    found = [minimisers(t, cfg, hasher) for t in texts]
-                row = pa.array(np.repeat(np.arange(len(texts)), [len(p) for _, p in found]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
-                        part.column(0).take(row),
-                        part.column(1).take(row),
-                        pa.array(np.concatenate([p for _, p in found])),
-                    ],
-                    ["hash", "doc_id", "text_key", "place"],
-                )
-
-    return rows.mapInArrow(run, "hash long, doc_id long, text_key long, place long")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+                count = part.column("count").to_numpy()
+                digests = []
+                for text, n in zip(part.column("own").to_pylist(), count.tolist(), strict=True):
+                    first = np.arange(n)
+                    digests.append(_digests(Words(text.encode("utf-8").split(b" ")), first, first + cfg.min_words - 1))
+                row = np.repeat(np.arange(len(count)), count)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                d, taken = np.concatenate(digests), pa.array(row)
+                cols = [pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1)]
+                cols += [part.column("rid").take(taken), part.column("text_key").take(taken), pa.array(part.column("start").to_numpy()[row] + within), part.column("twin").take(taken)]
+                yield pa.RecordBatch.from_arrays(cols, ["d1", "d2", "rid", "text_key", "place", "twin"])
+
+    rows = materialise(own.mapInArrow(run, "d1 long, d2 long, rid long, text_key long, place long, twin boolean"), "stretches")
+    rows = rows.withColumn("digest", F.struct("d1", "d2")).drop("d1", "d2")
+    facts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "text_key", "place")).alias("least"))
+    joined = skew_safe_lookup(rows, materialise(facts, "stretch-facts"), "digest", "copies", rows.count()).filter("copies > 1 or twin")
+    later = F.struct("rid", "text_key", "place") != F.col("least")
+    runs = W.partitionBy("rid", "text_key", "later").orderBy("place")
+    joined = joined.withColumn("later", later).withColumn("run", F.col("place") - F.row_number().over(runs))
+    spans = joined.groupBy("rid", "text_key", "later", "run").agg(F.min("place").alias("start_word"), (F.max("place") + cfg.min_words).alias("end_word"))
+    return spans.select("rid", "text_key", "start_word", "end_word", "later")
+
+
+def _intervals(docs: DataFrame, cfg: Passages, id_col: str, text_col: str) -> DataFrame:
+    """Row per passage: rid, text_key, start_word, end_word, later."""
+    small_batches(docs.sparkSession)
+    keyed = _referred(docs, id_col, text_col)
+    compared = _compared(_retained(keyed, cfg))
+    whole = compared.filter("not first or (twin and not shared)").select(
+        "rid", "text_key", F.col("start").alias("start_word"), (F.col("start") + F.col("count") + (cfg.min_words - 1)).alias("end_word"), (~F.col("first")).alias("later")
+    )
+    wanted = compared.filter("first and shared")
+    sizes = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cfg.most)
+    # more than cfg.most rows of each such gram: few grams beside the rows, but their number grows with the data
+    sizes = materialise(sizes, "hot-grams")
+    own = materialise(_own_texts(keyed, wanted.drop("d1", "d2", "first", "shared"), cfg), "own-texts")
+    found = whole
+    if sizes.first() is None:
+        found = found.union(_by_words(own, cfg))
+    else:
+        found = found.union(_by_words(own.join(sizes, "gram", "left_anti"), cfg)).union(_by_digests(own.join(sizes, "gram", "left_semi"), cfg))
+    order = W.partitionBy("rid", "text_key", "later").orderBy("start_word", "end_word")
+    so_far = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
+    islands = found.withColumn("new", F.coalesce(F.col("start_word") > so_far, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
+    return islands.groupBy("rid", "text_key", "later", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
 
 
 def repeated_passages(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per passage of a document that occurs again: doc_id, text_key, word span, first."""
-    keyed = _keyed(docs, id_col, text_col)
-    suffixes = materialise(_per_text(keyed, cfg, False), "suffixes")
-    shared = compare_neighbours(suffixes, "suffix-neighbours").filter("repeated")
-    places = shared.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))  # bounded by the text's length
-    places = places.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    same = keyed["doc_id"].eqNullSafe(places["_id"]) & (keyed["text_key"] == places["_key"])
-    texts = keyed.join(places, same).select("doc_id", "text_key", "text", "places")
-    around = materialise(_per_text(texts, cfg, True), "stretches")
-    repeats = compare_neighbours(around, "stretch-neighbours").filter("repeated")
-    runs = W.partitionBy("doc_id", "text_key", "later").orderBy("place")
-    gap = F.col("place") > F.lag("place").over(runs) + cfg.min_words
-    islands = repeats.withColumn("new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("new").over(runs))
-    spans = islands.groupBy("doc_id", "text_key", "later", "run").agg(F.min("place").alias("start_word"), (F.max("place") + cfg.min_words).alias("end_word"))
-    return spans.select("doc_id", "text_key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (~F.col("later")).alias("first"))
+    spans = _intervals(docs, cfg, id_col, text_col)
+    doc_id = F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id")
+    return spans.select(doc_id, "text_key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (~F.col("later")).alias("first"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -248,11 +410,12 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """Documents without their later occurrences of passages; what is left without a word goes. The
     first occurrence of each passage stays where it is, and other texts stay as they are."""
-    later = repeated_passages(docs, cfg, id_col, text_col).filter(~F.col("first"))
+    later = _intervals(docs, cfg, id_col, text_col).filter("later")
     one, key, spans = (free_name(docs, c) for c in ("cut_id", "cut_key", "cut_spans"))
-    cuts = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
-    cuts = cuts.withColumnsRenamed({"doc_id": one, "text_key": key})
-    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.xxhash64(text_col) == F.col(key)), "left")
+    cuts = later.groupBy("rid", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
+    cuts = materialise(cuts.withColumnsRenamed({"rid": one, "text_key": key}), "cuts")
+    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    joined = docs.join(cuts, (rid == F.col(one)) & (F.xxhash64(text_col) == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, found):
