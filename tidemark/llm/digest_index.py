@@ -5,6 +5,10 @@ The index is a table bucketed and sorted by the digest. A batch is reduced to on
 that the index lacks are found by a sort-merge anti-join that reads the index without a shuffle, and
 those are appended. The texts themselves are never shuffled to take the decision.
 
+The number of buckets is the table's own once it exists, whatever a later session's settings are. Each
+append adds a sorted file to the buckets; ``compact`` makes it one sorted file a bucket again. The table
+lies in the warehouse, or at ``location``, which has to be a folder that all executors see.
+
 Defined results: null text counts as empty; of equal texts in a batch, the row with the largest
 doc_id stays, unless the index already had the text, then none stays; rows alike in doc_id and text
 are decided alike, and ``deduplicate`` returns one of them; a null doc_id stays only where its text
@@ -32,19 +36,42 @@ class DigestIndex:
     spark: SparkSession
     table: str
     buckets: int | None = None
+    location: str | None = None
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.table)
 
-    def _save(self, digests: DataFrame, mode: str) -> None:
-        buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def bucket_count(self) -> int:
+        """The table's; for a new one the parameter, or else the session's shuffle partitions."""
+        if self.exists():
+            facts = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {self.table}").collect()}
+            return int(facts["Num Buckets"])
+        return self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _save(self, digests: DataFrame, mode: str, table: str | None = None) -> None:
         writer = digests.write.format("parquet").mode(mode)
-        writer.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        if self.location and table is None:
+            writer = writer.option("path", self.location)
+        writer.bucketBy(self.bucket_count(), "digest").sortBy("digest").saveAsTable(table or self.table)
 
     def create(self) -> DigestIndex:
+        """An empty index; one of that name is dropped."""
+        self.drop()
         self._save(self.spark.createDataFrame([], INDEX), "overwrite")
         return self
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
+    def compact(self) -> None:
+        """One sorted file a bucket: the rows are read bucket by bucket and written anew, then put in the
+        old ones' place. Where that was broken off, the rows are in the table named with _compacted."""
+        other = f"{self.table}_compacted"
+        self.spark.sql(f"DROP TABLE IF EXISTS {other}")
+        self._save(self.rows().repartition(self.bucket_count(), "digest"), "overwrite", other)
+        self._save(self.spark.table(other).repartition(self.bucket_count(), "digest"), "overwrite")
+        self.spark.sql(f"DROP TABLE {other}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -7,12 +7,13 @@ scaled by its class log-count ratio, each text's vector to unit length, and a li
 is fitted by dual coordinate descent. A logistic curve, fitted on rows that the descent did not see,
 turns margins into scores.
 
-The fit uses a sample of at most ``max_rows`` labelled rows, picked by a hash of doc_id; it is a
-parameter and does not grow with the data, so the sample's ids are broadcast and its indicators come
-to the driver. Every whole text is scored, without a shuffle.
+The fit uses a sample of at most ``max_rows`` labelled doc_ids, picked by a hash of doc_id, one text of
+each, with at most ``max_indicators`` indicators together (the first rows of the hash' order that keep to
+it); the bounds are parameters and do not grow with the data, so the sample's ids are broadcast and its
+indicators come to the driver. Every whole text is scored, without a shuffle.
 
 Defined results: null text counts as empty and, like every text without a token, has the bias' score;
-a doc_id with several labels has the least; null labels are not learnt from; with no label of a class
+a doc_id with several labels has the least, and of several texts the least is learnt from; null labels are not learnt from; with no label of a class
 every score is the share of label 1 among the sample (0.5 if there is none); further columns of the
 documents are not looked at.
 """
@@ -26,13 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import materialise, small_batches
 
 
 @dataclass(frozen=True)
 class NbSvm:
     buckets: int = 1 << 18
     max_rows: int = 6000
+    max_indicators: int = 1 << 26  # of all sampled rows together
     alpha: float = 1.0  # smoothing of the log-count ratios
     cost: float = 1.0
     epochs: int = 20
@@ -180,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != cfg.held_fold))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_rows)  # bounded, so it can be broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("doc_id", "text", "y")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -190,7 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
                 found = [indicators(t, cfg.buckets).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "found"])
 
-    got = sorted(picked.mapInArrow(run, "doc_id long, y int, found binary").collect(), key=lambda r: (r.doc_id, r.found))
+    found = materialise(picked.mapInArrow(run, "doc_id long, y int, found binary"), "sample")
+    sizes = found.select("doc_id", (F.length("found") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    upto = int(np.searchsorted(np.cumsum([r.n for r in sizes]), cfg.max_indicators, side="right"))
+    kept = [r.doc_id for r in sizes[:upto]]  # at most max_rows ids
+    if upto < len(sizes):
+        found = found.filter(F.col("doc_id").isin(kept))
+    got = sorted(found.collect(), key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.found, np.uint32) for r in got], np.array([1 if r.y > 0 else -1 for r in got], np.int64), cfg)
 
 

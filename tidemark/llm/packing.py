@@ -5,10 +5,11 @@ rest is cut into pieces of at most ``piece`` tokens. The pieces are dealt into s
 number of tokens. In a shard, each piece begins as a partial partition over k windows; the two with
 the largest spread are merged again and again, the heavy windows of one with the light ones of the
 other, until one partition is left: k windows of nearly equal load. k begins at the least possible
-number and rises while a window is over capacity.
+number and rises while a window is over capacity. Very small pieces are bundled before.
 
 Defined results: a null text is an empty one (its document is the end id alone); rows with equal
-doc_id are packed as documents of their own; an empty table gives no row.
+doc_id, and rows that are alike, are packed as documents of their own; a null doc_id is carried along;
+a text of any length is cut whole; an empty table gives no row; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -74,13 +75,27 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return window[parent]
 
 
+def bundles(sizes: np.ndarray, least: int) -> np.ndarray:
+    """Bundle of each piece: pieces of fewer than ``least`` tokens are put together, in bundles of fewer
+    than twice as many, so that a shard's differencing has no more parts than its tokens allow."""
+    small = sizes < least
+    begin = np.cumsum(sizes[small]) - sizes[small]
+    out = np.empty(len(sizes), np.int64)
+    out[small] = np.unique(begin // least, return_inverse=True)[1]
+    taken = int(out[small].max(initial=-1)) + 1
+    out[~small] = taken + np.arange(int((~small).sum()))
+    return out
+
+
 def pack_shard(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """(window of each piece, windows). The number of windows rises until every load fits."""
+    bundle = bundles(sizes, capacity // 16)
+    loads = np.bincount(bundle, weights=sizes).astype(np.int64)
     k = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        window = difference(sizes, k)
-        if np.bincount(window, weights=sizes, minlength=k).max() <= capacity:
-            return window, k
+        window = difference(loads, k)
+        if np.bincount(window, weights=loads, minlength=k).max() <= capacity:
+            return window[bundle], k
         k += 1
 
 
@@ -114,10 +129,10 @@ def pieces(docs: DataFrame, cfg: Packing, id_col: str = "doc_id", text_col: str
 
 def pack(docs: DataFrame, cfg: Packing, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per piece, with its sequence and its offset in it."""
-    cut = materialise(pieces(docs, cfg, id_col, text_col), "pieces")
+    cut = materialise(pieces(docs, cfg, id_col, text_col).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / (cfg.window * cfg.shard_windows)))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("salt"), F.lit(shards))).drop("salt")
 
     def run(pdf):
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "doc_tokens"], kind="stable", na_position="first").reset_index(drop=True)

@@ -30,11 +30,24 @@ def op2_exact_dedup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").create()
     rows = index.ingest(_table(spark, sf_dir, "documents"))
+    index.drop()  # the answer holds what it needs of it
     return rows.select(
         "doc_id", "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
+def digest_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches into one index: what the first has brought, the second doesn't keep."""
+    import uuid
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = digest_index.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=16).create()
+    batches = [index.ingest(docs.filter(F.pmod("doc_id", F.lit(2)) == k)).withColumn("batch", F.lit(k)) for k in (0, 1)]
+    index.compact()
+    index.drop()
+    return batches[0].union(batches[1]).select("doc_id", "batch", "keep_id", F.col("copies").alias("batch_copies"), "kept")
+
+
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_repair_token_store,
         op2_exact_dedup_index,
+        digest_index_batches,
         op3_perspective_rotation,
         op4_warc_revisits,
         op5_pivot_top_k,
@@ -90,6 +104,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "digest_index_batches": """
+        WITH d AS (SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS batch, coalesce(text, '') AS t FROM documents),
+        b AS (SELECT t, batch, max(doc_id) AS top, count(*) AS n FROM d GROUP BY t, batch),
+        k AS (SELECT t, arg_min(top, batch) AS keep_id FROM b GROUP BY t)
+        SELECT d.doc_id, d.batch, k.keep_id, b.n AS batch_copies, d.doc_id = k.keep_id AS kept
+        FROM d JOIN b ON d.t = b.t AND d.batch = b.batch JOIN k ON d.t = k.t""",
     "op3_perspective_rotation": """
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,

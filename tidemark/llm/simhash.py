@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard_join
 from .components import connected_components
+from .jaccard_join import Alike
 from .shared import free_name, materialise, skew_safe_lookup, small_batches
 
 SEED = 42
@@ -202,10 +204,12 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0")).cast(T.StringType())
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: Alike | None = None) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id. Rows without
-    a doc_id can't be told apart by it and all stay; so do rows that share the least doc_id."""
+    a doc_id can't be told apart by it and all stay; so do rows that share the least doc_id. alike: groups
+    are linked by that similarity of shingle sets, exactly, instead of by MAX_BITS bits of fingerprints."""
     mine = free_name(docs, "stays_id")
-    stays = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike) if alike else near_duplicates(docs, id_col, text_col)
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).join(stays, F.col(id_col).cast("long") == F.col(mine), "left_semi")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
