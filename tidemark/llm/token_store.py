@@ -32,7 +32,7 @@ class TokenFormat:
     tokenizer: str  # path of the tokenizers JSON file
     vocabulary: int = 50257
     end_id: int = 2
-    shard_ids: int = 1 << 20
+    shard_ids: int = 1 << 18
     min_count: int = repair_codec.MIN_COUNT  # a pair that occurs less often doesn't pay for its rule
 
 
