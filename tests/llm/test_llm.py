@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL, same
+from tidemark.llm.shared import materialise
 from tidemark.llm import chat_rotation, components, digest_index, nbsvm, packing, piece_bpe, pivot_search, queries, repair_codec, simhash, sparse_suffix, token_store, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -170,21 +171,30 @@ def test_op2_odd_rows(spark):
     index.drop()
 
 
-def test_op3_odd_rows(spark):
+@pytest.mark.parametrize("part_turns", [2, 1024])
+def test_op3_odd_rows(spark, part_turns):
     rows = [(1, 0, "a", "hi"), (1, 1, "b", None), (1, 1, "b", None), (1, None, None, ""), (None, 5, "a", "x"), (2, 3000, "a", "far"), (2, 0, "c", "near")]
-    got = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("lines", F.lit(1)))
-    for r in got.collect():
-        said = sorted(((-1 if t is None else t), role or "unknown", text or "") for c, t, role, text in rows if c == r.conv_id and (t or 0) // 1024 == r.part)
-        text, spans = "", []
-        for _, role, body in said:
-            own = role == r.participant
-            text += "<|assistant|>\n" if own else f"<|user name={role}|>\n"
-            start = len(text)
-            text += body + "<|end|>\n"
-            spans += [f"{start}-{len(text)}"] * own
-        assert (r.rendered, r.spans, r.n_turns, r.own_turns) == (text, ",".join(spans), len(said), len(spans))
-    assert {(r.conv_id, r.participant) for r in got.collect()} == {(1, "a"), (1, "b"), (1, "unknown"), (None, "a"), (2, "a"), (2, "c")}
-    assert chat_rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    rows += [(3, None, "a", "same")] * 5 + [(3, 7, "b", "long " * 100_000), (3, 7, "a", "ties"), (3, 1 << 60, "b", "late")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat_rotation.rotate(turns.withColumns({c: F.lit("x") for c in ("part", "lines", "pos", "salt")}), part_turns).collect()
+    placed = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "unknown", r[3] or "")):
+        placed[c].append((role or "unknown", text or ""))
+    want = {}
+    for c, said in placed.items():
+        for part in range(-(-len(said) // part_turns)):
+            own_part = said[part * part_turns : (part + 1) * part_turns]
+            for speaker in {role for role, _ in said}:
+                text, spans = "", []
+                for role, body in own_part:
+                    own = role == speaker
+                    text += "<|assistant|>\n" if own else f"<|user name={role}|>\n"
+                    start = len(text)
+                    text += body + "<|end|>\n"
+                    spans += [f"{start}-{len(text)}"] * own
+                want[c, part, speaker] = (text, ",".join(spans), len(own_part), len(spans))
+    assert {(r.conv_id, r.part, r.participant): (r.rendered, r.spans, r.n_turns, r.own_turns) for r in got} == want and len(got) == len(want)
+    assert chat_rotation.rotate(turns.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("odd", [False, True])
@@ -209,6 +219,26 @@ def test_op4_archives(spark, odd):
     assert warc.deduplicate_archives(pages.limit(0)).count() == 0
 
 
+def test_op4_records_have_ids_of_their_own_and_revisits_name_their_original(spark):
+    rows = [(1, "u1", "x"), (2, "u2", "x"), (2, "u2", "x"), (3, None, "y"), (4, "u4", "y"), (None, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    first = warc.write_responses(pages, queries.token_store.shared_path(spark, "warc"))
+    resolved = warc.resolve(warc.read_headers(spark, first))
+    second = warc.write_deduplicated(resolved, queries.token_store.shared_path(spark, "warc"), 3)
+    for manifest in (first, second):
+        records = []
+        for r in manifest.collect():
+            with open(r.path.removeprefix("file://"), "rb") as source:
+                records += [warc.parse_record(raw)[0] for _, _, raw in warc.read_archive(source)]
+        ids = {f["WARC-Record-ID"]: f for f in records}
+        assert len(ids) == len(rows)
+        for f in records:
+            if f["WARC-Type"] == "revisit":
+                of = ids[f["WARC-Refers-To"]]
+                assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+                assert f["WARC-Refers-To-Target-URI"] == of["WARC-Target-URI"] and f["WARC-Refers-To-Date"] == of["WARC-Date"]
+
+
 def test_op5_odd_rows(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8)).round(2)
@@ -249,6 +279,44 @@ def test_op5_one_pivot_over_many_files_read_by_one_task(spark):
         assert got[q] == sorted(((int(s), c) for c, s in enumerate(scores) if c != q), key=lambda p: (-p[0], p[1]))[:5]
 
 
+def test_op5_reads_only_ranges_that_can_reach_the_floor():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(400, 3))
+    x = np.floor(256 * x / np.sqrt((x * x).sum(axis=1))[:, None])  # of one length: near in angle is near
+    radius2 = float((x * x).sum(axis=1).max())
+    pivots = pivot_search._spread_pivots(pivot_search._lift(x[:100], radius2), 6)
+    d = pivot_search._distances(pivot_search._lift(x, radius2), pivots)
+    near = d.argmin(axis=1)
+    own = d[np.arange(400), near]
+    read = {}
+    for k in (1, 20):
+        inside = 0
+        for at in range(0, 400, 5):
+            q = x[np.lexsort((own, near))[at : at + 5]]
+            scores = q @ x.T
+            floor = np.partition(scores[:, :100], 100 - k, axis=1)[:, -k]
+            low, high = pivot_search.needed_ranges(q, floor, pivot_search._distances(np.column_stack([q, np.zeros(len(q))]), pivots), radius2)
+            kept = (own >= low[near]) & (own <= high[near])
+            assert not ((scores >= floor[:, None]) & ~kept[None]).any()
+            inside += kept.sum()
+        read[k] = inside
+    assert read[1] < read[20] < 80 * 400 and read[1] < 0.5 * 80 * 400
+
+
+def test_op5_large_numbers(spark):
+    rows = [(i, [float((i * 7919) % 1009 + 1) * 2.0**12, float(i % 13) + 0.25, -1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [[int(256 * x // 1) for x in v] for _, v in rows]
+    got = defaultdict(list)
+    for r in pivot_search.top_k(df, F.col("vec_id") % 10 == 0, pivot_search.PivotSearch(block=4)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 60, 10):
+        scores = sorted(((sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q), key=lambda p: (-p[0], p[1]))[:5]
+        assert got[q] == scores
+    with pytest.raises(ValueError):
+        pivot_search.top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.lit(True))
+
+
 def test_op6_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
@@ -260,6 +328,76 @@ def test_op6_held_out_accuracy(spark):
     assert (order[up].sum() - up.sum() * (up.sum() + 1) / 2) / (up.sum() * (~up).sum()) > 0.95
 
 
+def plain_features(text):
+    """The n-grams of a text as tuples."""
+    import re
+
+    raw = text.encode()
+    tokens = [(m.start(), m.group(), m.lastindex) for m in re.finditer(rb"([A-Za-z\x80-\xff]+)|([0-9]+)|([!-/:-@\[-`{-\x7f]+)", raw)]
+    words = [w for _, w, _ in tokens]
+    shapes = []
+    for i, (at, w, kind) in enumerate(tokens):
+        upper = sum(65 <= b <= 90 for b in w)
+        case = 0 if not upper else 1 if upper == 1 else 2 if upper == len(w) else 3
+        again = (i > 0 and words[i - 1] == w) + 2 * (i > 1 and words[i - 2] == w)
+        glued = at > 0 and raw[at - 1] not in b" \n"
+        shapes.append(w if kind == 3 else (kind, case, min(len(w), 15), again, glued))
+    out = {("word", w) for w in words} | {("words", *p) for p in zip(words, words[1:], strict=False)}
+    for n in (1, 2, 3):
+        out |= {("shapes", *p) for p in zip(*(shapes[k:] for k in range(n)), strict=False)}
+    return out
+
+
+def test_op6_indicators_are_the_n_grams(spark):
+    for _, text in texts(documents(spark))[:60]:
+        want, got = plain_features(text or ""), nbsvm.indicators(text, 1 << 30)
+        assert len(got) == len(want)  # so many buckets that none is shared
+
+
+def test_op6_fit_equals_plain_dual_coordinate_descent():
+    """The same steps in plain Python, over dictionaries."""
+    import math
+
+    rng = np.random.default_rng(15)
+    y = np.where(rng.random(90) < 0.4, 1, -1)
+    rows = [np.unique(rng.choice(40, 8) + (10 if s > 0 else 0)).astype(np.uint32) for s in y]
+    cfg = nbsvm.NbSvm(buckets=64, epochs=30)
+    model = nbsvm.fit(rows, y, cfg)
+    train = [i for i in range(90) if i % 5 != 4]
+    counts = {s: {b: cfg.alpha for b in range(64)} for s in (1, -1)}
+    for i in train:
+        for b in rows[i].tolist():
+            counts[y[i]][b] += 1
+    total = {s: sum(counts[s].values()) for s in counts}
+    ratio = {b: math.log(counts[1][b] / total[1] / (counts[-1][b] / total[-1])) for b in range(64)}
+    vectors = {i: {b: ratio[b] / math.sqrt(len(rows[i])) for b in rows[i].tolist()} for i in train}
+    cost = {s: 0.5 / (sum(y[i] == s for i in train) / len(train)) for s in (1, -1)}
+    w, bias, dual, order = dict.fromkeys(range(64), 0.0), 0.0, dict.fromkeys(train, 0.0), np.random.default_rng(17)
+    for _ in range(cfg.epochs):
+        most = 0.0
+        for i in order.permutation(np.array(train)).tolist():
+            gradient = y[i] * (sum(w[b] * v for b, v in vectors[i].items()) + bias) - 1
+            new = min(max(dual[i] - gradient / (sum(v * v for v in vectors[i].values()) + 1), 0.0), cost[y[i]])
+            change, dual[i] = new - dual[i], new
+            for b, v in vectors[i].items():
+                w[b] += change * y[i] * v
+            bias += change * y[i]
+            most = max(most, abs(change))
+        if most < 1e-3:
+            break
+    assert np.allclose(model.weights, [w[b] * ratio[b] for b in range(64)]) and model.bias == pytest.approx(bias)
+    margins = {i: bias + sum(w[b] * ratio[b] for b in rows[i].tolist()) / math.sqrt(len(rows[i])) for i in range(90)}
+    for i, m in margins.items():
+        assert model.score(rows[i]) == pytest.approx(1 / (1 + math.exp(-(model.slope * m + model.shift))))
+
+
+def test_op6_bounds_the_sample(spark):
+    docs = frame(spark, [(i, f"word{i} " * (i + 1) + "x y z") for i in range(40)] * 3, clashes=False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for cfg in (nbsvm.NbSvm(max_rows=10), nbsvm.NbSvm(max_indicators=60)):
+        assert nbsvm.classify(docs, labels, cfg).count() == 120
+
+
 def test_op6_odd_rows(spark):
     docs = frame(spark, odd_rows())
     labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (6, None, 0), (None, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
@@ -504,21 +642,15 @@ def test_op9_cuts_words_and_the_space_behind():
 def test_op10_packs_every_id_once(spark, odd):
     docs = frame(spark, odd_rows()) if odd else documents(spark)
     got = packing.pack(docs, packing.Packing(BPE)).toPandas()
-    held = Counter()
+    want = Counter()
     for d, t in texts(docs):
         ids = bpe_ids(t, 1)
-        held[(-1 if d is None else d, len(ids) // 4, zlib.crc32(ids))] += 1
-    by_doc = got.fillna({"doc_id": -1}).groupby(["doc_id", "doc_tokens"])
-    for (_d, n), rows in by_doc:
-        assert rows["length"].sum() % n == 0
-    assert got["length"].sum() == sum(n * c for (_, n, _), c in held.items())
-    crc = {(d, r[1]) for r in held for d in [r[0]]}
-    assert set(by_doc.groups) == crc
-    for d, t in texts(docs):
-        ids = bpe_ids(t, 1)
-        own = got[(got["doc_id"].isna() if d is None else got["doc_id"] == d) & (got["doc_tokens"] == len(ids) // 4)]
-        for s, n in zip(own["start"], own["length"], strict=True):
-            assert zlib.crc32(ids[4 * s : 4 * (s + n)]) in set(own[(own["start"] == s)]["ids_crc32"])
+        n = len(ids) // 4
+        whole = n - n % 2048
+        cuts = [*range(0, whole, 2048), *range(whole, n, 512), n]
+        want.update((-1 if d is None else d, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n) for a, b in zip(cuts, cuts[1:], strict=False))
+    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert Counter(map(tuple, got.fillna({"doc_id": -1})[kept].astype(int).to_numpy().tolist())) == want
     loads = []
     for _, rows in got.sort_values("offset").groupby("sequence_id"):
         assert rows["offset"].tolist() == [0, *rows["length"].cumsum().tolist()[:-1]]
@@ -527,6 +659,39 @@ def test_op10_packs_every_id_once(spark, odd):
     assert packing.pack(docs.limit(0), packing.Packing(BPE)).count() == 0
 
 
+def plain_differencing(sizes, k):
+    """Loads of the windows: partial partitions as lists, the two with the largest spread are merged."""
+    parts = [(s, i, [s] + [0] * (k - 1)) for i, s in enumerate(sizes)]
+    number = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, a), (_, _, b), *parts = parts
+        loads = sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True)
+        loads = [x - loads[-1] for x in loads]
+        parts.append((loads[0], number, loads))
+        number += 1
+    return parts[0][2]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_op10_differencing_equals_a_plain_one(k):
+    rng = np.random.default_rng(16)
+    for n in (k, 13, 40):
+        sizes = rng.integers(1, 500, n)
+        window = packing.difference(sizes, k)
+        loads = np.sort(np.bincount(window, weights=sizes, minlength=k))[::-1]
+        assert (loads - loads[-1]).astype(int).tolist() == plain_differencing(sizes.tolist(), k)
+
+
+def test_op10_bundles_tiny_pieces():
+    sizes = np.concatenate([np.ones(50_000, np.int64), np.full(30, 500), np.full(9, 128)])
+    bundle = packing.bundles(sizes, 128)
+    loads = np.bincount(bundle, weights=sizes)
+    assert loads.max() == 500 and len(loads) < 500 and (loads[bundle[:50_000]] < 256).all()
+    window, k = packing.pack_shard(sizes, 2048)
+    assert np.bincount(window, weights=sizes).max() <= 2048 and k <= -(-sizes.sum() // 2048) + 2
+
+
 def test_op10_differencing_balances():
     sizes = np.random.default_rng(5).integers(1, 512, 500)
     window, k = packing.pack_shard(sizes, 2048)
@@ -557,14 +722,25 @@ def test_pipeline_stages(spark):
             assert Counter(texts(after)) == cut_by_brute_force(texts(now))
         if name != "packed":
             assert after.columns == docs.columns
-        now = after
-    assert corpus_pipeline.run(spark, SMALL).count() == now.count()
+            now = materialise(after, "stage")
+        else:
+            pieces = [(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in after.collect()]
+            ids = {d: bpe_ids(t, 1) for d, t in texts(now)}
+            assert sum(p[2] for p in pieces) == sum(len(x) // 4 for x in ids.values())
+            assert all(zlib.crc32(ids[d][4 * a : 4 * (a + n)]) == crc and total == len(ids[d]) // 4 for d, a, n, crc, total in pieces)
+    ran = [(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in corpus_pipeline.run(spark, SMALL).collect()]
+    assert Counter(ran) == Counter(pieces)
 
 
 def test_stages_take_odd_rows_and_no_rows(spark):
     import corpus_pipeline
 
     docs = frame(spark, odd_rows()).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SMALL).count() >= 0
+    want = {"exact": len({t or "" for _, t in odd_rows()}), "packed": None}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SMALL)
+        if name != "packed":
+            assert after.columns == docs.columns and not set(texts(after)) - set(odd_rows()) or name == "passages"
+        if want.get(name):
+            assert after.count() == want[name]
         assert stage(spark, docs.limit(0), SMALL).count() == 0

@@ -3,12 +3,14 @@
 For every participant of a conversation the dialogue is rendered once with that participant as the
 assistant and the others as named users; the mask marks the characters that the assistant speaks.
 
-A conversation is rendered in parts of at most ``part_turns`` turn numbers, so that no row holds an
-unbounded dialogue; participants are those of the whole conversation.
+A conversation is rendered in parts of at most ``part_turns`` turns, so that no row holds an unbounded
+dialogue: turns are numbered by a range sort, whatever their own numbers are. Participants are those of
+the whole conversation, and spans count from the part's begin.
 
-Defined results: turns are ordered by turn number, then role, then text; a null turn comes first and
-belongs to part 0; a null role is the speaker named ``unknown``; a null text is an empty one; rows
-that are alike are turns of their own; a null conv_id is a conversation; an empty table gives no row.
+Defined results: turns are ordered by turn number, then role, then text; null turns come first; a null
+role is the speaker named ``unknown``; a null text is an empty one; rows that are alike are turns of
+their own; a null conv_id is a conversation; texts of any length are rendered whole; an empty table
+gives no row; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.position import with_position
+
 UNKNOWN = "unknown"
 PART_TURNS = 1024
 
@@ -28,7 +32,9 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, conv: str = "conv_id"
         F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)))
+        F.monotonically_increasing_id().alias("salt"),  # parts rows that are alike
+    )
+    rows = with_position(rows, "turn", "role", "text", "salt", by=("conv_id",)).withColumn("part", F.floor(F.col("pos") / part_turns))
     speakers = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("speakers")).withColumnRenamed("conv_id", "_conv")
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     dialogues = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")

@@ -6,6 +6,8 @@ the shared folder, so lineage stays short. Links are never brought to the driver
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,15 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """(node, component): component is the least node that can be reached. Nodes without links and
-    links of a node to itself give no row; null ends are ignored."""
+    links of a node to itself give no row; null ends are ignored. keep: writes each round's links."""
     now = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
-    now = materialise(now, "links")
+    now = keep(now, "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = materialise(_star(_star(now, True), False), "links")
+        now = keep(_star(_star(now, True), False), "links")
         after = mark(now)
         if after == before:
             break

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import lean, materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
                 found = [indicators(t, cfg.buckets).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "found"])
 
-    found = materialise(picked.mapInArrow(run, "doc_id long, y int, found binary"), "sample")
+    found = materialise(picked.mapInArrow(lean(run), "doc_id long, y int, found binary"), "sample")
     sizes = found.select("doc_id", (F.length("found") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     upto = int(np.searchsorted(np.cumsum([r.n for r in sizes]), cfg.max_indicators, side="right"))
     kept = [r.doc_id for r in sizes[:upto]]  # at most max_rows ids

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import lean, materialise, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, cfg: Packing, id_col: str = "doc_id", text_col: str
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, cfg: Packing, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import lean, small_batches
 from .word_cache import WordCache
 
 MARK = "▁"
@@ -181,4 +181,4 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                     [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, ENCODED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), ENCODED)

@@ -10,26 +10,35 @@ that none that is left can reach its k-th score. Distances only order and stop t
 margin for rounding; scores are exact integers.
 
 Pivots, and the scores that a query starts with, come from a bounded sample (``sample`` rows); the
-index holds every row. Queries go in blocks of ``block`` rows, whose size doesn't grow with the data.
+index holds every row. Queries are sorted by pivot and distance too and go in blocks of ``block`` rows,
+one block after the other, so that neither the driver nor a broadcast holds more. A block reads only the
+ranges of the index that some query of it can need: for each pivot an interval of distances, which
+becomes a filter on the sorted files. The higher the scores that its queries start with, the narrower.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part;
 shorter vectors count as padded with zeros; ties go to the smaller id; rows with the query's own id
 are not candidates; a query id that repeats is searched once, with its least vector; candidates that
-repeat are rows of their own; null ids take no part; an empty table gives no row.
+repeat are rows of their own; null ids take no part; scores that don't fit 62 bits raise ValueError, as
+a vector so long has no score to give; further columns are not looked at; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from ..operators.position import with_position
+from .shared import lean, materialise, shared_path
 
+#: Up to this squared length all sums of products are exact as doubles; above it integers are used.
+EXACT = float(1 << 53)
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -79,11 +88,16 @@ def _spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def _none(kind: type):
+    return -np.inf if kind is np.float64 else -np.iinfo(np.int64).max
+
+
 class _Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, queries: int, k: int):
-        self.score = np.full((queries, k), -np.inf)
+    def __init__(self, queries: int, k: int, kind: type):
+        self.none = _none(kind)
+        self.score = np.full((queries, k), self.none, kind)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -107,6 +121,20 @@ class _Best:
         self.score[row], self.id[row] = s[order], i[order]
 
 
+def _margins(q: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query: its squared length and the largest one together, and what rounding can do to a
+    score and to a distance."""
+    both = (q * q).sum(axis=1) + radius2
+    return both, 1e-6 * both + 1e-3, 1e-6 * np.sqrt(both)
+
+
+def needed_ranges(q: np.ndarray, floor: np.ndarray, pivot_dist: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) distance from each pivot at which a row can reach some query's floor."""
+    both, margin, slack = _margins(q, radius2)
+    gap = np.sqrt(np.maximum(0.0, both + 2 * margin - 2 * floor)) + slack
+    return (pivot_dist - gap[:, None]).min(axis=0), (pivot_dist + gap[:, None]).max(axis=0)
+
+
 def _search(q, q_ids, floor, pivot_dist, radius2, x, x_ids, x_pivot, x_dist, best: _Best, cfg: PivotSearch) -> None:
     """All queries of a block against some rows of the index. Within a pivot the rows mostly ascend in
     distance, but a task may read files out of order, so an annulus' radii come from all its rows."""
@@ -116,10 +144,10 @@ def _search(q, q_ids, floor, pivot_dist, radius2, x, x_ids, x_pivot, x_dist, bes
     begin, end = np.array(cuts[:-1]), np.array(cuts[1:])
     center, inner, outer = x_pivot[begin], np.minimum.reduceat(x_dist, begin), np.maximum.reduceat(x_dist, begin)
     gap = np.maximum(0.0, np.maximum(pivot_dist[:, center] - outer, inner - pivot_dist[:, center]))
-    norm2 = (q * q).sum(axis=1)
-    margin = 1e-6 * (norm2 + radius2) + 1e-3
-    gap = np.maximum(0.0, gap - 1e-6 * np.sqrt(norm2 + radius2)[:, None])
-    reach = (norm2 + radius2)[:, None] / 2 - gap * gap / 2 + margin[:, None]  # highest score an annulus can hold
+    both, margin, slack = _margins(q, radius2)
+    gap = np.maximum(0.0, gap - slack[:, None])
+    reach = both[:, None] / 2 - gap * gap / 2 + margin[:, None]  # highest score an annulus can hold
+    kind = best.score.dtype.type
     order = np.argsort(-reach, axis=1)
     going = np.arange(len(q))
     for step in range(len(begin)):
@@ -132,8 +160,8 @@ def _search(q, q_ids, floor, pivot_dist, radius2, x, x_ids, x_pivot, x_dist, bes
         for ring in np.unique(at).tolist():
             rows = going[at == ring]
             s = slice(begin[ring], end[ring])
-            scores = q[rows] @ x[s].T
-            scores[q_ids[rows][:, None] == x_ids[s][None]] = -np.inf
+            scores = q[rows].astype(kind, copy=False) @ x[s].T.astype(kind, copy=False)
+            scores[q_ids[rows][:, None] == x_ids[s][None]] = best.none
             best.add(rows, scores, x_ids[s])
 
 
@@ -150,6 +178,15 @@ def build_index(rows: DataFrame, cfg: PivotSearch):
     sample_ids = np.array([r.vec_id for r in taken], np.int64)
     pivots = _spread_pivots(_lift(sample, radius2), cfg.pivots)
 
+    keyed = materialise(_keyed(rows, dims, radius2, pivots), "vectors")
+    order = ["pivot", "dist", "vec_id"]
+    index = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order), "pivot-index")
+    return index, dims, radius2, pivots, sample_ids, sample
+
+
+def _keyed(rows: DataFrame, dims: int, radius2: float, pivots: np.ndarray) -> DataFrame:
+    """rows (vec_id, v) with the nearest pivot and the distance to it."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -162,25 +199,21 @@ def build_index(rows: DataFrame, cfg: PivotSearch):
                     [part.column(0), part.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "v", "pivot", "dist"]
                 )
 
-    keyed = materialise(rows.mapInArrow(run, "vec_id long, v array<double>, pivot int, dist double"), "vectors")
-    order = ["pivot", "dist", "vec_id"]
-    index = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order), "pivot-index")
-    return index, dims, radius2, pivots, sample_ids, sample
+    return rows.mapInArrow(lean(run), "vec_id long, v array<double>, pivot int, dist double")
 
 
 def _searcher(sent, dims: int, radius2: float, cfg: PivotSearch):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        q, q_ids, floor, pivots = sent.value
-        pivot_dist = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
-        best = _Best(len(q), cfg.k)
+        q, q_ids, floor, pivot_dist = sent.value
+        best = _Best(len(q), cfg.k, np.float64 if radius2 < EXACT else np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 ids, _, center, dist = (part.column(i).to_numpy() if i != 1 else None for i in range(4))
                 _search(q, q_ids, floor, pivot_dist, radius2, _matrix(part.column(1), dims), ids, center, dist, best, cfg)
-        r, c = np.nonzero(best.score > -np.inf)
+        r, c = np.nonzero(best.score > best.none)
         if len(r):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(q_ids[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c].astype(np.int64))], ["query_id", "vec_id", "score"]
@@ -198,29 +231,34 @@ def top_k(rows: DataFrame, is_query, cfg: PivotSearch = PivotSearch(), id_col: s
     if built is None:
         return empty
     index, dims, radius2, pivots, sample_ids, sample = built
-    queries = usable.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = materialise(queries, "queries")
-    blocks = max(1, -(-queries.count() // cfg.block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        taken = queries.filter(F.col("block") == b).select("vec_id", "v").collect()  # about cfg.block rows
-        if not taken:
-            continue
+    if radius2 >= 1 << 62:
+        raise ValueError("vectors are too long for scores of 64 bits")
+    kind = np.float64 if radius2 < EXACT else np.int64
+    queries = _keyed(usable.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), dims, radius2, pivots)
+    queries = materialise(with_position(queries, "pivot", "dist", "vec_id").withColumn("block", F.floor(F.col("pos") / cfg.block)), "queries")
+    last = queries.agg(F.max("block")).first()[0]
+    if last is None:
+        return empty
+    folder = shared_path(spark, "found")
+    for b in range(last + 1):
+        taken = queries.filter(F.col("block") == b).select("vec_id", "v").collect()  # cfg.block rows at most
         q = np.zeros((len(taken), dims))
         for i, r in enumerate(taken):
             q[i, : len(r.v)] = r.v
         q_ids = np.array([r.vec_id for r in taken], np.int64)
-        first = q @ sample.T
-        first[q_ids[:, None] == sample_ids[None]] = -np.inf
+        first = q.astype(kind) @ sample.T.astype(kind)
+        first[q_ids[:, None] == sample_ids[None]] = _none(kind)
         floor = np.full(len(q), -np.inf)
         if first.shape[1] >= cfg.k:
-            floor = np.partition(first, first.shape[1] - cfg.k, axis=1)[:, -cfg.k]
-        sent = spark.sparkContext.broadcast((q, q_ids, floor, pivots))
-
-        part = index.select("vec_id", "v", "pivot", "dist").mapInArrow(_searcher(sent, dims, radius2, cfg), RESULT)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return empty
+            least = np.partition(first, first.shape[1] - cfg.k, axis=1)[:, -cfg.k]
+            floor = np.where(least == _none(kind), -np.inf, least)
+        pivot_dist = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
+        low, high = needed_ranges(q, floor, pivot_dist, radius2)
+        near = [(F.col("pivot") == p) & F.col("dist").between(float(a), float(z)) for p, (a, z) in enumerate(zip(low, high, strict=True))]
+        sent = spark.sparkContext.broadcast((q, q_ids, floor, pivot_dist))
+        rows_near = index.filter(reduce(or_, near)).select("vec_id", "v", "pivot", "dist")
+        rows_near.mapInArrow(lean(_searcher(sent, dims, radius2, cfg)), RESULT).write.mode("append").parquet(folder)
+        sent.destroy()
+    found = spark.read.schema(RESULT).parquet(folder)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")

@@ -113,7 +113,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_perspective_rotation": """
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                   coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS part FROM conversations),
+                   (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // 1024 AS part
+            FROM conversations),
         speakers AS (SELECT DISTINCT conv_id, role AS participant FROM said),
         lines AS (
             SELECT s.conv_id, s.part, p.participant, s.turn, s.role, s.text, s.role = p.participant AS own,
@@ -127,6 +128,17 @@ ORACLE_SQL: dict[str, str] = {
                string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
                coalesce(string_agg(CAST(place + length(head) AS BIGINT) || '-' || CAST(place + length(head) + length(text) + 8 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS spans
         FROM placed GROUP BY conv_id, part, participant""",
+    # base32 of a digest's 160 bits: five hexadecimal digits are four of its letters
+    "op4_warc_revisits": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        h AS (SELECT *, upper(sha1(payload)) AS hex, max(page_id) OVER (PARTITION BY payload) AS original FROM p),
+        d AS (SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789ABCDEF', hex[i + 1]) - 1) AS n FROM h)
+        SELECT page_id, octet_length(payload) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum(list_transform(range(0, 5),
+                   lambda b: ((n[1 + (5 * k + b) // 4] >> (3 - (5 * k + b) % 4)) & 1) << (4 - b))) AS INTEGER)]), '') AS payload_digest,
+               CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> original THEN original END AS refers_to
+        FROM d""",
     "op5_pivot_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings

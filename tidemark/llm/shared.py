@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: the one the cluster names in
-    spark.checkpoint.dir. Only where that is unset (tests, local mode) a new one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.scratch import Workspace, materialise, shared_root  # noqa: F401  the first two are for the operators
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs only the reading tasks."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
@@ -46,6 +30,26 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow that, when its task ends, gives freed memory back: workers live on,
+    and what their allocators hold would stay beside the next task's."""
+
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return lean_run
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """base, or base with underscores behind it, so that no column of df has the name."""
     taken = {c.lower() for c in df.columns}

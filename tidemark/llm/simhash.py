@@ -12,12 +12,14 @@ size. A task returns a spanning forest of the links it found, not all pairs; the
 then join in connected components.
 
 Defined results: null or wordless text has fingerprint zero; equal fingerprints are linked; rows with
-a null doc_id are grouped too but never name a component unless it has no other document (then null).
+a null doc_id are grouped too but never name a component unless it has no other document (then null);
+rows that repeat are rows of their own; texts of any length are read whole; an empty table gives no row;
+``near_duplicates`` doesn't look at further columns, ``keep_one`` carries them along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from . import jaccard_join
 from .components import connected_components
 from .jaccard_join import Alike
-from .shared import free_name, materialise, skew_safe_lookup, small_batches
+from .shared import Workspace, free_name, lean, materialise, skew_safe_lookup, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -71,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t, size) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _ring() -> list[tuple[int, list[int], int, int]]:
@@ -134,9 +136,9 @@ def _forest(left: np.ndarray, right: np.ndarray | None, place: int) -> list[tupl
     return links
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs within MAX_BITS do."""
-    keyed = materialise(ring_keys(distinct), "ring-keys")
+    keyed = keep(ring_keys(distinct), "ring-keys")
     sizes = keyed.groupBy("place", "bits").count().filter("count > 1")
     # rows of a key that stands alone end here; the join of a key with many rows is split by AQE
     shared = keyed.join(sizes, ["place", "bits"])
@@ -186,18 +188,21 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
             yield result(solve(held))
 
     dealt = tiled.repartition(*tile).sortWithinPartitions(*tile)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """Row per document: doc_id, fp, component_id, the least doc_id that links can reach."""
-    rows = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    found = connected_components(links(classes.select("fp")))
+    work = Workspace(docs.sparkSession, "fingerprints")
+    keep = work.keep
+    rows = keep(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    classes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
+    found = connected_components(links(classes.select("fp"), keep=keep), keep=keep)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    facts = materialise(labelled.join(names, "component").select("fp", "copies", "component_id"), "class-names")
-    return skew_safe_lookup(rows, facts, "fp", "copies", rows.count()).select("doc_id", "fp", "component_id")
+    facts = keep(labelled.join(names, "component").select("fp", "copies", "component_id"), "class-names")
+    out = skew_safe_lookup(rows, facts, "fp", "copies", rows.count()).select("doc_id", "fp", "component_id")
+    return work.result(out, "groups")
 
 
 def hex_fingerprint(fp: str = "fp"):

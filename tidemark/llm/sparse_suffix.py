@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, skew_safe_lookup, small_batches
+from .shared import Workspace, free_name, lean, materialise, skew_safe_lookup, small_batches
 from .words import Words
 
 CHUNK = 1 << 16  # stretches of a long text that are looked at together
@@ -118,7 +118,7 @@ def _retained(keyed: DataFrame, cfg: Passages) -> DataFrame:
                 cols += [pa.array(place[:, 1].astype(np.int16)), pa.array(place[:, 2].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, _SUFFIX)
 
-    return keyed.mapInArrow(run, _SUFFIX_TYPES)
+    return keyed.mapInArrow(lean(run), _SUFFIX_TYPES)
 
 
 class _Neighbours:
@@ -174,7 +174,7 @@ class _Neighbours:
             self.edge = False
 
 
-def _compared(retained: DataFrame) -> DataFrame:
+def _compared(retained: DataFrame, keep) -> DataFrame:
     """Suffixes that share a gram or a digest: _SUFFIX, first (of its class), twin (its class has others),
     shared (its gram has other classes)."""
     types = f"{_SUFFIX_TYPES}, first boolean, twin boolean, shared boolean, edge boolean, part int"
@@ -201,7 +201,7 @@ def _compared(retained: DataFrame) -> DataFrame:
 
     order = ["gram", "d1", "d2", "rid", "text_key", "start"]
     dealt = retained.select(*_SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = materialise(dealt.mapInArrow(run, types), "suffixes")
+    marked = keep(dealt.mapInArrow(lean(run), types), "suffixes")
     # the first and last class of each task, two rows a task: here classes and grams may go on
     edges = [r.asDict() for r in marked.filter("edge").orderBy("part", *order).collect()]
     for _, same_gram in groupby(edges, key=lambda r: r["gram"]):
@@ -298,7 +298,7 @@ def _own_texts(keyed: DataFrame, wanted: DataFrame, cfg: Passages) -> DataFrame:
                 yield given(len(doc))
 
     joined = texts.join(lists.hint("merge"), ["rid", "text_key"]).select("rid", "text_key", "text", "wanted")
-    return joined.mapInArrow(run, "rid long, text_key long, gram long, start long, head short, count int, twin boolean, own string")
+    return joined.mapInArrow(lean(run), "rid long, text_key long, gram long, start long, head short, count int, twin boolean, own string")
 
 
 def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
@@ -328,10 +328,10 @@ def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
             yield solve(held)
 
     dealt = own.repartition("gram").sortWithinPartitions("gram", "rid", "text_key", "start")
-    return dealt.mapInArrow(run, _INTERVAL)
+    return dealt.mapInArrow(lean(run), _INTERVAL)
 
 
-def _by_digests(own: DataFrame, cfg: Passages) -> DataFrame:
+def _by_digests(own: DataFrame, cfg: Passages, keep) -> DataFrame:
     """The same for grams with very many own texts: a row for each stretch, grouped by digest."""
 
     def run(batches) -> Iterator:
@@ -352,10 +352,10 @@ def _by_digests(own: DataFrame, cfg: Passages) -> DataFrame:
                 cols += [part.column("rid").take(taken), part.column("text_key").take(taken), pa.array(part.column("start").to_numpy()[row] + within), part.column("twin").take(taken)]
                 yield pa.RecordBatch.from_arrays(cols, ["d1", "d2", "rid", "text_key", "place", "twin"])
 
-    rows = materialise(own.mapInArrow(run, "d1 long, d2 long, rid long, text_key long, place long, twin boolean"), "stretches")
+    rows = keep(own.mapInArrow(lean(run), "d1 long, d2 long, rid long, text_key long, place long, twin boolean"), "stretches")
     rows = rows.withColumn("digest", F.struct("d1", "d2")).drop("d1", "d2")
     facts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "text_key", "place")).alias("least"))
-    joined = skew_safe_lookup(rows, materialise(facts, "stretch-facts"), "digest", "copies", rows.count()).filter("copies > 1 or twin")
+    joined = skew_safe_lookup(rows, keep(facts, "stretch-facts"), "digest", "copies", rows.count()).filter("copies > 1 or twin")
     later = F.struct("rid", "text_key", "place") != F.col("least")
     runs = W.partitionBy("rid", "text_key", "later").orderBy("place")
     joined = joined.withColumn("later", later).withColumn("run", F.col("place") - F.row_number().over(runs))
@@ -366,25 +366,27 @@ def _by_digests(own: DataFrame, cfg: Passages) -> DataFrame:
 def _intervals(docs: DataFrame, cfg: Passages, id_col: str, text_col: str) -> DataFrame:
     """Row per passage: rid, text_key, start_word, end_word, later."""
     small_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession, "passages")
     keyed = _referred(docs, id_col, text_col)
-    compared = _compared(_retained(keyed, cfg))
+    compared = _compared(_retained(keyed, cfg), work.keep)
     whole = compared.filter("not first or (twin and not shared)").select(
         "rid", "text_key", F.col("start").alias("start_word"), (F.col("start") + F.col("count") + (cfg.min_words - 1)).alias("end_word"), (~F.col("first")).alias("later")
     )
     wanted = compared.filter("first and shared")
     sizes = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cfg.most)
     # more than cfg.most rows of each such gram: few grams beside the rows, but their number grows with the data
-    sizes = materialise(sizes, "hot-grams")
-    own = materialise(_own_texts(keyed, wanted.drop("d1", "d2", "first", "shared"), cfg), "own-texts")
+    sizes = work.keep(sizes, "hot-grams")
+    own = work.keep(_own_texts(keyed, wanted.drop("d1", "d2", "first", "shared"), cfg), "own-texts")
     found = whole
     if sizes.first() is None:
         found = found.union(_by_words(own, cfg))
     else:
-        found = found.union(_by_words(own.join(sizes, "gram", "left_anti"), cfg)).union(_by_digests(own.join(sizes, "gram", "left_semi"), cfg))
+        found = found.union(_by_words(own.join(sizes, "gram", "left_anti"), cfg)).union(_by_digests(own.join(sizes, "gram", "left_semi"), cfg, work.keep))
     order = W.partitionBy("rid", "text_key", "later").orderBy("start_word", "end_word")
     so_far = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("new", F.coalesce(F.col("start_word") > so_far, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
-    return islands.groupBy("rid", "text_key", "later", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
+    spans = islands.groupBy("rid", "text_key", "later", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    return work.result(spans.drop("island"), "spans")
 
 
 def repeated_passages(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

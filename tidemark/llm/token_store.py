@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repair_codec
-from .shared import make_dir, open_fs, shared_path, small_batches
+from .shared import lean, make_dir, open_fs, shared_path, small_batches
 
 MANIFEST = "part int, path string, documents long, ids long, bytes long"
 DOCUMENT_IDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -92,7 +92,7 @@ def write_tokens(docs: DataFrame, folder: str, fmt: TokenFormat, id_col: str = "
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
     ordered = docs.select(F.col(id_col).cast("long"), F.col(text_col)).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    files = sorted(ordered.mapInArrow(write, MANIFEST).collect())  # a row a file, never a row a document
+    files = sorted(ordered.mapInArrow(lean(write), MANIFEST).collect())  # a row a file, never a row a document
     return spark.createDataFrame(files, MANIFEST)
 
 
@@ -124,7 +124,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if not files:
         return spark.createDataFrame([], DOCUMENT_IDS)
     rows = spark.createDataFrame(files, "path string, begin long").repartition(len(files))
-    return rows.mapInArrow(read, DOCUMENT_IDS)
+    return rows.mapInArrow(lean(read), DOCUMENT_IDS)
 
 
 def read_range(path: str, start: int, length: int) -> np.ndarray:

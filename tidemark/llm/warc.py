@@ -4,11 +4,14 @@ Executors write gzip archives, one member per record, under names of their own i
 folder; the manifest that the successful attempts return says which archives count. Headers alone
 are shuffled by payload digest: each is joined to the original of its digest (the row with the
 largest page_id), and the second set of archives is written file by file from the first, with fresh
-headers: the original as a response with its payload, the others as revisits that refer to it.
+headers: the original as a response with its payload, the others as revisits that refer to it by its
+record id, its address and its date. Archives are turned over at ``ARCHIVE_BYTES``.
 
 Defined results: null html is an empty payload; payloads of fewer than min_bytes bytes are all
 responses; rows with the original's page_id are responses too; a null page_id is an original only
-where its payload has no other; null url gives no target field; an empty table gives no archive.
+where its payload has no other; null url gives no target field; every record has an id of its own,
+also where page_ids repeat; a payload of any length is one record, held whole in its task; an empty
+table gives no archive; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import make_dir, materialise, open_fs, shared_path, skew_safe_lookup, small_batches
+from .shared import lean, make_dir, materialise, open_fs, shared_path, skew_safe_lookup, small_batches
 
 # Fixed values of the archive format.
 VERSION = "WARC/1.0"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CONTENT = "application/http; msgtype=response"
 DATE = "2024-01-01T00:00:00Z"
+ARCHIVE_BYTES = 1 << 30
 MANIFEST = "part int, path string, records long, bytes long"
 HEADERS = "path string, offset long, size long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -37,26 +41,35 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str, archive: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{page_id}/{digest}')}>"
+def record_id(archive: str, *facts) -> str:
+    """An id from what tells the record from all others of these archives."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, (archive, *facts))))}>"
 
 
-def build_record(page_id: int | None, url: str | None, digest: str, payload_bytes: int, payload: bytes | None, archive: str, refers_to: int | None = None) -> bytes:
-    """A response record, or a revisit if there is no payload; uncompressed."""
+def _address(url: str | None) -> str | None:
+    return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def build_record(own_id: str, page_id: int | None, url: str | None, digest: str, payload_bytes: int, payload: bytes | None, refers_to: tuple[str, int | None, str | None] | None = None) -> bytes:
+    """A response record, or a revisit if there is no payload, of a response (record id, page_id, url);
+    uncompressed."""
+    of_id, of_page, of_url = refers_to or (None, None, None)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http + (payload or b"")
     fields = [
         ("WARC-Type", "revisit" if payload is None else "response"),
-        ("WARC-Record-ID", record_id(page_id, digest, archive)),
+        ("WARC-Record-ID", own_id),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Target-URI", _address(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
         ("WARC-Profile", PROFILE if payload is None else None),
-        ("WARC-Refers-To", record_id(refers_to, digest, archive) if payload is None else None),
+        ("WARC-Refers-To", of_id),
+        ("WARC-Refers-To-Target-URI", _address(of_url)),
+        ("WARC-Refers-To-Date", DATE if refers_to else None),
         ("X-Page-Id", page_id),
         ("X-Payload-Length", payload_bytes),
-        ("X-Refers-To-Page-Id", refers_to if payload is None else None),
+        ("X-Refers-To-Page-Id", of_page),
         ("Content-Type", CONTENT),
         ("Content-Length", len(block)),
     ]
@@ -104,32 +117,35 @@ def read_archive(source, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes
 
 
 class _Writer:
-    """An archive that is begun with its first record."""
+    """The archives of a task, each begun with its first record."""
 
-    def __init__(self, folder: str, level: int):
+    def __init__(self, folder: str, level: int, most: int = ARCHIVE_BYTES):
         from pyspark import TaskContext
 
-        self.part, self.level, self.sink = TaskContext.get().partitionId(), level, None
-        self.path = f"{folder}/part-{self.part:06d}-{uuid.uuid4().hex}.warc.gz"
-        self.records = self.bytes = 0
+        self.folder, self.part, self.level, self.most = folder, TaskContext.get().partitionId(), level, most
+        self.sink, self.done = None, []
 
     def add(self, record: bytes) -> None:
+        member = _member(record, self.level)
+        if self.sink is not None and self.done[-1]["bytes"] + len(member) > self.most:
+            self.sink.close()
+            self.sink = None
         if self.sink is None:
-            system, inner = open_fs(self.path)
+            path = f"{self.folder}/part-{self.part:06d}-{len(self.done):04d}-{uuid.uuid4().hex}.warc.gz"
+            system, inner = open_fs(path)
             self.sink = system.open_output_stream(inner, compression=None)
-        member = _member(record, self.level)
+            self.done.append({"part": self.part, "path": path, "records": 0, "bytes": 0})
         self.sink.write(member)
-        self.records += 1
-        self.bytes += len(member)
+        self.done[-1]["records"] += 1
+        self.done[-1]["bytes"] += len(member)
 
     def manifest(self) -> Iterator:
         import pyarrow as pa
 
         if self.sink is not None:
             self.sink.close()
-            row = {"part": self.part, "path": self.path, "records": self.records, "bytes": self.bytes}
             kinds = [("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
+            yield pa.RecordBatch.from_pylist(self.done, schema=pa.schema(kinds))
 
 
 def write_responses(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
@@ -138,17 +154,19 @@ def write_responses(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     small_batches(pages.sparkSession)
 
     def run(batches) -> Iterator:
-        out = _Writer(folder, level)
+        out, number = _Writer(folder, level), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for page, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     payload = (html or "").encode("utf-8")
-                    out.add(build_record(page, url, payload_digest(payload), len(payload), payload, folder))
+                    own_id = record_id(folder, out.part, number)
+                    out.add(build_record(own_id, page, url, payload_digest(payload), len(payload), payload))
+                    number += 1
         yield from out.manifest()
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html"))
-    return pages.sparkSession.createDataFrame(sorted(rows.mapInArrow(run, MANIFEST).collect()), MANIFEST)
+    return pages.sparkSession.createDataFrame(sorted(rows.mapInArrow(lean(run), MANIFEST).collect()), MANIFEST)
 
 
 def read_headers(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -177,19 +195,21 @@ def read_headers(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     paths = [(r.path,) for r in manifest.collect()]  # archives, not records
     if not paths:
         return spark.createDataFrame([], HEADERS)
-    return spark.createDataFrame(paths, "path string").repartition(len(paths)).mapInArrow(run, HEADERS)
+    return spark.createDataFrame(paths, "path string").repartition(len(paths)).mapInArrow(lean(run), HEADERS)
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """headers with the page_id that each refers to (null: it is the original itself)."""
-    facts = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
+    """headers with the original of their payload (page_id, path, offset, url), and whether they revisit it."""
+    original = F.max(F.struct("page_id", "path", "offset", "url")).alias("original")
+    facts = headers.groupBy("payload_digest").agg(original, F.count(F.lit(1)).alias("copies"))
     joined = skew_safe_lookup(headers.drop("record_type", "refers_to"), materialise(facts, "payloads"), "payload_digest", "copies", headers.count())
-    other = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.withColumn("revisit", other).withColumn("original", F.when(other, F.col("original"))).drop("copies")
+    other = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
+    return joined.withColumn("revisit", other).drop("copies")
 
 
-def write_deduplicated(resolved: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Archives with fresh headers; payloads come from the archives that the rows name."""
+def write_deduplicated(resolved: DataFrame, folder: str, archives: int, level: int = 6) -> DataFrame:
+    """Archives with fresh headers; payloads come from the archives that the rows name, of which there are
+    so many. A task takes the rows of about one."""
     make_dir(folder)
     cols = ["path", "offset", "size", "page_id", "url", "payload_bytes", "payload_digest", "revisit", "original"]
 
@@ -197,18 +217,21 @@ def write_deduplicated(resolved: DataFrame, folder: str, level: int = 6) -> Data
         out, opened, source = _Writer(folder, level), None, None
         for batch in batches:
             for row in batch.to_pylist():
-                payload = None
-                if not row["revisit"]:
+                payload, of, refers_to = None, row["original"], None
+                if row["revisit"]:
+                    refers_to = (record_id(folder, of["path"], of["offset"]), of["page_id"], of["url"])
+                else:
                     if row["path"] != opened:
                         system, inner = open_fs(row["path"])
                         opened, source = row["path"], system.open_input_file(inner)
                     raw = zlib.decompress(source.read_at(row["size"], row["offset"]), 31)
                     payload = parse_record(raw)[1]
-                out.add(build_record(row["page_id"], row["url"], row["payload_digest"], row["payload_bytes"], payload, folder, row["original"]))
+                own_id = record_id(folder, row["path"], row["offset"])
+                out.add(build_record(own_id, row["page_id"], row["url"], row["payload_digest"], row["payload_bytes"], payload, refers_to))
         yield from out.manifest()
 
-    dealt = resolved.select(*cols).repartition("path").sortWithinPartitions("path", "offset")
-    return resolved.sparkSession.createDataFrame(sorted(dealt.mapInArrow(run, MANIFEST).collect()), MANIFEST)
+    dealt = resolved.select(*cols).repartition(max(1, archives), "path").sortWithinPartitions("path", "offset")
+    return resolved.sparkSession.createDataFrame(sorted(dealt.mapInArrow(lean(run), MANIFEST).collect()), MANIFEST)
 
 
 def deduplicate_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -216,5 +239,5 @@ def deduplicate_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     first = write_responses(pages, shared_path(spark, "warc-all"))
     headers = materialise(read_headers(spark, first), "warc-headers")
-    second = write_deduplicated(resolve(headers, min_bytes), shared_path(spark, "warc-deduplicated"))
+    second = write_deduplicated(resolve(headers, min_bytes), shared_path(spark, "warc-deduplicated"), first.count())
     return read_headers(spark, second)
