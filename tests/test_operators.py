@@ -206,6 +206,82 @@ def test_registry():
     assert registry.add_debug_info({"a": 1}, {"b": 2, "c": 3}, ["b"]) == {"a": 1, "b": 2}
 
 
+def episode_rows(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.random(2).tolist(), float(v)) for i, v in enumerate(rng.random(40))]
+    return spark.createDataFrame(rows, "pos long, state array<double>, y double")
+
+
+def test_the_environment_gives_the_rewards_that_are_trained_on(spark):
+    from tidemark import builtin, training
+    from tidemark.operators import network
+
+    frame, params = episode_rows(spark), training.PpoParams(hidden=4, k_epochs=1, max_steps=25)
+    nets = network.actor_critic(2, 4)
+    y = {r.pos: r.y for r in frame.collect()}
+    own = training.rollout(frame, *nets, params, environment=lambda rows: builtin.custom(rows, 25)).orderBy("pos").collect()
+    assert [r.reward for r in own] == [y[p] for p in range(25)]
+    plain = training.rollout(frame, *nets, params).orderBy("pos").collect()
+    assert [r.reward for r in plain] == pytest.approx([1 / abs(y[p + 1] - plain[p].action) for p in range(25)])
+    losses = [builtin.ppo(frame, 2, 1, environment=e, agent=builtin.actor, hidden=4, max_steps=25)[1] for e in (None, lambda rows: builtin.custom(rows, 25))]
+    assert losses[0] != losses[1]
+    with pytest.raises(ValueError):
+        builtin.ppo(frame, 2, 1, agent=builtin.date_rule)
+
+
+def test_shorter_trajectories_are_padded(spark):
+    from tidemark import training
+    from tidemark.operators import network
+
+    steps = training.rollout(episode_rows(spark), *network.actor_critic(2, 4), training.PpoParams(max_steps=90)).orderBy("pos").collect()
+    assert [r.pos for r in steps] == list(range(41)) and steps[40].reward == steps[39].reward and steps[40].state == steps[39].state
+
+
+def test_spaces(spark):
+    from tidemark.operators import network
+
+    frame = episode_rows(spark)
+    actor, _ = network.actor_critic(2, 4)
+    network.check_spaces(frame, "state", 2, actor)
+    for inputs, layers in ((3, None), (2, network.actor_critic(3, 4)[0]), (2, [network.Layer(np.zeros((2, 2)), np.zeros(2))])):
+        with pytest.raises(ValueError):
+            network.check_spaces(frame, "state", inputs, layers)
+
+
+def test_all_target_columns_are_kept(spark, tmp_path):
+    from tidemark.plans import prepare
+
+    (tmp_path / "x.csv").write_text("1,2\n3,4\n5,6\n7,8\n9,10\n11,12\n")
+    (tmp_path / "y.csv").write_text("1,7,x\n2,8,4\n3,9,5\n4,1,6\n5,2,7\n6,3,8\n")
+    config_ = {"x_train_file": str(tmp_path / "x.csv"), "y_train_file": str(tmp_path / "y.csv"), "headers": False, "input_offset": 0}
+    rows = prepare.prepare(spark, config_).train.orderBy("pos").collect()
+    assert [r.targets for r in rows][:2] == [[1, 7, 0], [2, 8, 4]] and [r.y for r in rows] == [1, 2, 3, 4, 5, 6]
+
+
+def test_account(spark):
+    from tidemark.operators import orders
+
+    rows = [("a", 0, 1.0, 2.0), ("a", 1, 3.0, 4.0), ("b", 0, 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "k string, pos long, balance double, equity double")
+    ledger = spark.createDataFrame([("a", 0, 1), ("a", 1, None)], "k string, opened_at long, closed_at long")
+    assert sorted(map(tuple, orders.account(df, ledger, ["k"]).collect())) == [("a", 3.0, 4.0, 1), ("b", 5.0, 6.0, 0)]
+
+
+def test_log_file(tmp_path, monkeypatch):
+    import logging
+
+    for handler in list(cli.log.handlers):
+        cli.log.removeHandler(handler)
+    path = tmp_path / "run.log"
+    cli.start_log(str(path))
+    cli.start_log(str(path))
+    logging.getLogger("tidemark.plans.run").info("first outputs")
+    assert path.read_text().count("first outputs") == 1
+    for handler in list(cli.log.handlers):
+        handler.close()
+        cli.log.removeHandler(handler)
+
+
 def test_config():
     got = cli.configure(["data.csv", "-e", "3", "-io", "2", "--no-headers", "--extra=7", "--flag"])
     assert (got["x_train_file"], got["epochs"], got["input_offset"], got["headers"], got["extra"], got["flag"], got["gamma"]) == ("data.csv", 3, 2, False, 7, True, 0.99)
@@ -248,7 +324,8 @@ def test_remote(tmp_path):
     assert settings.load_config(tmp_path / "c.json") == json.loads((tmp_path / "c.json").read_text()) == {"a": 1}
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TIDEMARK_LOG", str(tmp_path / "run.log"))
     rng = np.random.default_rng(6)
     for name in ("x", "y", "xv", "yv"):
         width = 2 if name[0] == "x" else 1
@@ -257,6 +334,9 @@ def test_command_line(spark, tmp_path):
     args = [path("x.csv"), "-ytf", path("y.csv"), "-xvf", path("xv.csv"), "-yvf", path("yv.csv"), "--no-headers", "-e", "1", "--hidden", "4", "--k_epochs", "1", "-sm", path("net"), "-sl", path("log.json"), "-sc", path("conf.json")]
     assert cli.main(args) == 0
     report = settings.load_config(path("log.json"))
+    assert "first outputs" in (tmp_path / "run.log").read_text()
+    assert cli.main([*args, "-ep", "custom"]) == 0 and settings.load_config(path("log.json"))["loss"] != report["loss"]
+    assert cli.main([*args, "-ap", "dummy_automation"]) == 1
     assert report["validation_fitness"] > 0 and report["n_connections"] == 12 and report["n_nodes"] == 5
     assert cli.main([path("x.csv"), "-ytf", path("y.csv"), "--no-headers", "-lm", path("net"), "-ef", path("out")]) == 0
     assert read_series(spark, path("out")).frame.count() == 10

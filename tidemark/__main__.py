@@ -1,8 +1,12 @@
-"""python -m tidemark: train and evaluate, or score a saved policy."""
+"""python -m tidemark: train and evaluate, or score a saved policy.
+
+The log goes to standard output and to tidemark.log, or the file that TIDEMARK_LOG names (none if empty).
+"""
 
 from __future__ import annotations
 
 import logging
+import os
 import sys
 from logging.handlers import RotatingFileHandler
 
@@ -47,7 +51,7 @@ def configure(argv: list[str]) -> dict:
 
 
 def main(argv: list[str] | None = None) -> int:
-    start_log()
+    start_log(os.environ.get("TIDEMARK_LOG", "tidemark.log"))
     try:
         config = configure(sys.argv[1:] if argv is None else argv)
         if not config["x_train_file"]:

@@ -13,9 +13,13 @@ from .registry import register
 
 
 @register("optimizers", "openrl", "openrl_optimizer", params=training.PpoParams)
-def ppo(frame: DataFrame, inputs: int, epochs: int, **params):
-    """(networks, losses)."""
-    return training.train(frame, inputs, epochs, training.PpoParams(**params))
+def ppo(frame: DataFrame, inputs: int, epochs: int, environment: training.Environment | None = None, agent=None, **params):
+    """(networks, losses). environment: rewards of a frame (pos, y, prediction); agent: the plugin whose
+    networks are trained, found as its ``fresh``."""
+    fresh = network.actor_critic if agent is None else getattr(agent, "fresh", None)
+    if fresh is None:
+        raise ValueError(f"the agent {agent.__name__} has no networks to train")
+    return training.train(frame, inputs, epochs, training.PpoParams(**params), environment, fresh)
 
 
 @register("environments", "prediction", params={"max_steps": 6300})
@@ -35,6 +39,9 @@ def actor(frame: DataFrame, layers, features: str = "state", output: str = "Pred
     return network.predict(frame, layers, features, output).withColumn(output, F.col(output)[0])
 
 
+actor.fresh = network.actor_critic
+
+
 # The rule's default dates.
 BUY_DATES = ("16/04/2010 20:00", "20/04/2010 02:00", "26/04/2010 00:00", "30/04/2010 18:00")
 SELL_DATES = ("19/04/2010 01:00", "21/04/2010 04:00", "23/04/2010 12:00", "30/04/2010 09:00")

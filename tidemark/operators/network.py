@@ -70,6 +70,19 @@ def predict(df: DataFrame, layers: Sequence[Layer], features: str, output: str =
     return df.withColumn(output, batch(F.col(features)))
 
 
+def check_spaces(df: DataFrame, features: str, inputs: int, layers: Sequence[Layer] | None = None) -> None:
+    """Observations are vectors of ``inputs`` numbers, and a policy takes them and gives one action;
+    ValueError otherwise. Null vectors are allowed."""
+    odd = df.filter(F.size(features) != inputs).select(F.size(features).alias("n")).first()
+    if odd is not None:
+        raise ValueError(f"an observation has {odd.n} numbers, not {inputs}")
+    if layers is not None:
+        if layers[0].weights.shape[1] != inputs:
+            raise ValueError(f"the policy takes {layers[0].weights.shape[1]} numbers, not {inputs}")
+        if len(layers[-1].bias) != 1:
+            raise ValueError(f"the policy gives {len(layers[-1].bias)} actions, not 1")
+
+
 def save(layers: dict[str, Sequence[Layer]], spark, path: str) -> None:
     """A Parquet table with a row per unit."""
     rows = [

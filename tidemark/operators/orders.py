@@ -37,6 +37,16 @@ def until_done(df: DataFrame, n_dates: int, by: Sequence[str] = (), name: str =
     return joined.filter(F.col("_n").isNull() | (F.col(name) <= F.col(f"_last.{name}") + F.col("_last.opened"))).select(*df.columns)
 
 
+def account(df: DataFrame, orders: DataFrame, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """(by, balance, equity, num_closes): what the rule's account shows at the end of a run. df: the rows of
+    the run, orders: their ledger."""
+    last = df.groupBy(*by).agg(F.max_by(F.struct("balance", "equity"), name).alias("_last"))
+    own = [f"_{c}" for c in by]
+    closes = orders.groupBy(*[F.col(c).alias(o) for c, o in zip(by, own, strict=True)]).agg(F.count("closed_at").alias("_n"))
+    joined = last.join(closes, _same(by, own), "left")
+    return joined.select(*by, "_last.balance", "_last.equity", F.coalesce("_n", F.lit(0)).alias("num_closes"))
+
+
 def ledger(df: DataFrame, risk: float, leverage: float, by: Sequence[str] = (), spread: float = SPREAD, pip: float = PIP, name: str = "pos") -> DataFrame:
     """One row per opened order. Rows: ``action``, order_status, close, low, high, equity, balance.
 

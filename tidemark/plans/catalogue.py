@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as options
 from .. import training
 from ..functions import numeric
-from ..functions.cells import as_double, is_number, to_number
+from ..functions.cells import as_double, fill_zero, is_number, parse_timestamp, to_number
 from ..functions.deflate import kolmogorov
 from ..operators import genome, metrics, network, orders, position, windows
 from ..sources.scratch import materialise, shared_root
@@ -90,6 +90,34 @@ def csv_headerless(spark, sf_dir):
     return read_series(spark, path, headers=False).frame
 
 
+@query(f"WITH {ORDERED} SELECT pos, date_trunc('minute', ts) AS date, value AS col_1 FROM ev")
+def csv_dates(spark, sf_dir):
+    path = f"{shared_root(spark)}/tidemark/csv-{uuid.uuid4().hex}"
+    rows = events(spark, sf_dir, "value")
+    write_series(rows.select("pos", F.date_format("ts", "d/M/yyyy H:m").alias("date"), "value"), path, headers=False)
+    series = read_series(spark, path, headers=False)
+    return series.frame.select("pos", F.col(series.date).alias("date"), "col_1")
+
+
+@query("SELECT o_orderkey, date_trunc('minute', o_orderdate) AS at, o_orderkey % 3 <> 0 AS written FROM orders")
+def date_cells(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
+    read = F.coalesce(parse_timestamp(text), parse_timestamp(text, "yyyy-MM-dd H:m"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", read.alias("at"), parse_timestamp(text).isNotNull().alias("written"))
+
+
+@query("""SELECT doc_id, coalesce(try_cast(substr(source, 4) AS DOUBLE), 0) + coalesce(try_cast(lang AS DOUBLE), 0) AS filled FROM documents""")
+def filled_cells(spark, sf_dir):
+    number = lambda c: fill_zero(to_number(c))
+    return table(spark, sf_dir, "documents").select("doc_id", (number(F.substring("source", 4, 100)) + number(F.col("lang"))).alias("filled"))
+
+
+@query(f"WITH {ORDERED} SELECT {PART} AS part, count(*) AS n FROM ev GROUP BY 1")
+def part_counts(spark, sf_dir):
+    found = position.check_parts(position.split_thirds(events(spark, sf_dir)))
+    return spark.createDataFrame(sorted(found.items()), "part string, n long")
+
+
 _TOKEN = r"trim(w, E' \t\n\r\f\v')"
 
 
@@ -351,6 +379,14 @@ def order_ledger(spark, sf_dir):
     return found.withColumns(rounded).select("opened_at", "action", "price", "volume", "closed_at", "pips", "balanced", "profit")
 
 
+@query(f"""WITH {_SIGNALS}, flat AS (SELECT *, lead(action) OVER (ORDER BY pos) AS a2 FROM acted WHERE event_id % 3 = 0)
+    SELECT max_by(value + 10000 - CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END, pos) AS balance, max_by(value + 10000, pos) AS equity,
+           (SELECT count(*) FROM flat WHERE action <> 0 AND a2 = 0) AS num_closes FROM acted""")
+def rule_account(spark, sf_dir):
+    market = materialise(_market(spark, sf_dir), "market")
+    return orders.account(market, orders.ledger(market, 0.1, 100))
+
+
 def _net_sql() -> str:
     unit = lambda w, b, of: f"list_sum(list_transform(range(1, {len(w) + 1}), lambda i: ({w.tolist()})[i] * CAST({of}[i] AS DOUBLE))) + {float(b)}"
     hidden = ", ".join(f"greatest({unit(w, b, 'embedding')}, 0)" for w, b in zip(NET[0].weights, NET[0].bias, strict=True))
@@ -363,6 +399,17 @@ def mlp_forward(spark, sf_dir):
     return seen.select("vec_id", F.round(F.col("Prediction")[0], 8).alias("prediction"))
 
 
+_WIDE = [network.Layer(np.round(WEIGHTS.uniform(-0.5, 0.5, (network.WIDE, 64)), 2), np.zeros(network.WIDE), "relu"), network.Layer(np.full((1, network.WIDE), 0.125), np.zeros(1))]
+
+
+@query(f"""WITH w AS (SELECT unnest({_WIDE[0].weights.tolist()}) AS w)
+    SELECT vec_id, round(0.125 * sum(greatest(list_sum(list_transform(range(1, 65), lambda i: w[i] * CAST(embedding[i] AS DOUBLE))), 0)), 6) AS prediction
+    FROM embeddings, w GROUP BY vec_id""")
+def mlp_forward_wide(spark, sf_dir):
+    seen = network.predict(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _WIDE, "embedding")
+    return seen.select("vec_id", F.round(F.col("Prediction")[0], 6).alias("prediction"))
+
+
 @query("SELECT event_id, round(-0.5 * pow(value / 100 - 2, 2) - 0.5 * ln(2 * pi()), 9) AS logp FROM events")
 def gaussian_logprob(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(numeric.gaussian_logprob(F.col("value") / 100, F.lit(2.0)), 9).alias("logp"))
@@ -407,7 +454,9 @@ def ppo_training(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(losses)), "step long, loss double")
 
 
-@query()
+@query("""WITH seen AS (SELECT *, lead(value) OVER (PARTITION BY user_id ORDER BY ts) AS v2 FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS seq, CASE WHEN v2 = value THEN 'infinity'::DOUBLE ELSE 1 / abs(v2 - value) END AS reward
+    FROM seen WHERE v2 IS NOT NULL""")
 def stream_rewards(spark, sf_dir):
     folder = f"{shared_root(spark)}/tidemark/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema

@@ -17,21 +17,24 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Prepared:
-    train: DataFrame  # pos, state, y, part
-    validation: DataFrame | None  # pos, state, y
+    train: DataFrame  # pos, state, y, targets, part
+    validation: DataFrame | None  # pos, state, y, targets
     inputs: int
 
 
 def target(x: Series, choice: int | None, y: Series | None) -> DataFrame:
-    """(pos, y): the first number column of a file of its own, or a column of x by ordinal."""
+    """(pos, y, targets): the columns of a file of its own, or a column of x by ordinal. targets holds all
+    of them, y the first, which rewards and errors look at."""
     if y is not None:
-        column = next(c for c in y.columns if c != y.date)
-        frame = y.frame
+        columns, frame = [c for c in y.columns if c != y.date], y.frame
+        if not columns:
+            raise ValueError("the target's file has no column but the date")
     elif isinstance(choice, int) and not isinstance(choice, bool):
-        column, frame = x.columns[choice], x.frame
+        columns, frame = [x.columns[choice]], x.frame
     else:
         raise ValueError("the target is a file or the number of a column")
-    return frame.select("pos", fill_zero(as_double(F.col(column), frame.schema[column].dataType)).alias("y"))
+    cells = [fill_zero(as_double(F.col(c), frame.schema[c].dataType)) for c in columns]
+    return frame.select("pos", cells[0].alias("y"), F.array(*cells).alias("targets"))
 
 
 def states(x: Series) -> tuple[DataFrame, int]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,25 @@ from ..sources.series import write_series
 from .prepare import Prepared, prepare
 
 
+log = logging.getLogger(__name__)
+FIRST_OUTPUTS = 5
+
+
+def _own_params(group: str, name: str, config: dict) -> dict:
+    return {k: config[k] for k in registry.get_plugin_params(group, name) if k in config}
+
+
+def environment(config: dict) -> Callable[[DataFrame], DataFrame]:
+    """The environment plugin of a run: (pos, y, prediction) -> (pos, reward)."""
+    rewards, _ = registry.load_plugin("environments", config["environment_plugin"])
+    return partial(rewards, **_own_params("environments", config["environment_plugin"], config))
+
+
 def _evaluate(frame: DataFrame, actor, max_steps: int) -> float:
     """Fitness of the first action that each state gives."""
     acted = network.predict(frame.filter(F.col("pos") < max_steps), actor, "state").withColumn("p", F.col("Prediction")[0])
+    first = acted.filter(F.col("pos") < FIRST_OUTPUTS).orderBy("pos").select("p").collect()
+    log.info("first outputs: %s", [r.p for r in first])
     return metrics.errors(acted, "y", "p").first()["fitness"]
 
 
@@ -34,10 +53,11 @@ def train_and_evaluate(spark: SparkSession, config: dict) -> dict:
     data: Prepared = prepare(spark, config)
     train = materialise(data.train, "train")
     fit, _ = registry.load_plugin("optimizers", config["optimizer_plugin"])
-    own = registry.get_plugin_params("optimizers", config["optimizer_plugin"])
-    params = {k: config[k] for k in own if k in config}
+    agent, _ = registry.load_plugin("agents", config["agent_plugin"])
     first = train.filter(F.col("part") == "train")
-    nets, losses = fit(first, data.inputs, config["epochs"], **params)
+    network.check_spaces(first, "state", data.inputs)
+    params = _own_params("optimizers", config["optimizer_plugin"], config)
+    nets, losses = fit(first, data.inputs, config["epochs"], environment=environment(config), agent=agent, **params)
     network.save(nets, spark, config["save_model"])
     actor = network.load(spark, config["save_model"])["actor"]
     links, nodes = connections(actor, spark)
@@ -64,6 +84,8 @@ def score_saved(spark: SparkSession, config: dict) -> DataFrame:
     data = prepare(spark, config)
     actor = network.load(spark, config["load_model"])["actor"]
     agent, _ = registry.load_plugin("agents", config["agent_plugin"])
-    out = agent(data.train.filter(F.col("part") == "train"), actor).select("pos", "Prediction")
+    rows = data.train.filter(F.col("part") == "train")
+    network.check_spaces(rows, "state", actor[0].weights.shape[1], actor)
+    out = agent(rows, actor).select("pos", "Prediction")
     write_series(out, config["evaluate_file"], include_date=False)
     return out
