@@ -525,7 +525,7 @@ def test_near_stage_equals_all_pairs_by_jaccard(spark, kind):
 
 
 def brute_passages(rows, least=50):
-    """Spans of later and first occurrences of every stretch of ``least`` words."""
+    """Spans of first and later occurrences of every stretch of ``least`` words that two documents have."""
     seen = defaultdict(list)
     for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
         words = (t or "").encode().split()
@@ -535,8 +535,8 @@ def brute_passages(rows, least=50):
     for later in (False, True):
         marks = defaultdict(set)
         for places in seen.values():
-            if len(places) > 1:
-                for d, i in places[1:] if later else places[:1]:
+            for d, i in places if len({d for d, _ in places}) > 1 else []:
+                if later == (d != places[0][0]):
                     marks[d].add(i)
         for d, starts in marks.items():
             begin = end = None
@@ -562,7 +562,7 @@ def passage_rows():
         rows.append((k, " ".join([*some(int(rng.integers(0, 40))), *a[cut:], *some(int(rng.integers(0, 3))), *b[: len(b) - cut], *some(20)])))
     one, two = thue_morse(2048)
     rows += [(70, " ".join([one, *shared[5][:49], two])), (71, " ".join([two, *shared[5][:49], one])), (72, " ".join([one, *shared[5][:49], one]))]
-    rows += [(73, " ".join([one, two] * 40)), (74, " ".join([two, one] * 40)), (75, " ".join(["a"] * 300)), (76, " ".join(["a"] * 60 + ["b"] * 60 + ["a"] * 60))]
+    rows += [(73, " ".join([one, two] * 40)), (74, " ".join([two, one] * 40)), (75, " ".join(["a"] * 300)), (77, " ".join(["c"] * 300)), (76, " ".join(["a"] * 60 + ["b"] * 60 + ["a"] * 60))]
     rows += [(80 + k, " ".join([f"u{k}", *shared[3], f"v{k}"])) for k in range(30)]  # a gram with many own texts
     return rows
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, materialise, small_batches
+from .shared import give_back_memory, lean, materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -146,15 +146,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cfg: NbSvm) -> Model:
     # constant indicator
     w, bias = np.zeros(cfg.buckets), 0.0
     alpha = np.zeros(len(y))
-    values = {i: ratio[rows[i]] / np.sqrt(max(1, len(rows[i]))) for i in train}
-    square = {i: float(v @ v) + 1.0 for i, v in values.items()}
+    scale = {i: 1 / np.sqrt(max(1, len(rows[i]))) for i in train}
+    square = {i: float(np.square(ratio[rows[i]]).sum()) * scale[i] ** 2 + 1.0 for i in train}
     share = {s: (y[train] == s).mean() for s in (1, -1)}
     cost = {s: cfg.cost * 0.5 / share[s] for s in (1, -1)}  # both classes weigh alike
     rng = np.random.default_rng(17)
     for _ in range(cfg.epochs):
         most = 0.0
         for i in rng.permutation(train).tolist():
-            x, at, s = values[i], rows[i], int(y[i])
+            at, s = rows[i], int(y[i])
+            x = ratio[at] * scale[i]
             gradient = s * (float(w[at] @ x) + bias) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[s])
             change = new - alpha[i]
@@ -200,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
     if upto < len(sizes):
         found = found.filter(F.col("doc_id").isin(kept))
     got = sorted(found.collect(), key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.found, np.uint32) for r in got], np.array([1 if r.y > 0 else -1 for r in got], np.int64), cfg)
+    model = fit([np.frombuffer(r.found, np.uint32) for r in got], np.array([1 if r.y > 0 else -1 for r in got], np.int64), cfg)
+    del got
+    give_back_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, cfg: NbSvm = NbSvm()):

@@ -30,22 +30,27 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def give_back_memory() -> None:
+    """Freed memory that the process' allocators still hold goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function of a mapInArrow that, when its task ends, gives freed memory back: workers live on,
-    and what their allocators hold would stay beside the next task's."""
+    """The function of a mapInArrow that gives memory back when its task ends: workers live on, and what
+    their allocators hold would stay beside the next task's."""
 
     def lean_run(batches: Iterator) -> Iterator:
         yield from run(batches)
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim:
-            trim(0)
+        give_back_memory()
 
     return lean_run
 

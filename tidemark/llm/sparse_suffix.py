@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array over word positions.
+"""Passages that several documents share, by a sparse suffix array over word positions.
 
 Every stretch of ``min_words`` words has a least run of ``gram`` words (by hash, leftmost of equals):
 its minimiser. The suffixes that start at minimisers are retained; a suffix owns the neighbouring
@@ -12,7 +12,7 @@ one row each. What is left, one suffix for each different own text of a gram, is
 suffixes are sorted by their words, word for word to the right, then word for word to the left, and
 those that stay neighbours over all the words of a stretch share it. Each gives its repeated stretches as
 intervals, and the intervals of a document are joined: the union of repeated stretches is exactly the
-set of passages of min_words or more words that occur twice.
+set of passages of min_words or more words that occur in two documents.
 
 The first sort is a range sort whose ties are cut by document and position, so a passage that stands
 in a third of the documents is spread over many tasks; what meets at the edges of tasks is settled from
@@ -24,8 +24,8 @@ compared themselves, but for whole own texts, and stretches of the other way, wh
 their 128-bit BLAKE2 digests are.
 
 Defined results: null and short texts have no passage; rows alike in doc_id and text are one document; a
-passage twice in one document is a repeat too; the occurrence with the least (doc_id, position) is the
-first, the others are later ones; a null doc_id (or -2^63) sorts first; texts of any length are read
+passage that only one document has, however often, is no repeat; the occurrences in the least document
+(by doc_id) are the first, those in others the later ones; a null doc_id (or -2^63) sorts first; texts of any length are read
 whole, CHUNK stretches at a time; an empty table gives no row; further columns are carried along by
 ``remove_repeats`` and not looked at.
 """
@@ -122,61 +122,68 @@ def _retained(keyed: DataFrame, cfg: Passages) -> DataFrame:
 
 
 class _Neighbours:
-    """Compares sorted suffixes with their neighbours, a batch at a time. Of suffixes with one gram and
-    digest the first is held until it is known whether it has a twin, and whether its gram has others."""
+    """Compares sorted suffixes with their neighbours, a batch at a time. Of a class (one gram and digest)
+    the rows of its first document are held, at most that text's own, until it is known whether other
+    documents have it too (twin), and whether its gram has other classes (shared)."""
 
     def __init__(self) -> None:
         self.last: np.ndarray | None = None  # the row before the next batch
-        self.held: np.ndarray | None = None  # the first of its class
+        self.held: list[np.ndarray] = []  # rows of the last class' first document
         self.twin = self.shared = False
-        self.edge = True  # nothing has been given out yet
+        self.edge = True  # no class has been given out yet
 
     def take(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, flags: first, twin, shared, edge) that are settled. rows: a row each, as _SUFFIX."""
         before = np.vstack([rows[:1] if self.last is None else self.last[None], rows[:-1]])
         same = rows == before
-        new = ~same.all(axis=1)
         if self.last is None:
-            new[0] = True
+            same[0] = False
+        new = ~same.all(axis=1)
         rows, same = rows[new], same[new]
         if not len(rows):
             return
-        new_class, new_gram = ~same[:, :3].all(axis=1), ~same[:, 0]
-        if self.last is None:
-            new_class[0] = new_gram[0] = True
         self.last = rows[-1]
+        new_class, new_gram = ~same[:, :3].all(axis=1), ~same[:, 0]
+        number = np.cumsum(new_class)  # 0: the held class goes on
         first = np.flatnonzero(new_class)
-        others = rows[~new_class]
-        if len(others):
-            yield others, np.zeros((len(others), 4), bool)
-        if self.held is not None:
-            self.twin |= not new_class[0]
-            if len(first):
-                self.shared |= not new_gram[first[0]]
-                yield from self.settle(False)
-        if len(first):
-            twin = np.append(~new_class[first[:-1] + 1], first[-1] + 1 < len(rows))
-            shared = ~new_gram[first]
-            shared[:-1] |= ~new_gram[first[1:]]
-            keep = (twin | shared)[:-1]
-            if self.edge and len(first) > 1:  # the first of all is given out whatever it is
-                keep[0] = True
-            if keep.any():
-                at = np.flatnonzero(keep)
-                flags = np.column_stack([np.ones(len(at), bool), twin[at], shared[at], (at == 0) & self.edge])
-                yield rows[first[at]], flags
-            self.edge &= len(first) == 1
-            self.held, self.twin, self.shared = rows[first[-1]], bool(twin[-1]), bool(shared[-1])
+        document = np.vstack([self.held[0][:1, 3:5] if self.held else np.zeros((1, 2), np.int64), rows[first, 3:5]])
+        own = (rows[:, 3:5] == document[number]).all(axis=1)
+        if not own.all():
+            yield rows[~own], np.zeros((int((~own).sum()), 4), bool)
+        twins = np.bincount(number[~own], minlength=len(first) + 1) > 0
+        if self.held:
+            self.twin |= bool(twins[0])
+            goes_on = own & (number == 0)
+            if goes_on.any():
+                self.held.append(rows[goes_on])
+        if not len(first):
+            return
+        if self.held:
+            self.shared |= not new_gram[first[0]]
+            yield from self.settle(False)
+        shared = ~new_gram[first]
+        shared[:-1] |= ~new_gram[first[1:]]
+        shared, edge = np.concatenate(([False], shared)), np.zeros(len(first) + 1, bool)
+        edge[1] = self.edge and len(first) > 1  # the first class of all is given out whatever it is
+        given = twins | shared | edge
+        given[[0, -1]] = False
+        at = np.flatnonzero(own & given[number])
+        if len(at):
+            of = number[at]
+            yield rows[at], np.column_stack([np.ones(len(at), bool), twins[of], shared[of], edge[of]])
+        self.edge &= len(first) == 1
+        self.held, self.twin, self.shared = [rows[own & (number == len(first))]], bool(twins[-1]), bool(shared[-1])
 
     def settle(self, end: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.held is not None and (end or self.edge or self.twin or self.shared):
-            yield self.held[None], np.array([[True, self.twin, self.shared, end or self.edge]])
+        if self.held and (end or self.edge or self.twin or self.shared):
+            rows = np.vstack(self.held)
+            yield rows, np.tile([True, self.twin, self.shared, end or self.edge], (len(rows), 1))
             self.edge = False
 
 
 def _compared(retained: DataFrame, keep) -> DataFrame:
-    """Suffixes that share a gram or a digest: _SUFFIX, first (of its class), twin (its class has others),
-    shared (its gram has other classes)."""
+    """Suffixes that share a gram or a digest: _SUFFIX, first (of its class' first document), twin (other
+    documents have its class), shared (its gram has other classes)."""
     types = f"{_SUFFIX_TYPES}, first boolean, twin boolean, shared boolean, edge boolean, part int"
 
     def run(batches) -> Iterator:
@@ -203,16 +210,24 @@ def _compared(retained: DataFrame, keep) -> DataFrame:
     dealt = retained.select(*_SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     marked = keep(dealt.mapInArrow(lean(run), types), "suffixes")
     # the first and last class of each task, two rows a task: here classes and grams may go on
-    edges = [r.asDict() for r in marked.filter("edge").orderBy("part", *order).collect()]
+    where = ["part", "gram", "d1", "d2"]
+    ends = marked.filter("edge").groupBy(*where).agg(F.min("rid").alias("rid"), F.min_by("text_key", F.struct("rid", "text_key")).alias("text_key"), F.max("twin").alias("twin"), F.max("shared").alias("shared"))
+    edges = [r.asDict() for r in ends.orderBy("part", "gram", "d1", "d2").collect()]
     for _, same_gram in groupby(edges, key=lambda r: r["gram"]):
         classes = [list(rows) for _, rows in groupby(same_gram, key=lambda r: (r["d1"], r["d2"]))]
         shared = len(classes) > 1 or any(r["shared"] for r in classes[0])
-        for first, *others in classes:
-            first |= {"shared": shared, "twin": first["twin"] or bool(others)}
-            for r in others:
-                r["first"] = False
-    settled = marked.sparkSession.createDataFrame([tuple(r.values()) for r in edges], marked.schema)
-    return marked.filter("not edge").union(settled).drop("edge", "part")
+        for rows in classes:
+            document = (rows[0]["rid"], rows[0]["text_key"])
+            twin = any(r["twin"] or (r["rid"], r["text_key"]) != document for r in rows)
+            for r in rows:
+                r |= {"rid": document[0], "text_key": document[1], "twin": twin, "shared": shared}
+    settled = [(r["part"], r["gram"], r["d1"], r["d2"], r["rid"], r["text_key"], r["twin"], r["shared"]) for r in edges]
+    kinds = "part int, gram long, d1 long, d2 long, first_rid long, first_key long, is_twin boolean, is_shared boolean"
+    met = F.broadcast(marked.sparkSession.createDataFrame(settled, kinds))
+    at_edges = marked.filter("edge").drop("first", "twin", "shared").join(met, where)
+    at_edges = at_edges.withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("text_key") == F.col("first_key")))
+    at_edges = at_edges.select(*_SUFFIX, "first", F.col("is_twin").alias("twin"), F.col("is_shared").alias("shared"))
+    return marked.filter("not edge").select(*at_edges.columns).union(at_edges)
 
 
 def _names(rows: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -223,9 +238,9 @@ def _names(rows: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray
     return out
 
 
-def share_stretches(gram: np.ndarray, head: np.ndarray, count: np.ndarray, twin: np.ndarray, words, cfg: Passages) -> tuple[np.ndarray, ...]:
+def share_stretches(gram: np.ndarray, document: np.ndarray, head: np.ndarray, count: np.ndarray, twin: np.ndarray, words, cfg: Passages) -> tuple[np.ndarray, ...]:
     """(row, first stretch, end, later) of the repeated stretches of some suffixes. rows stand in the
-    order of documents and places within a gram; words: list array of each row's own words."""
+    order of documents within a gram; words: list array of each row's own words."""
     n, least, reach = len(gram), cfg.min_words, cfg.min_words - cfg.gram
     code = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
     begin = words.offsets.to_numpy().astype(np.int64)
@@ -246,12 +261,12 @@ def share_stretches(gram: np.ndarray, head: np.ndarray, count: np.ndarray, twin:
             continue
         name = right[least - o][rows] * n + left[rows]
         order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        later, repeated = np.zeros(len(rows), bool), twin[rows].copy()
-        later[order[1:]] = same
-        repeated[order[1:]] |= same
-        repeated[order[:-1]] |= same
-        at = np.flatnonzero(repeated)
+        group = np.concatenate(([0], np.cumsum(name[order][1:] != name[order][:-1])))
+        first = document[rows[order[np.searchsorted(group, np.arange(group[-1] + 1))]]]
+        later = np.empty(len(rows), bool)
+        later[order] = document[rows[order]] != first[group]
+        repeated = np.bincount(group, weights=later[order] | twin[rows[order]]) > 0
+        at = order[repeated[group]]
         found.append(np.column_stack([rows[at], head[rows[at]] - o, later[at]]))
     every = np.concatenate(found)
     every = every[np.lexsort((every[:, 1], every[:, 0]))]
@@ -311,7 +326,9 @@ def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
         def solve(table: pa.Table) -> pa.RecordBatch:
             cols = {c: table.column(c).combine_chunks() for c in table.column_names}
             gram, head, count, twin, start = (cols[c].to_numpy(zero_copy_only=False) for c in ("gram", "head", "count", "twin", "start"))
-            row, first, end, later = share_stretches(gram, head.astype(np.int64), count.astype(np.int64), twin, pc.split_pattern(cols["own"], " "), cfg)
+            pair = np.column_stack([cols[c].to_numpy() for c in ("rid", "text_key")])
+            document = np.unique(pair.view("V16").ravel(), return_inverse=True)[1]
+            row, first, end, later = share_stretches(gram, document, head.astype(np.int64), count.astype(np.int64), twin, pc.split_pattern(cols["own"], " "), cfg)
             taken = pa.array(row)
             return pa.RecordBatch.from_arrays([cols["rid"].take(taken), cols["text_key"].take(taken), pa.array(start[row] + first), pa.array(start[row] + end), pa.array(later.astype(bool))], ["rid", "text_key", "start_word", "end_word", "later"])
 
@@ -354,9 +371,10 @@ def _by_digests(own: DataFrame, cfg: Passages, keep) -> DataFrame:
 
     rows = keep(own.mapInArrow(lean(run), "d1 long, d2 long, rid long, text_key long, place long, twin boolean"), "stretches")
     rows = rows.withColumn("digest", F.struct("d1", "d2")).drop("d1", "d2")
-    facts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "text_key", "place")).alias("least"))
-    joined = skew_safe_lookup(rows, keep(facts, "stretch-facts"), "digest", "copies", rows.count()).filter("copies > 1 or twin")
-    later = F.struct("rid", "text_key", "place") != F.col("least")
+    document = F.struct("rid", "text_key")
+    facts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(document).alias("least"), ((F.min(document) != F.max(document)) | F.max("twin")).alias("repeated"))
+    joined = skew_safe_lookup(rows, keep(facts, "stretch-facts"), "digest", "copies", rows.count()).filter("repeated")
+    later = document != F.col("least")
     runs = W.partitionBy("rid", "text_key", "later").orderBy("place")
     joined = joined.withColumn("later", later).withColumn("run", F.col("place") - F.row_number().over(runs))
     spans = joined.groupBy("rid", "text_key", "later", "run").agg(F.min("place").alias("start_word"), (F.max("place") + cfg.min_words).alias("end_word"))
