@@ -71,19 +71,17 @@ def _carried(heads: DataFrame, by: Sequence[str], last: int) -> DataFrame:
     a + c x. RETURN_BLOCK blocks are folded at a time, and these groups in turn by the same rule, so
     that no task holds more than RETURN_BLOCK rows of an episode."""
 
-    def fold(pdf):
-        pdf = pdf.sort_values("_b", ascending=False, kind="stable").reset_index(drop=True)
-        held, share, out = 0.0, 1.0, []
-        for a, c in zip(pdf["a"], pdf["c"], strict=True):
-            out.append((held, share))
-            held, share = a + c * held, max(c * share, 5e-324)  # above 0, so that an infinite return stays one
-        pdf["held"], pdf["share"] = zip(*out, strict=True)
-        return pdf.assign(a=held, c=share)
-
-    kinds = ", ".join(f"`{c}` {heads.schema[c].dataType.simpleString()}" for c in by)
-    grouped = heads.select(*by, "_b", F.floor(F.col("_b") / RETURN_BLOCK).alias("_g"), "a", "c")
-    schema = f"{kinds + ', ' if by else ''}_b long, _g long, a double, c double, held double, share double"
-    folded = grouped.groupBy(*by, "_g").applyInPandas(fold, schema)
+    grouped = heads.groupBy(*by, F.floor(F.col("_b") / RETURN_BLOCK).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_b", "a", "c")), asc=False).alias("_s"))
+    start = F.struct(F.lit(0.0).alias("held"), F.lit(1.0).alias("share"), F.expr("cast(array() as array<struct<_b:bigint,held:double,share:double>>)").alias("out"))
+
+    def fold(acc, x):
+        share = F.greatest(x["c"] * acc["share"], F.lit(5e-324))  # above 0, so that an infinite return stays one
+        own = F.struct(x["_b"].alias("_b"), acc["held"].alias("held"), acc["share"].alias("share"))
+        return F.struct((x["a"] + x["c"] * acc["held"]).alias("held"), share.alias("share"), F.array_append(acc["out"], own).alias("out"))
+
+    found = grouped.select(*by, "_g", F.aggregate("_s", start, fold).alias("_f"))
+    each = found.select(*by, "_g", F.col("_f.held").alias("a"), F.col("_f.share").alias("c"), F.explode("_f.out").alias("_o"))
+    folded = each.select(*by, "_o._b", "_g", "a", "c", "_o.held", "_o.share")
     if last < RETURN_BLOCK:
         return folded.select(*by, "_b", F.col("held").alias("carry"))
     folded = materialise(folded, "folded")

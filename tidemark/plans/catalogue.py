@@ -99,11 +99,11 @@ def csv_dates(spark, sf_dir):
     return series.frame.select("pos", F.col(series.date).alias("date"), "col_1")
 
 
-@query("SELECT o_orderkey, date_trunc('minute', o_orderdate) AS at, o_orderkey % 3 <> 0 AS written FROM orders")
+@query("SELECT o_orderkey, date_trunc('minute', o_orderdate) AS read_at, o_orderkey % 3 <> 0 AS written FROM orders")
 def date_cells(spark, sf_dir):
     text = F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
     read = F.coalesce(parse_timestamp(text), parse_timestamp(text, "yyyy-MM-dd H:m"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", read.alias("at"), parse_timestamp(text).isNotNull().alias("written"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", read.alias("read_at"), parse_timestamp(text).isNotNull().alias("written"))
 
 
 @query("""SELECT doc_id, coalesce(try_cast(substr(source, 4) AS DOUBLE), 0) + coalesce(try_cast(lang AS DOUBLE), 0) AS filled FROM documents""")
@@ -441,9 +441,24 @@ def epoch_nanos(spark, sf_dir):
     return rows.select("o_orderkey", as_double(F.col("o_orderdate"), rows.schema["o_orderdate"].dataType, epoch=True).alias("nanos"))
 
 
-@query()
+def _vector_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is a genome; a weight is a whole number of thousandths."""
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("genome_id"), F.posexplode("embedding").alias("i", "x"))
+    weight = F.floor(F.col("x").cast("double") * 1000).cast("double")
+    return cells.select("genome_id", F.concat_ws("-", F.lit("c"), "i").alias("key"), weight.alias("weight"), (F.col("i") % 3 != 0).alias("enabled"))
+
+
+@query("""WITH cells AS (SELECT vec_id, i - 1 AS i, CAST(CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) AS DOUBLE) AS w
+            FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+    SELECT vec_id AS genome_id, CAST(8 * (1 + sum(1 + length('{"key":"c-' || i || '","weight":' || CAST(w AS VARCHAR) || ',"enabled":' || (i % 3 <> 0) || '}'))) AS BIGINT) AS bits
+    FROM cells GROUP BY vec_id""")
 def genome_serialised(spark, sf_dir):
-    return genome.serialised(_genome(spark, sf_dir)[0]).select("genome_id", "bits", "complexity")
+    return genome.serialised(_vector_genomes(spark, sf_dir)).select("genome_id", "bits")
+
+
+@query()
+def genome_complexity(spark, sf_dir):
+    return genome.serialised(_vector_genomes(spark, sf_dir)).select("genome_id", "complexity")
 
 
 @query()
