@@ -216,5 +216,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     mine = free_name(docs, "stays_id")
     groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike) if alike else near_duplicates(docs, id_col, text_col)
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(stays, F.col(id_col).cast("long") == F.col(mine), "left_semi")
+    named = docs.filter(F.col(id_col).isNotNull()).join(stays.hint("merge"), F.col(id_col).cast("long") == F.col(mine), "left_semi")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "d
     cuts = later.groupBy("rid", "text_key").agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
     cuts = materialise(cuts.withColumnsRenamed({"rid": one, "text_key": key}), "cuts")
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    joined = docs.join(cuts, (rid == F.col(one)) & (F.xxhash64(text_col) == F.col(key)), "left")
+    joined = docs.join(cuts.hint("merge"), (rid == F.col(one)) & (F.xxhash64(text_col) == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, found):
