@@ -200,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, cfg: NbSvm = NbSvm(), label: str =
     kept = [r.doc_id for r in sizes[:upto]]  # at most max_rows ids
     if upto < len(sizes):
         found = found.filter(F.col("doc_id").isin(kept))
-    got = sorted(found.collect(), key=lambda r: r.doc_id)
-    model = fit([np.frombuffer(r.found, np.uint32) for r in got], np.array([1 if r.y > 0 else -1 for r in got], np.int64), cfg)
-    del got
+    got = found.toArrow()
+    packed = got.column("found").combine_chunks()
+    every = np.frombuffer(packed.buffers()[2], np.uint32) if len(packed) and packed.buffers()[2] else np.empty(0, np.uint32)
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4 if len(packed) else np.zeros(1, np.int32)
+    order = np.argsort(got.column("doc_id").to_numpy())
+    model = fit([every[ends[i] : ends[i + 1]] for i in order], np.where(got.column("y").to_numpy()[order] > 0, 1, -1).astype(np.int64), cfg)
+    del got, packed, every
     give_back_memory()
     return model
 
