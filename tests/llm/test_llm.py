@@ -671,7 +671,7 @@ def plain_differencing(sizes, k):
         loads = [x - loads[-1] for x in loads]
         parts.append((loads[0], number, loads))
         number += 1
-    return parts[0][2]
+    return [x - min(parts[0][2]) for x in parts[0][2]]
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 7])

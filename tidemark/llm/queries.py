@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, digest_index, nbsvm, packing, piece_bpe, pivot_search, simhash, sparse_suffix, token_store, warc
+from . import chat_rotation, digest_index, nbsvm, packing, piece_bpe, pivot_search, prefix_trie, simhash, span_crf, sparse_suffix, token_store, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,20 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.Packing(_vocabulary("byte_bpe_50k.json")))
 
 
+def op11_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    first = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), (conv - conv % 5, first, 8))
+
+
+def op12_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_crf.find(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,10 +110,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_pigeonring,
         op9_sparse_suffix_passages,
         op10_karmarkar_karp_packing,
+        op11_prefix_doubling_trie,
+        op12_semi_markov_pii,
+        op13_vector_codes,
     )
 }
 
+#: crc32 of a string, bit by bit; the polynomial is a fixed value
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))),
+                lambda held, byte: list_reduce(list_prepend(xor(held, byte), CAST(range(0, 8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Rounds of assigning and averaging, one after the other."""
+    near = """a{0} AS (SELECT vec_id, part, v, first(entry ORDER BY d, entry) AS entry, min(d) AS d FROM (
+            SELECT p.vec_id, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            FROM pieces p JOIN b{0} b ON p.part = b.part) GROUP BY vec_id, part, v)"""
+    mean = """b{1} AS (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN (
+            SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+                SELECT part, entry, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{0}, (SELECT unnest(range(1, (SELECT width + 1 FROM size))) AS i) GROUP BY part, entry, i)
+            GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry)"""
+    steps = [s for k in range(rounds) for s in (near.format(k), mean.format(k, k + 1))] + [near.format(rounds)]
+    return f"""
+        WITH whole AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        size AS (SELECT max(len(v)) // {parts} AS width FROM whole),
+        pieces AS (SELECT vec_id, p AS part, v[p * width + 1 : (p + 1) * width] AS v FROM whole, size, (SELECT unnest(range(0, {parts})) AS p)),
+        b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM pieces QUALIFY entry < {entries}),
+        {', '.join(steps)},
+        coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN whole USING (vec_id), sha"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_doubling_trie": f"""
+        WITH t AS (
+            SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM t),
+        parts AS (
+            SELECT c.conv_id, 0 AS own, b.place, b.said FROM c JOIN t b ON b.conv_id = c.base AND b.place < c.h
+            UNION ALL SELECT t.conv_id, 1, t.place, t.said FROM t JOIN c ON c.conv_id = t.conv_id AND t.place >= c.h),
+        whole AS (SELECT c.conv_id, coalesce(list(said ORDER BY own, place) FILTER (WHERE said IS NOT NULL), []) AS said FROM c LEFT JOIN parts USING (conv_id) GROUP BY c.conv_id),
+        members AS (SELECT conv_id, len(said) AS n, depth, said[1:depth] AS node FROM (SELECT *, unnest(range(0, len(said) + 1)) AS depth FROM whole)),
+        nodes AS (
+            SELECT node, depth, min(conv_id) AS least, count(*) AS n_convs, coalesce(octet_length(encode(node[depth].t)), 0) AS bytes, bool_and(n = depth) AS leaf,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+            FROM members GROUP BY node, depth),
+        own AS (
+            SELECT m.conv_id, m.depth, m.node, CASE WHEN m.conv_id = least THEN (n_convs - 1) * bytes ELSE 0 END AS saved, CASE WHEN m.conv_id = least AND leaf THEN 1 ELSE 0 END AS leaf
+            FROM members m JOIN nodes USING (node, depth)),
+        below AS (
+            SELECT node, depth, sum(saved) AS saved, sum(leaf) AS leaves FROM (
+                SELECT node, depth, sum(saved) OVER w AS saved, sum(leaf) OVER w AS leaf FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY depth DESC))
+            GROUP BY node, depth),
+        children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL)
+        SELECT n.least AS conv_id, n.depth, p.least AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves,
+               CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON n.node = b.node AND n.depth = b.depth LEFT JOIN children c ON n.node = c.node AND n.depth = c.depth
+        LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]""",
+    "op13_vector_codes": _codes_sql(),
     "op2_exact_dedup_index": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
