@@ -189,12 +189,12 @@ def test_gradients_match_differences(spark):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(rng.normal(size=2).tolist(), *rng.normal(size=2).tolist(), float(rng.normal()), float(rng.normal())) for _ in range(30)], "state array<double>, action double, logp double, ret double, adv double")
     nets = [*network.actor_critic(2, 4)]
-    at = training._flat(nets)
+    at = network.flat(nets)
     found = network.gradients(rows, *nets, 0.2)
     for i in (0, 5, 13, len(at) - 1):
         step = np.zeros(len(at))
         step[i] = 1e-6
-        up, down = (network.gradients(rows, *training._shaped(at + s, nets), 0.2)[0] for s in (step, -step))
+        up, down = (network.gradients(rows, *network.shaped(at + s, nets), 0.2)[0] for s in (step, -step))
         assert found[2 + i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-5)
 
 

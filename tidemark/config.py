@@ -36,6 +36,7 @@ DEFAULTS = {
     "quiet_mode": False,
     "force_date": True,
     "headers": True,
+    "multiline": False,
     "max_steps": 6300,
     "batch_size": 32,
     "epochs": 150,
@@ -58,7 +59,7 @@ SHORT = {
 #: Options that nothing reads; they are taken, with a warning by the command line.
 UNUSED = ("output_file", "quiet_mode", "batch_size", "mse_threshold", "stabilization_cycles", "number_of_segments", "overfitting_threshold", "time_horizon", "num_hidden")
 SECRET = ("username", "password")
-_FLAGS = ("quiet_mode", "force_date", "headers")
+_FLAGS = ("quiet_mode", "force_date", "headers", "multiline")
 _INTEGERS = ("target_column", "max_steps", "batch_size", "epochs", "input_offset", "time_horizon", "num_hidden", "periodicity_minutes", "stabilization_cycles", "number_of_segments")
 _REALS = ("mse_threshold", "overfitting_threshold")
 

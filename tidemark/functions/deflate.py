@@ -8,8 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def raw_deflater(level: int = 9):
+    return zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+
+
 def raw_deflate_length(data: bytes, level: int = 9) -> int:
-    packer = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    packer = raw_deflater(level)
     return len(packer.compress(data)) + len(packer.flush())
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.deflate import kolmogorov
+from ..functions.deflate import raw_deflater
 from . import metrics
+from .position import with_position
 
 
 def counts(connections: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,9 +36,58 @@ def total_information(connections: DataFrame, nodes: DataFrame, bins: int = 50,
     return facts.withColumn("total_information", F.col("n_connections") * F.col("entropy") + F.lit(node_information or 0.0))
 
 
+#: Bytes of a genome's piece that is one row.
+PIECE_BYTES = 1 << 22
+
+
+def _connection_json() -> Column:
+    return F.to_json(F.struct("key", "weight", "enabled"))
+
+
 def serialised(connections: DataFrame) -> DataFrame:
-    """genome_id, its bytes (connections in key order as JSON), bits, and complexity by compression. A
-    genome is a model's own size, so it is one row."""
-    row = F.struct("key", "weight", "enabled")
-    packed = connections.groupBy("genome_id").agg(F.to_json(F.array_sort(F.collect_list(row))).cast("binary").alias("bytes"))
-    return packed.withColumn("bits", (F.octet_length("bytes") * 8).cast("long")).withColumn("complexity", kolmogorov(F.col("bytes")))
+    """genome_id and bits: the length of the genome as a JSON list of its connections. A sum of lengths, so
+    that no genome is ever one row."""
+    size = F.sum(F.octet_length(_connection_json()) + 1)  # a comma or the closing bracket behind each, the opening one
+    return connections.groupBy("genome_id").agg(((size + 1) * 8).cast("long").alias("bits"))
+
+
+def pieces(connections: DataFrame) -> DataFrame:
+    """(genome_id, piece, bytes): the JSON list in key order, cut between connections into pieces of about
+    PIECE_BYTES."""
+    placed = with_position(connections.select("genome_id", "key", "weight", "enabled"), "key", "weight", "enabled", by=("genome_id",), name="_at")
+    rows = placed.withColumn("_json", _connection_json())
+    most = rows.agg(F.max(F.octet_length("_json"))).first()[0] or 1
+    rows = rows.withColumn("piece", F.floor(F.col("_at") / max(1, PIECE_BYTES // most)))
+    joined = rows.groupBy("genome_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_json"))), lambda r: r["_json"]), ",").alias("_text"))
+    last = rows.groupBy(F.col("genome_id").alias("_g")).agg(F.max("piece").alias("_last"))
+    ends = joined.join(last, F.col("genome_id").eqNullSafe(F.col("_g")))
+    text = F.concat(F.when(F.col("piece") == 0, "[").otherwise(","), "_text", F.when(F.col("piece") == F.col("_last"), "]").otherwise(""))
+    return ends.select("genome_id", "piece", text.cast("binary").alias("bytes"))
+
+
+def complexity(connections: DataFrame) -> DataFrame:
+    """genome_id, complexity: bytes of the raw deflate stream of the JSON list. A genome's pieces go through
+    one compressor in order, so that a task holds a piece at a time."""
+
+    def run(batches) -> Iterator:
+        now, packer, size = None, None, 0
+        for batch in batches:
+            done = []
+            for genome, piece, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if packer is None or piece == 0:
+                    if packer is not None:
+                        done.append((now, size + len(packer.flush())))
+                    now, packer, size = genome, raw_deflater(), 0
+                size += len(packer.compress(data))
+            yield given(done, batch.schema.field(0).type)
+        if packer is not None:
+            yield given([(now, size + len(packer.flush()))], batch.schema.field(0).type)
+
+    def given(rows: list[tuple], kind):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], kind), pa.array([n for _, n in rows], pa.int64())], ["genome_id", "complexity"])
+
+    kind = connections.schema["genome_id"].dataType.simpleString()
+    dealt = pieces(connections).repartition("genome_id").sortWithinPartitions("genome_id", "piece")
+    return dealt.mapInArrow(run, f"genome_id {kind}, complexity long")

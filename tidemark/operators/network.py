@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -54,7 +54,7 @@ def predict(df: DataFrame, layers: Sequence[Layer], features: str, output: str =
         for i, layer in enumerate(layers):
             out = out.withColumn(f"_layer{i}", _apply(at, layer))
             at = F.col(f"_layer{i}")
-        return out.withColumn(output, at).select(*df.columns, output)
+        return out.withColumn(output, F.when(F.col(features).isNotNull(), at)).select(*df.columns, output)
 
     @F.pandas_udf("array<double>")
     def batch(vectors):
@@ -103,6 +103,38 @@ def load(spark, path: str) -> dict[str, list[Layer]]:
     return out
 
 
+@dataclass
+class Adam:
+    """Driver-side moments of a parameter vector."""
+
+    lr: float
+    t: int = 0
+    m: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    v: np.ndarray = field(default_factory=lambda: np.zeros(1))
+
+    def step(self, at: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * gradient
+        self.v = 0.999 * self.v + 0.001 * gradient * gradient
+        return at - self.lr * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def flat(nets: Sequence[Sequence[Layer]]) -> np.ndarray:
+    return np.concatenate([x.ravel() for net in nets for layer in net for x in (layer.weights, layer.bias)])
+
+
+def shaped(vector: np.ndarray, nets: Sequence[Sequence[Layer]]) -> list[list[Layer]]:
+    out, at = [], 0
+    for net in nets:
+        stack = []
+        for layer in net:
+            w, b = layer.weights.size, layer.bias.size
+            stack.append(Layer(vector[at : at + w].reshape(layer.weights.shape), vector[at + w : at + w + b], layer.activation))
+            at += w + b
+        out.append(stack)
+    return out
+
+
 def gradients(df: DataFrame, actor: Sequence[Layer], critic: Sequence[Layer], clip: float) -> np.ndarray:
     """Sums over all rows (state, action, logp, ret, adv) of the loss, the row count, and the gradient
     of the clipped policy loss and half the squared value error, as one vector: each task adds up its
@@ -122,7 +154,7 @@ def gradients(df: DataFrame, actor: Sequence[Layer], critic: Sequence[Layer], cl
     return np.array([r.g for r in sums.orderBy("i").collect()])  # as long as the model
 
 
-def _backward(x: np.ndarray, layers: Sequence[Layer], slope) -> list[np.ndarray]:
+def backward(x: np.ndarray, layers: Sequence[Layer], slope) -> list[np.ndarray]:
     """Weight and bias gradients, first layer first; slope(output) is the loss' derivative by the output."""
     seen = [x]
     for layer in layers:
@@ -150,5 +182,5 @@ def _batch_gradients(x, action, logp, ret, adv, actor, critic, clip) -> np.ndarr
         losses[0] += 0.5 * (gap * gap).sum()
         return gap[:, None]
 
-    parts = [*_backward(x, actor, policy), *_backward(x, critic, value)]
+    parts = [*backward(x, actor, policy), *backward(x, critic, value)]
     return np.concatenate([losses, [len(x)], *parts])

@@ -458,7 +458,7 @@ def genome_serialised(spark, sf_dir):
 
 @query()
 def genome_complexity(spark, sf_dir):
-    return genome.serialised(_vector_genomes(spark, sf_dir)).select("genome_id", "complexity")
+    return genome.complexity(_vector_genomes(spark, sf_dir))
 
 
 @query()

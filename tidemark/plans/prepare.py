@@ -45,7 +45,7 @@ def states(x: Series) -> tuple[DataFrame, int]:
 
 
 def prepare(spark: SparkSession, config: dict) -> Prepared:
-    read = lambda key: read_series(spark, config[key], config["headers"])
+    read = lambda key: read_series(spark, config[key], config["headers"], multiline=config.get("multiline", False))
     x = read("x_train_file")
     y = target(x, config.get("target_column"), read("y_train_file") if config.get("y_train_file") else None)
     features, inputs = states(x)
@@ -57,3 +57,22 @@ def prepare(spark: SparkSession, config: dict) -> Prepared:
         xv, yv = read("x_validation_file"), read("y_validation_file")
         validation = position.align(states(xv)[0], target(xv, None, yv), config["input_offset"], strict=True)
     return Prepared(train, validation, inputs)
+
+
+# What the trading rule looks at in a row.
+MARKET = ("close", "low", "high", "order_status", "equity", "balance")
+FLAT = {"order_status": 0.0, "equity": 10_000.0, "balance": 10_000.0}
+
+
+def market(spark: SparkSession, config: dict) -> DataFrame:
+    """(pos, date, close, low, high, order_status, equity, balance) of x's rows. The first column is the date;
+    prices must be there, a missing account is one that never changes and is always flat."""
+    x = read_series(spark, config["x_train_file"], config["headers"], multiline=config.get("multiline", False))
+    if x.date is None:
+        raise ValueError("the rule trades by dates, and the first column of x is none")
+    names = {c.lower(): c for c in x.columns}
+    missing = [c for c in MARKET if c not in names and c not in FLAT]
+    if missing:
+        raise ValueError(f"x has no column {', '.join(missing)}")
+    cell = lambda c: fill_zero(as_double(F.col(names[c]), x.frame.schema[names[c]].dataType)) if c in names else F.lit(FLAT[c])
+    return x.frame.select("pos", F.col(x.date).alias("date"), *[cell(c).alias(c) for c in MARKET])

@@ -1,4 +1,4 @@
-"""Train or load a policy, evaluate it, report."""
+"""Train or load a policy, evaluate it, report; or run an agent that trades by a rule."""
 
 from __future__ import annotations
 
@@ -10,82 +10,107 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import registry
-from ..operators import genome, metrics, network
+from .. import policies, registry
+from ..operators import genome, metrics, network, orders
 from ..sources.scratch import materialise
 from ..sources.series import write_series
-from .prepare import Prepared, prepare
-
+from .prepare import Prepared, market, prepare
 
 log = logging.getLogger(__name__)
 FIRST_OUTPUTS = 5
 
 
-def _own_params(group: str, name: str, config: dict) -> dict:
-    return {k: config[k] for k in registry.get_plugin_params(group, name) if k in config}
+def _plugin(spark: SparkSession, group: str, config: dict) -> tuple[Callable, dict]:
+    """(plugin of a run, its own parameters); executors get the package of one from elsewhere."""
+    name = config[f"{group.removesuffix('s')}_plugin"]
+    found, wanted = registry.load_plugin(group, name)
+    registry.ship(spark, group, name)
+    return found, {k: config[k] for k in wanted if k in config}
 
 
-def environment(config: dict) -> Callable[[DataFrame], DataFrame]:
-    """The environment plugin of a run: (pos, y, prediction) -> (pos, reward)."""
-    rewards, _ = registry.load_plugin("environments", config["environment_plugin"])
-    return partial(rewards, **_own_params("environments", config["environment_plugin"], config))
+def environment(spark: SparkSession, config: dict) -> Callable[[DataFrame], DataFrame]:
+    """The environment plugin of a run: (pos, y, prediction) -> (pos, reward). Its ``score`` and ``fitness``
+    stay with it."""
+    rewards, params = _plugin(spark, "environments", config)
+    out = partial(rewards, **params)
+    for attribute in ("score", "fitness"):
+        if hasattr(rewards, attribute):
+            setattr(out, attribute, getattr(rewards, attribute))
+    return out
 
 
-def _evaluate(frame: DataFrame, actor, max_steps: int) -> float:
-    """Fitness of the first action that each state gives."""
-    acted = network.predict(frame.filter(F.col("pos") < max_steps), actor, "state").withColumn("p", F.col("Prediction")[0])
+def evaluate(frame: DataFrame, policy, max_steps: int, env: Callable | None = None):
+    """What the environment calls the fitness of the first action that each state gives: its ``score`` of
+    {mae, mse, fitness}, or the inverse of the mean absolute error."""
+    acted = policies.first_output(frame.filter(F.col("pos") < max_steps), policy, "state", "p")
     first = acted.filter(F.col("pos") < FIRST_OUTPUTS).orderBy("pos").select("p").collect()
     log.info("first outputs: %s", [r.p for r in first])
-    return metrics.errors(acted, "y", "p").first()["fitness"]
-
-
-def connections(layers, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """A network as genome tables (connections, nodes)."""
-    rows = [("best", f"{i}-{a}-{b}", float(w), True) for i, layer in enumerate(layers) for b, ws in enumerate(layer.weights) for a, w in enumerate(ws)]
-    nodes = [("best", f"{i}-{b}") for i, layer in enumerate(layers) for b in range(len(layer.bias))]
-    return spark.createDataFrame(rows, "genome_id string, key string, weight double, enabled boolean"), spark.createDataFrame(nodes, "genome_id string, key string")
+    found = metrics.errors(acted, "y", "p").first().asDict()
+    return getattr(env, "score", lambda errors: errors["fitness"])(found)
 
 
 def train_and_evaluate(spark: SparkSession, config: dict) -> dict:
     """The report: time, fitness over three times max_steps of training rows, fitness on validation rows
     (None without them), and information of rows and network."""
     began = time.time()
+    agent, own = _plugin(spark, "agents", config)
+    if hasattr(agent, "rule"):
+        return run_rule(spark, config, agent, own)
     data: Prepared = prepare(spark, config)
     train = materialise(data.train, "train")
-    fit, _ = registry.load_plugin("optimizers", config["optimizer_plugin"])
-    agent, _ = registry.load_plugin("agents", config["agent_plugin"])
+    fit, params = _plugin(spark, "optimizers", config)
+    env = environment(spark, config)
     first = train.filter(F.col("part") == "train")
     network.check_spaces(first, "state", data.inputs)
-    params = _own_params("optimizers", config["optimizer_plugin"], config)
-    nets, losses = fit(first, data.inputs, config["epochs"], environment=environment(config), agent=agent, **params)
-    network.save(nets, spark, config["save_model"])
-    actor = network.load(spark, config["save_model"])["actor"]
-    links, nodes = connections(actor, spark)
+    trained, losses = fit(first, data.inputs, config["epochs"], environment=env, agent=agent, **params)
+    policies.as_policy(trained).save(spark, config["save_model"])
+    policy = policies.load(spark, config["save_model"])
+    links, nodes = policy.genome(spark)
     wide = train.select("pos", *[F.col("state")[i].alias(f"v{i}") for i in range(data.inputs)])
     facts = genome.total_information(links, nodes).first()
     packed = genome.serialised(links).first()
     return {
-        "training_fitness": _evaluate(train, actor, 3 * config["max_steps"]),
-        "validation_fitness": None if data.validation is None else _evaluate(data.validation, actor, config["max_steps"]),
+        "training_fitness": evaluate(train, policy, 3 * config["max_steps"], env),
+        "validation_fitness": None if data.validation is None else evaluate(data.validation, policy, config["max_steps"], env),
         "data_bits": metrics.shannon_hartley(wide, wide.columns[1:], config["periodicity_minutes"]).first()["bits"],
         "n_connections": facts.n_connections,
         "n_nodes": facts.n_nodes,
         "weight_entropy": facts.entropy,
         "total_information": facts.total_information,
         "genome_bits": packed.bits,
-        "kolmogorov": packed.complexity,
+        "kolmogorov": genome.complexity(links).first().complexity,
         "loss": losses[-1] if losses else None,
         "execution_time": time.time() - began,
     }
 
 
+def run_rule(spark: SparkSession, config: dict, agent: Callable, params: dict) -> dict:
+    """The report of an agent that trades by dates: its orders go to ``evaluate_file``, totals and the account
+    at the end of the run are reported. The rows are those of x, see ``prepare.market``."""
+    began = time.time()
+    rows = materialise(market(spark, config), "market")
+    ledger = materialise(agent(rows, **params), "ledger")
+    write_series(ledger, config["evaluate_file"], name="opened_at", keep_name=True)
+    total = ledger.agg(F.count(F.lit(1)).alias("n"), F.sum("profit").alias("profit"), F.sum("pips").alias("pips"), F.count_if(~F.col("balanced")).alias("unbalanced")).first()
+    dates = {k: v for k, v in params.items() if k in ("buy_dates", "sell_dates")}
+    end = orders.account(agent.rule(rows, **dates), ledger).first()
+    return {
+        "orders": total.n, "profit": total.profit, "pips": total.pips, "unbalanced": total.unbalanced,
+        "balance": end.balance if end else None, "equity": end.equity if end else None, "num_closes": end.num_closes if end else 0,
+        "execution_time": time.time() - began,
+    }
+
+
 def score_saved(spark: SparkSession, config: dict) -> DataFrame:
     """Predictions of a saved policy for the first third of x, also written as CSV."""
+    agent, params = _plugin(spark, "agents", config)
+    if hasattr(agent, "rule"):
+        raise ValueError(f"the agent {agent.__name__} trades by a rule and has no policy to load")
     data = prepare(spark, config)
-    actor = network.load(spark, config["load_model"])["actor"]
-    agent, _ = registry.load_plugin("agents", config["agent_plugin"])
+    policy = policies.load(spark, config["load_model"])
     rows = data.train.filter(F.col("part") == "train")
-    network.check_spaces(rows, "state", actor[0].weights.shape[1], actor)
-    out = agent(rows, actor).select("pos", "Prediction")
+    policies.check(rows, "state", policy)
+    output = params.get("output", "Prediction")
+    out = agent(rows, policy, **params).select("pos", F.col(output).alias("Prediction"))
     write_series(out, config["evaluate_file"], include_date=False)
     return out

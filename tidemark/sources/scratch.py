@@ -37,8 +37,16 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written outside of the folder, which is deleted."""
-        out = materialise(df, name)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return out
+        """df, written outside of the folder, which is deleted whether or not that succeeds."""
+        try:
+            return materialise(df, name)
+        finally:
+            self.drop()
+
+    def drop(self) -> None:
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

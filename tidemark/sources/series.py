@@ -38,16 +38,19 @@ def _columns(raw: DataFrame, headers: bool, form: str) -> tuple[list[str], str |
     return names, names[0] if dated else None, found
 
 
-def read_series(spark: SparkSession, path: str, headers: bool = True, date_format: str = DAY_FIRST) -> Series:
+def read_series(spark: SparkSession, path: str, headers: bool = True, date_format: str = DAY_FIRST, multiline: bool = False) -> Series:
     """A CSV of comma-separated cells in file order.
 
     The first column is a date if all its cells have the form. Without headers every other column is
     coerced to double, bad cells to null, and names are generated; with headers the columns whose cells
-    are all numbers become doubles and the rest stays text. A missing file and a malformed one raise."""
+    are all numbers become doubles and the rest stays text. A missing file and a malformed one raise.
+
+    multiline: cells in quotes may hold line breaks and doubled quotes. A file is then one task's work."""
+    options = {"header": headers} | ({"multiLine": True, "escape": '"'} if multiline else {})
     try:
-        first = spark.read.option("header", headers).csv(path)
+        first = spark.read.options(**options).csv(path)
         schema = T.StructType([T.StructField(c, T.StringType()) for c in first.columns])
-        raw = spark.read.schema(schema).option("header", headers).option("mode", "FAILFAST").csv(path)
+        raw = spark.read.schema(schema).options(**options, mode="FAILFAST").csv(path)
     except AnalysisException:
         log.exception("can't read %s", path)
         raise
@@ -61,9 +64,9 @@ def read_series(spark: SparkSession, path: str, headers: bool = True, date_forma
     return Series(with_position(cells, *place).select("pos", *names), names, date)
 
 
-def write_series(series: DataFrame, path: str, include_date: bool = True, headers: bool = True, one_file: bool = False, date: str = "date", name: str = "pos") -> None:
-    """CSV part files in position order; the date column only with include_date. ``one_file`` is for
-    small results, as one task writes them all."""
-    kept = [c for c in series.columns if c != name and (include_date or c != date)]
+def write_series(series: DataFrame, path: str, include_date: bool = True, headers: bool = True, one_file: bool = False, date: str = "date", name: str = "pos", keep_name: bool = False) -> None:
+    """CSV part files in the order of ``name``, which is left out unless keep_name; the date column only with
+    include_date. ``one_file`` is for small results, as one task writes them all."""
+    kept = [c for c in series.columns if (keep_name or c != name) and (include_date or c != date)]
     rows = series.orderBy(name).select(*kept)
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", headers).csv(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", headers).option("escape", '"').csv(path)

@@ -27,18 +27,18 @@ def save_config(config: dict, path: str | Path) -> None:
 save_debug_info = save_config
 
 
-def _request(url: str, username: str | None, password: str | None, form: dict | None = None):
-    """Basic authentication only where both names are given."""
+def request(url: str, username: str | None = None, password: str | None = None, form: dict | None = None, headers: dict | None = None):
+    """The reply to a GET, or to a POST of a form; basic authentication only where both names are given."""
     data = None if form is None else urllib.parse.urlencode(form).encode()
-    request = urllib.request.Request(url, data=data)
+    call = urllib.request.Request(url, data=data, headers=headers or {})
     if username and password:
-        request.add_header("Authorization", "Basic " + base64.b64encode(f"{username}:{password}".encode()).decode())
-    return urllib.request.urlopen(request, timeout=30)
+        call.add_header("Authorization", "Basic " + base64.b64encode(f"{username}:{password}".encode()).decode())
+    return urllib.request.urlopen(call, timeout=30)
 
 
 def remote_load_config(url: str, username: str | None = None, password: str | None = None) -> dict:
     try:
-        with _request(url, username, password) as reply:
+        with request(url, username, password) as reply:
             return json.load(reply)
     except (OSError, ValueError) as e:
         raise RemoteError(f"can't load the configuration from {url}") from e
@@ -46,7 +46,7 @@ def remote_load_config(url: str, username: str | None = None, password: str | No
 
 def _post(url: str, username: str | None, password: str | None, form: dict) -> bool:
     try:
-        with _request(url, username, password, form):
+        with request(url, username, password, form):
             return True
     except OSError:
         log.exception("can't send to %s", url)

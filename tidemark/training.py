@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.numeric import gaussian_logprob
 from .operators import network, windows
-from .operators.network import Layer
+from .operators.network import Adam, Layer, flat, shaped
 from .sources.scratch import materialise
 
 
@@ -26,38 +26,6 @@ class PpoParams:
     seed: int = 0
 
 
-@dataclass
-class Adam:
-    """Driver-side moments of a parameter vector."""
-
-    lr: float
-    t: int = 0
-    m: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    v: np.ndarray = field(default_factory=lambda: np.zeros(1))
-
-    def step(self, at: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * gradient
-        self.v = 0.999 * self.v + 0.001 * gradient * gradient
-        return at - self.lr * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def _flat(nets: Sequence[Sequence[Layer]]) -> np.ndarray:
-    return np.concatenate([x.ravel() for net in nets for layer in net for x in (layer.weights, layer.bias)])
-
-
-def _shaped(vector: np.ndarray, nets: Sequence[Sequence[Layer]]) -> list[list[Layer]]:
-    out, at = [], 0
-    for net in nets:
-        stack = []
-        for layer in net:
-            w, b = layer.weights.size, layer.bias.size
-            stack.append(Layer(vector[at : at + w].reshape(layer.weights.shape), vector[at + w : at + w + b], layer.activation))
-            at += w + b
-        out.append(stack)
-    return out
-
-
 Environment = Callable[[DataFrame], DataFrame]  # (pos, y, prediction) -> (pos, reward)
 Fresh = Callable[[int, int, int], tuple[list[Layer], list[Layer]]]  # inputs, hidden, seed -> actor, critic
 
@@ -94,5 +62,5 @@ def train(
             if not len(found):
                 raise ValueError("x_train_data is empty.")
             losses.append(float(found[0] / found[1]))
-            nets = _shaped(adam.step(_flat(nets), found[2:] / found[1]), nets)
+            nets = shaped(adam.step(flat(nets), found[2:] / found[1]), nets)
     return {"actor": nets[0], "critic": nets[1]}, losses
