@@ -111,8 +111,8 @@ def _in_two(spark: SparkSession, sf_dir: str, folder: str, closed: Callable[[Dat
         found = closed(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         stream_windows.write(found, f"{folder}/out", f"{folder}/state")
     out = spark.read.schema(found.schema).parquet(f"{folder}/out")
-    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}
-    return out.withColumns(plain | {"total": F.round("total", 4)})
+    plain = [F.col(c).cast("timestamp_ntz").alias(f"window_{c}") for c in ("start", "end")]
+    return out.select("user_id", *plain, "n", F.round("total", 4).alias("total"))
 
 
 # a row of the second part is late if its window has ended by the first part's watermark
@@ -122,7 +122,7 @@ _PARTS = """ev AS (SELECT *, ts < TIMESTAMP '2024-01-21' AND NOT (user_id % 5 =
 
 @query(f"""
     WITH {_PARTS}, placed AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS start FROM ev, mark)
-    SELECT user_id, start, start + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total FROM placed
+    SELECT user_id, start AS window_start, start + INTERVAL 6 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total FROM placed
     WHERE start + INTERVAL 6 HOUR <= upto AND (first OR start + INTERVAL 6 HOUR > before) GROUP BY user_id, start""")
 def closed_windows(spark, sf_dir):
     sums = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
@@ -133,8 +133,8 @@ def closed_windows(spark, sf_dir):
     WITH {_PARTS}, kept AS (SELECT user_id, ts, value, upto FROM ev, mark WHERE first OR ts + INTERVAL 8 HOUR > before),
     cut AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 8 HOUR, true) AS new FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     numbered AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM cut),
-    runs AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS total, any_value(upto) AS upto FROM numbered GROUP BY user_id, k)
-    SELECT user_id, start, "end", n, total FROM runs WHERE "end" <= upto""")
+    runs AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 8 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total, any_value(upto) AS upto FROM numbered GROUP BY user_id, k)
+    SELECT user_id, window_start, window_end, n, total FROM runs WHERE window_end <= upto""")
 def closed_sessions(spark, sf_dir):
     """Sessions of users; late are rows whose own session, had they been alone, would have been closed."""
     sums = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
