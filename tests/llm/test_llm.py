@@ -552,6 +552,36 @@ def brute_passages(rows, least=50):
     return out
 
 
+def brute_within(rows, least=50):
+    """The same of stretches that a document has in two places, by place."""
+    out = []
+    for d, t in set(rows):
+        words, seen = (t or "").encode().split(), defaultdict(list)
+        for i in range(len(words) - least + 1):
+            seen[tuple(words[i : i + least])].append(i)
+        for later in (False, True):
+            starts = sorted(i for places in seen.values() if len(places) > 1 for i in (places[1:] if later else places[:1]))
+            begin = end = None
+            for i in starts:
+                if end is None or i > end:
+                    if end is not None:
+                        out.append((d, begin, end, not later))
+                    begin = i
+                end = i + least
+            if end is not None:
+                out.append((d, begin, end, not later))
+    return out
+
+
+def all_passages(rows, within=True):
+    """(doc_id, start, end, first, within), each as often as it occurs."""
+    return Counter((*p, False) for p in brute_passages(rows)) + Counter((*p, True) for p in brute_within(rows) if within)
+
+
+def found_passages(got):
+    return Counter((r.doc_id, r.start_word, r.end_word, r.first, r.within) for r in got.collect())
+
+
 def passage_rows():
     """Passages in many surroundings, on both sides of 50 words, with words that sums of powers confuse."""
     rng, rows = np.random.default_rng(9), []
@@ -568,12 +598,12 @@ def passage_rows():
     return rows
 
 
-def cut_by_brute_force(rows):
+def cut_by_brute_force(rows, within=True):
     """Texts without the later occurrences of passages, by splitting at words."""
     import re
 
     later = defaultdict(set)
-    for d, start, end, first in brute_passages(rows):
+    for d, start, end, first, _ in all_passages(rows, within):
         if not first:
             later[d] |= set(range(start, end))
     out = []
@@ -588,21 +618,22 @@ def cut_by_brute_force(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("kind", ["table", "odd", "passages", "passages in hot grams"])
-def test_op9_equals_all_stretches(spark, kind):
+@pytest.mark.parametrize(("kind", "within"), [("table", True), ("odd", True), ("passages", True), ("passages", False), ("passages in hot grams", True), ("passages of many bytes", False)])
+def test_op9_equals_all_stretches(spark, monkeypatch, kind, within):
+    if kind == "passages of many bytes":
+        monkeypatch.setattr(sparse_suffix, "BYTES", 20_000)
     if kind == "table":
         docs = documents(spark)
     elif kind == "odd":
         docs = frame(spark, [r for r in odd_rows() if r[0] != 13] + [(13, "word " * 3000)])
     else:
         docs = frame(spark, passage_rows()).repartition(7)
-    rows, cfg = texts(docs), sparse_suffix.Passages(most=5 if kind == "passages in hot grams" else 4096)
-    got = sparse_suffix.repeated_passages(docs, cfg)
-    assert Counter((r.doc_id, r.start_word, r.end_word, r.first) for r in got.collect()) == Counter(brute_passages(rows))
+    rows, cfg = texts(docs), sparse_suffix.Passages(most=5 if kind == "passages in hot grams" else 4096, within=within)
+    assert found_passages(sparse_suffix.repeated_passages(docs, cfg)) == all_passages(rows, within)
     if kind != "odd":  # there rows with one doc_id differ
         left = sparse_suffix.remove_repeats(docs, cfg, length_col=None)
         assert left.columns == docs.columns
-        assert Counter(texts(left)) == cut_by_brute_force(rows)
+        assert Counter(texts(left)) == cut_by_brute_force(rows, within)
     assert sparse_suffix.repeated_passages(docs.limit(0)).count() == 0
 
 
@@ -616,11 +647,23 @@ def test_op9_neighbours_over_the_edges_of_tasks(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        got = sparse_suffix.repeated_passages(frame(spark, rows)).collect()
+        got = found_passages(sparse_suffix.repeated_passages(frame(spark, rows)))
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert Counter((r.doc_id, r.start_word, r.end_word, r.first) for r in got) == Counter(brute_passages(rows))
+    assert got == all_passages(rows)
+
+
+def test_op9_repeats_of_one_text_equal_all_stretches(monkeypatch):
+    """Chunks, long words, one word over and over, runs that sums of powers confuse."""
+    rng, cfg = np.random.default_rng(12), sparse_suffix.Passages()
+    body, one = rng.choice(WORDS, 160).tolist(), thue_morse(2048)[0]
+    odd = [*body, "x" * 30_000, *body[:90], *body[20:], "y\0", *body[:49], "y", *body[:51]]
+    for chunk in (1 << 16, 64):
+        monkeypatch.setattr(sparse_suffix, "CHUNK", chunk)
+        for text in (" ".join(body + body), " ".join(["a"] * 500), " ".join(odd), f"{one} {one} z {one}", " ".join(body), ""):
+            found = sparse_suffix.own_repeats(text, *sparse_suffix.suffixes(text, cfg), cfg)
+            assert Counter((1, s, e, not later) for s, e, later in found) == Counter(brute_within([(1, text)]))
 
 
 def test_op9_long_texts_in_chunks(spark, monkeypatch):

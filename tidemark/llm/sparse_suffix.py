@@ -1,4 +1,4 @@
-"""Passages that several documents share, by a sparse suffix array over word positions.
+"""Repeated passages by a sparse suffix array over word positions.
 
 Every stretch of ``min_words`` words has a least run of ``gram`` words (by hash, leftmost of equals):
 its minimiser. The suffixes that start at minimisers are retained; a suffix owns the neighbouring
@@ -12,7 +12,8 @@ one row each. What is left, one suffix for each different own text of a gram, is
 suffixes are sorted by their words, word for word to the right, then word for word to the left, and
 those that stay neighbours over all the words of a stretch share it. Each gives its repeated stretches as
 intervals, and the intervals of a document are joined: the union of repeated stretches is exactly the
-set of passages of min_words or more words that occur in two documents.
+set of passages of min_words or more words that occur in two documents. Passages that a document repeats
+in itself (``within``) are found the same way among its own suffixes, where the document is read.
 
 The first sort is a range sort whose ties are cut by document and position, so a passage that stands
 in a third of the documents is spread over many tasks; what meets at the edges of tasks is settled from
@@ -23,9 +24,10 @@ Words are runs of other than ASCII white space; the white space between them doe
 compared themselves, but for whole own texts, and stretches of the other way, which are the same if
 their 128-bit BLAKE2 digests are.
 
-Defined results: null and short texts have no passage; rows alike in doc_id and text are one document; a
-passage that only one document has, however often, is no repeat; the occurrences in the least document
-(by doc_id) are the first, those in others the later ones; a null doc_id (or -2^63) sorts first; texts of any length are read
+Defined results: null and short texts have no passage; rows alike in doc_id and text are one document; of
+a passage that documents share, the occurrences in the least document (by doc_id) are the first, those in
+others the later ones; of one that a document repeats in itself, the first is that which begins first
+(only with ``within``, and in rows of their own, marked so); a null doc_id (or -2^63) sorts first; texts of any length are read
 whole, CHUNK stretches at a time; an empty table gives no row; further columns are carried along by
 ``remove_repeats`` and not looked at.
 """
@@ -52,6 +54,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SUFFIX = ["gram", "d1", "d2", "rid", "text_key", "start", "head", "count"]
 _SUFFIX_TYPES = "gram long, d1 long, d2 long, rid long, text_key long, start long, head short, count int"
 _INTERVAL = "rid long, text_key long, start_word long, end_word long, later boolean"
+_FIRST_WITHIN, _LATER_WITHIN = -1, -2  # as head: a document's own repeat, words start .. start + count, on its way
+BYTES = 8 << 20  # of own texts that are compared together
 
 
 @dataclass(frozen=True)
@@ -59,6 +63,7 @@ class Passages:
     min_words: int = 50
     gram: int = 12
     most: int = 4096
+    within: bool = True  # passages that a document only repeats in itself count too
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,6 +102,35 @@ def suffixes(text: str | None, cfg: Passages) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places)
 
 
+def own_repeats(text: str, keys: np.ndarray, places: np.ndarray, cfg: Passages) -> list[tuple[int, int, bool]]:
+    """(first word, end, later) of passages that a text repeats in itself: its suffixes with a common gram are
+    compared by words, as those of several documents are."""
+    import pyarrow as pa
+
+    order = np.lexsort((places[:, 0], keys[:, 0]))
+    gram = keys[order, 0]
+    twice = np.zeros(len(gram), bool)
+    twice[1:] = gram[1:] == gram[:-1]
+    twice[:-1] |= twice[1:]
+    order = order[twice]
+    if not len(order):
+        return []
+    gram, (start, head, count) = keys[order, 0], places[order].T
+    split = text.encode("utf-8").split()
+    code = pa.array(split, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    size = count + cfg.min_words - 1
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(start, size)
+    row, first, end, later = share_stretches(gram, np.arange(len(order)), head, count, np.zeros(len(order), bool), code[at], np.concatenate(([0], ends)), cfg)
+    found: list[tuple[int, int, bool]] = []
+    for s, e, is_later in sorted(zip((start[row] + first).tolist(), (start[row] + end).tolist(), later.tolist(), strict=True), key=lambda r: (r[2], r[0], r[1])):
+        if found and found[-1][2] == is_later and s <= found[-1][1]:
+            found[-1] = (found[-1][0], max(e, found[-1][1]), is_later)
+        else:
+            found.append((s, e, is_later))
+    return found
+
+
 def _referred(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid, text_key: what tells documents apart; neither is null."""
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
@@ -110,7 +144,10 @@ def _retained(keyed: DataFrame, cfg: Passages) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                found = [suffixes(t, cfg) for t in part.column(2).to_pylist()]
+                texts = part.column(2).to_pylist()
+                found = [suffixes(t, cfg) for t in texts]
+                if cfg.within:
+                    found = [_with_own(t, *f, cfg) for t, f in zip(texts, found, strict=True)]
                 row = pa.array(np.repeat(np.arange(len(found)), [len(p) for _, p in found]))
                 key, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 cols = [pa.array(np.ascontiguousarray(key[:, k])) for k in range(3)]
@@ -121,6 +158,17 @@ def _retained(keyed: DataFrame, cfg: Passages) -> DataFrame:
     return keyed.mapInArrow(lean(run), _SUFFIX_TYPES)
 
 
+def _with_own(text: str | None, keys: np.ndarray, places: np.ndarray, cfg: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes, and the text's own repeats in rows that pass by what compares suffixes."""
+    own = own_repeats(text, keys, places, cfg) if len(keys) > 1 else []
+    if not own:
+        return keys, places
+    rows = np.array([(s, _LATER_WITHIN if later else _FIRST_WITHIN, e - s) for s, e, later in own], np.int64)
+    spread = np.zeros((len(rows), 3), np.int64)
+    spread[:, 0] = keys[np.arange(len(rows)) % len(keys), 0]  # any task may have them
+    return np.concatenate([keys, spread]), np.concatenate([places, rows])
+
+
 class _Neighbours:
     """Compares sorted suffixes with their neighbours, a batch at a time. Of a class (one gram and digest)
     the rows of its first document are held, at most that text's own, until it is known whether other
@@ -134,6 +182,12 @@ class _Neighbours:
 
     def take(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, flags: first, twin, shared, edge) that are settled. rows: a row each, as _SUFFIX."""
+        own = rows[:, 6] < 0
+        if own.any():
+            yield rows[own], np.zeros((int(own.sum()), 4), bool)
+            rows = rows[~own]
+            if not len(rows):
+                return
         before = np.vstack([rows[:1] if self.last is None else self.last[None], rows[:-1]])
         same = rows == before
         if self.last is None:
@@ -238,12 +292,11 @@ def _names(rows: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray
     return out
 
 
-def share_stretches(gram: np.ndarray, document: np.ndarray, head: np.ndarray, count: np.ndarray, twin: np.ndarray, words, cfg: Passages) -> tuple[np.ndarray, ...]:
+def share_stretches(gram: np.ndarray, document: np.ndarray, head: np.ndarray, count: np.ndarray, twin: np.ndarray, code: np.ndarray, begin: np.ndarray, cfg: Passages) -> tuple[np.ndarray, ...]:
     """(row, first stretch, end, later) of the repeated stretches of some suffixes. rows stand in the
-    order of documents within a gram; words: list array of each row's own words."""
+    order of documents within a gram; code: a number for each word, equal where the words are, row after
+    row; begin: where each row's words begin in it, and its length."""
     n, least, reach = len(gram), cfg.min_words, cfg.min_words - cfg.gram
-    code = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
-    begin = words.offsets.to_numpy().astype(np.int64)
     suffix = begin[:-1] + head
     right = {0: np.unique(gram, return_inverse=True)[1]}
     for k in range(least):
@@ -278,9 +331,32 @@ def share_stretches(gram: np.ndarray, document: np.ndarray, head: np.ndarray, co
     return every[cut, 0], every[cut, 1], every[end, 1] + least, every[cut, 2] > 0
 
 
+SLOTS = 1 << 22
+
+
+def _of_wanted(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of keyed that share a slot with a wanted document: a filter of fixed size, so that texts
+    without a wanted suffix mostly aren't shuffled."""
+    slot = F.pmod(F.xxhash64("rid", "text_key"), F.lit(SLOTS)).cast("int")
+    taken = wanted.select(slot.alias("s")).distinct().toArrow().column(0).to_numpy()  # SLOTS rows at most
+    mask = np.zeros(SLOTS, bool)
+    mask[taken] = True
+    sent = keyed.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        bits = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(3).to_numpy()])).select([0, 1, 2])
+
+    return keyed.withColumn("slot", slot).mapInArrow(lean(run), "rid long, text_key long, text string")
+
+
 def _own_texts(keyed: DataFrame, wanted: DataFrame, cfg: Passages) -> DataFrame:
     """wanted suffixes with their own words, joined by spaces."""
-    texts = keyed.groupBy("rid", "text_key").agg(F.first("text").alias("text"))  # rows alike are one document
+    rows = _of_wanted(keyed, wanted)
+    texts = rows.groupBy("rid", "text_key").agg(F.first("text").alias("text"))  # rows alike are one document
     lists = wanted.groupBy("rid", "text_key").agg(F.collect_list(F.struct("gram", "start", "head", "count", "twin")).alias("wanted"))  # bounded by the text's length
 
     def run(batches) -> Iterator:
@@ -317,7 +393,8 @@ def _own_texts(keyed: DataFrame, wanted: DataFrame, cfg: Passages) -> DataFrame:
 
 
 def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
-    """Intervals of repeated stretches, comparing the suffixes of each gram by words."""
+    """Intervals of repeated stretches, comparing the suffixes of each gram by words. No gram has more than
+    cfg.most rows, or more than BYTES of own texts in several rows."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -328,7 +405,9 @@ def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
             gram, head, count, twin, start = (cols[c].to_numpy(zero_copy_only=False) for c in ("gram", "head", "count", "twin", "start"))
             pair = np.column_stack([cols[c].to_numpy() for c in ("rid", "text_key")])
             document = np.unique(pair.view("V16").ravel(), return_inverse=True)[1]
-            row, first, end, later = share_stretches(gram, document, head.astype(np.int64), count.astype(np.int64), twin, pc.split_pattern(cols["own"], " "), cfg)
+            words = pc.split_pattern(cols["own"], " ")
+            code, begin = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64), words.offsets.to_numpy().astype(np.int64)
+            row, first, end, later = share_stretches(gram, document, head.astype(np.int64), count.astype(np.int64), twin, code, begin, cfg)
             taken = pa.array(row)
             return pa.RecordBatch.from_arrays([cols["rid"].take(taken), cols["text_key"].take(taken), pa.array(start[row] + first), pa.array(start[row] + end), pa.array(later.astype(bool))], ["rid", "text_key", "start_word", "end_word", "later"])
 
@@ -336,9 +415,9 @@ def _by_words(own: DataFrame, cfg: Passages) -> DataFrame:
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             gram = held.column("gram").to_numpy()
-            # the last gram may go on in the next batch; it has at most cfg.most rows
+            # the last gram may go on in the next batch; it has at most cfg.most rows and BYTES of own texts
             keep = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
-            if keep >= 4096:
+            if keep and (keep >= 4096 or held.nbytes >= BYTES):
                 yield solve(held.slice(0, keep))
                 held = held.slice(keep)
         if held is not None and held.num_rows:
@@ -382,36 +461,41 @@ def _by_digests(own: DataFrame, cfg: Passages, keep) -> DataFrame:
 
 
 def _intervals(docs: DataFrame, cfg: Passages, id_col: str, text_col: str) -> DataFrame:
-    """Row per passage: rid, text_key, start_word, end_word, later."""
+    """Row per passage: rid, text_key, start_word, end_word, later, within."""
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "passages")
     keyed = _referred(docs, id_col, text_col)
     compared = _compared(_retained(keyed, cfg), work.keep)
-    whole = compared.filter("not first or (twin and not shared)").select(
-        "rid", "text_key", F.col("start").alias("start_word"), (F.col("start") + F.col("count") + (cfg.min_words - 1)).alias("end_word"), (~F.col("first")).alias("later")
+    end_word = (F.col("start") + F.col("count") + (cfg.min_words - 1)).alias("end_word")
+    whole = compared.filter("head >= 0 and (not first or (twin and not shared))").select("rid", "text_key", F.col("start").alias("start_word"), end_word, (~F.col("first")).alias("later"))
+    inside = compared.filter("head < 0").select(
+        "rid", "text_key", F.col("start").alias("start_word"), (F.col("start") + F.col("count")).alias("end_word"), (F.col("head") == _LATER_WITHIN).alias("later"), F.lit(True).alias("within")
     )
-    wanted = compared.filter("first and shared")
-    sizes = wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cfg.most)
-    # more than cfg.most rows of each such gram: few grams beside the rows, but their number grows with the data
-    sizes = work.keep(sizes, "hot-grams")
+    wanted = compared.filter("head >= 0 and first and shared")
     own = work.keep(_own_texts(keyed, wanted.drop("d1", "d2", "first", "shared"), cfg), "own-texts")
+    sizes = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("own")).alias("bytes")).filter((F.col("n") > cfg.most) | ((F.col("bytes") > BYTES) & (F.col("n") > 1)))
+    # more than cfg.most rows, or many bytes, of each such gram: few grams beside the rows, but their number grows with the data
+    sizes = work.keep(sizes, "hot-grams")
     found = whole
     if sizes.first() is None:
         found = found.union(_by_words(own, cfg))
     else:
         found = found.union(_by_words(own.join(sizes, "gram", "left_anti"), cfg)).union(_by_digests(own.join(sizes, "gram", "left_semi"), cfg, work.keep))
-    order = W.partitionBy("rid", "text_key", "later").orderBy("start_word", "end_word")
+    found = found.withColumn("within", F.lit(False)).unionByName(inside)
+    kinds = ["rid", "text_key", "later", "within"]
+    order = W.partitionBy(*kinds).orderBy("start_word", "end_word")
     so_far = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("new", F.coalesce(F.col("start_word") > so_far, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy("rid", "text_key", "later", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    spans = islands.groupBy(*kinds, "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
     return work.result(spans.drop("island"), "spans")
 
 
 def repeated_passages(docs: DataFrame, cfg: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per passage of a document that occurs again: doc_id, text_key, word span, first."""
+    """Row per passage of a document that occurs again: doc_id, text_key, word span, first, and within (it
+    occurs again in the document itself)."""
     spans = _intervals(docs, cfg, id_col, text_col)
     doc_id = F.when(F.col("rid") != NO_ID, F.col("rid")).alias("doc_id")
-    return spans.select(doc_id, "text_key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (~F.col("later")).alias("first"))
+    return spans.select(doc_id, "text_key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), (~F.col("later")).alias("first"), "within")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
