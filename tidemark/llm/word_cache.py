@@ -4,7 +4,8 @@ Words are found over the joined bytes and looked up in a table of fixed size, in
 places, and their ids are gathered; only words that the table lacks go to the encoder, once per group. A slot holds the
 word itself (its bytes in two machine words, its length and whether it begins a text), and a hit
 compares all of them: hashes choose slots and never stand for words. Words of more than 16 bytes are
-kept by their bytes in a dictionary of bounded size.
+kept by their bytes in a dictionary of bounded bytes; words of more than LONGEST_KEPT bytes are encoded
+anew for each group of texts that has them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from collections.abc import Callable
 import numpy as np
 
 SHORT = 16  # bytes of the longest word that a slot can hold
-_LONG_WORDS = 20_000
+LONG_BYTES = 24 << 20  # of the longer words that are kept, with their ids and what each entry takes
+LONGEST_KEPT = 4096
+_ENTRY = 300
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)))
 
@@ -37,16 +40,25 @@ class WordCache:
         self.size = np.zeros(1 << bits, np.uint8)
         self.ids = np.zeros((1 << bits, width), self.dtype)
         self.long: dict[tuple[bytes, bool], np.ndarray] = {}
+        self.long_bytes = 0
 
     def _known_long(self, words: list[tuple[bytes, bool]]) -> list[np.ndarray]:
         new = list(dict.fromkeys(w for w in words if w not in self.long))
-        if len(self.long) + len(new) > _LONG_WORDS:
-            self.long.clear()
-            new = list(dict.fromkeys(words))
+        fresh: dict[tuple[bytes, bool], np.ndarray] = {}
         if new:
             got = self.encode([w for w, _ in new], [f for _, f in new])
-            self.long.update(zip(new, (np.array(g, self.dtype) for g in got), strict=True))
-        return [self.long[w] for w in words]
+            fresh = dict(zip(new, (np.array(g, self.dtype) for g in got), strict=True))
+        found = [fresh[w] if w in fresh else self.long[w] for w in words]
+        for word, ids in fresh.items():
+            size = len(word[0]) + ids.nbytes + _ENTRY
+            if len(word[0]) > LONGEST_KEPT or size > LONG_BYTES:
+                continue
+            if self.long_bytes + size > LONG_BYTES:
+                self.long.clear()
+                self.long_bytes = 0
+            self.long[word] = ids
+            self.long_bytes += size
+        return found
 
     def _same(self, slot: np.ndarray, code: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
         """Which slots hold exactly these words."""
