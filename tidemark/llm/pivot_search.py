@@ -18,8 +18,9 @@ becomes a filter on the sorted files. The higher the scores that its queries sta
 Defined results: vectors that are null or hold null, NaN or infinite components take no part;
 shorter vectors count as padded with zeros; ties go to the smaller id; rows with the query's own id
 are not candidates; a query id that repeats is searched once, with its least vector; candidates that
-repeat are rows of their own; null ids take no part; scores that don't fit 62 bits raise ValueError, as
-a vector so long has no score to give; further columns are not looked at; an empty table gives no row.
+repeat are rows of their own; null ids take no part, nor do vectors whose squared length is 2^62 or more in
+whole steps, as their scores may not fit 64 bits; further columns are not looked at; an empty table gives no
+row.
 """
 
 from __future__ import annotations
@@ -48,16 +49,23 @@ class PivotSearch:
     pivots: int = 32
     sample: int = 1024
     annulus: int = 256
-    block: int = 4096
+    block: int = 16384
     scale: int = 256
 
 
 def whole_vectors(rows: DataFrame, scale: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): components floor(scale * x) as doubles that hold integers; unusable rows go."""
+    """(vec_id, v): components floor(scale * x) as doubles that hold integers; unusable rows and those too long
+    for scores of 64 bits go."""
     doubles = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     bad = F.exists(F.col("v"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
-    return kept.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    large = F.exists("v", lambda x: F.abs(x) * scale >= float(1 << 31))  # also keeps floor() within its type
+    whole = kept.filter(~large).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return whole.filter(_length2("v") < float(1 << 62))
+
+
+def _length2(v: str):
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -167,7 +175,7 @@ def _search(q, q_ids, floor, pivot_dist, radius2, x, x_ids, x_pivot, x_dist, bes
 
 def build_index(rows: DataFrame, cfg: PivotSearch):
     """(index, dims, radius2, pivots, sample ids, sample): rows as whole_vectors gives them."""
-    facts = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    facts = rows.agg(F.max(F.size("v")), F.max(_length2("v"))).first()
     if facts[0] is None:
         return None
     dims, radius2 = int(facts[0]), float(facts[1])
@@ -231,8 +239,6 @@ def top_k(rows: DataFrame, is_query, cfg: PivotSearch = PivotSearch(), id_col: s
     if built is None:
         return empty
     index, dims, radius2, pivots, sample_ids, sample = built
-    if radius2 >= 1 << 62:
-        raise ValueError("vectors are too long for scores of 64 bits")
     kind = np.float64 if radius2 < EXACT else np.int64
     queries = _keyed(usable.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), dims, radius2, pivots)
     queries = materialise(with_position(queries, "pivot", "dist", "vec_id").withColumn("block", F.floor(F.col("pos") / cfg.block)), "queries")
