@@ -197,7 +197,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
                        PARTITION BY conv_id, part, participant ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
             FROM lines)
-        SELECT conv_id, part, participant, count(*) AS n_turns, count(*) FILTER (WHERE own) AS own_turns,
+        SELECT conv_id, part, participant, CAST(coalesce(sum(sum(length(head) + length(text) + 8)) OVER (
+                   PARTITION BY conv_id, participant ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part_start,
+               count(*) AS n_turns, count(*) FILTER (WHERE own) AS own_turns,
                string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
                coalesce(string_agg(CAST(place + length(head) AS BIGINT) || '-' || CAST(place + length(head) + length(text) + 8 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS spans
         FROM placed GROUP BY conv_id, part, participant""",
