@@ -182,6 +182,7 @@ def test_op3_odd_rows(spark, part_turns):
         placed[c].append((role or "unknown", text or ""))
     want = {}
     for c, said in placed.items():
+        before = Counter()
         for part in range(-(-len(said) // part_turns)):
             own_part = said[part * part_turns : (part + 1) * part_turns]
             for speaker in {role for role, _ in said}:
@@ -192,8 +193,9 @@ def test_op3_odd_rows(spark, part_turns):
                     start = len(text)
                     text += body + "<|end|>\n"
                     spans += [f"{start}-{len(text)}"] * own
-                want[c, part, speaker] = (text, ",".join(spans), len(own_part), len(spans))
-    assert {(r.conv_id, r.part, r.participant): (r.rendered, r.spans, r.n_turns, r.own_turns) for r in got} == want and len(got) == len(want)
+                want[c, part, speaker] = (text, ",".join(spans), len(own_part), len(spans), before[speaker])
+                before[speaker] += len(text)
+    assert {(r.conv_id, r.part, r.participant): (r.rendered, r.spans, r.n_turns, r.own_turns, r.part_start) for r in got} == want and len(got) == len(want)
     assert chat_rotation.rotate(turns.limit(0)).count() == 0
 
 
@@ -313,8 +315,10 @@ def test_op5_large_numbers(spark):
     for q in range(0, 60, 10):
         scores = sorted(((sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q), key=lambda p: (-p[0], p[1]))[:5]
         assert got[q] == scores
-    with pytest.raises(ValueError):
-        pivot_search.top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), F.lit(True))
+    # vectors that are too long for scores of 64 bits take no part, and stop nothing
+    far = spark.createDataFrame([(1, [1e30]), (2, [1.0]), (3, [-2.0]), (4, [2.0**23]), (5, [-(2.0**22) * 1.9])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in pivot_search.top_k(far, F.lit(True)).collect()) == [(a, b) for a in (2, 3, 5) for b in (2, 3, 5) if a != b]
+    assert pivot_search.top_k(far.limit(1), F.lit(True)).count() == 0
 
 
 def test_op6_held_out_accuracy(spark):
@@ -654,6 +658,26 @@ def test_op9_neighbours_over_the_edges_of_tasks(spark):
     assert got == all_passages(rows)
 
 
+def test_long_words_are_kept_by_their_bytes():
+    """Words of 100 KB are encoded and not kept; shorter ones are, up to a bound in bytes."""
+    import resource
+
+    from tidemark.llm import word_cache
+
+    cache = word_cache.WordCache(lambda words, first: [[len(w) % 7] * (len(w) // 4) for w in words], False, 1000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for k in range(2000):
+        word = b"%06d" % k * 17_000
+        [ids] = cache.encode_parts([(b"a " + word + b" b", True)])
+        assert len(ids) == len(word) // 4 and len(cache.long) == cache.long_bytes == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+    for k in range(60_000):
+        cache.encode_parts([(b"%010d" % k * 100, True)])
+    assert 0 < cache.long_bytes <= word_cache.LONG_BYTES and cache.long_bytes == sum(len(w) + i.nbytes + 300 for (w, _), i in cache.long.items())
+    word = next(iter(cache.long))[0]
+    assert cache.encode_parts([(word, True)])[0].tolist() == [len(word) % 7] * (len(word) // 4)
+
+
 def test_op9_repeats_of_one_text_equal_all_stretches(monkeypatch):
     """Chunks, long words, one word over and over, runs that sums of powers confuse."""
     rng, cfg = np.random.default_rng(12), sparse_suffix.Passages()
