@@ -1,13 +1,13 @@
 import pytest
 
-from tidemark.plans import catalogue, time_catalogue
+from tidemark.plans import catalogue, queries
 
 from .conftest import SMALL, same
 
 
-@pytest.mark.parametrize("name", time_catalogue.ORACLE_SQL)
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_equals_sql(spark, duck, name):
-    same(time_catalogue.QUERIES[name](spark, SMALL), duck, time_catalogue.ORACLE_SQL[name])
+    same(queries.QUERIES[name](spark, SMALL), duck, queries.ORACLE_SQL[name])
 
 
 def test_complexity_is_the_raw_deflate_length(spark):

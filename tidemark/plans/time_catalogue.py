@@ -220,6 +220,3 @@ def sql_weight_entropy(spark, sf_dir):
     tables.register(spark)
     name = _view(catalogue._genome(spark, sf_dir)[0])
     return spark.sql(f"SELECT genome_id, round(weight_entropy(weight, enabled), 8) AS entropy FROM {name} GROUP BY genome_id")
-
-
-QUERIES, ORACLE_SQL = catalogue.QUERIES, catalogue.ORACLE_SQL
