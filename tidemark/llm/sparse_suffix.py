@@ -102,33 +102,66 @@ def suffixes(text: str | None, cfg: Passages) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(places)
 
 
-def own_repeats(text: str, keys: np.ndarray, places: np.ndarray, cfg: Passages) -> list[tuple[int, int, bool]]:
-    """(first word, end, later) of passages that a text repeats in itself: its suffixes with a common gram are
-    compared by words, as those of several documents are."""
+def _stretches_of_one(text: str, at: np.ndarray, grams, start, head, count, twin, cfg: Passages) -> list[tuple[int, int, bool]]:
+    """The repeated stretches of the suffixes ``at`` of one text: hashes of the stretches propose, their words
+    decide. Where hashes are wrong, words alone do, as between documents."""
     import pyarrow as pa
 
-    order = np.lexsort((places[:, 0], keys[:, 0]))
-    gram = keys[order, 0]
-    twice = np.zeros(len(gram), bool)
-    twice[1:] = gram[1:] == gram[:-1]
-    twice[:-1] |= twice[1:]
-    order = order[twice]
-    if not len(order):
-        return []
-    gram, (start, head, count) = keys[order, 0], places[order].T
     split = text.encode("utf-8").split()
     code = pa.array(split, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
-    size = count + cfg.min_words - 1
+    sums = np.cumsum(count[at])
+    place = np.arange(sums[-1]) + np.repeat(start[at] - sums + count[at], count[at])
+    of = np.repeat(at, count[at])
+    order = np.lexsort((place, h := Words(split).runs(cfg.min_words)[place]))
+    place, of, h = place[order], of[order], h[order]
+    leads = np.append(True, h[1:] != h[:-1])
+    lead = np.maximum.accumulate(np.where(leads, np.arange(len(h)), 0))
+    copy = np.flatnonzero(~leads)
+    windows = np.lib.stride_tricks.sliding_window_view(code, cfg.min_words)
+    if all((windows[place[c]] == windows[place[lead[c]]]).all() for c in np.array_split(copy, 1 + len(copy) // 4096)):
+        repeated = twin[of] | (np.bincount(lead, minlength=len(h))[lead] > 1)
+        marks = np.sort(place[repeated & ~leads]), np.sort(place[repeated & leads])
+        found = []
+        for marked, later in zip(marks, (True, False), strict=True):
+            if len(marked):
+                cut = np.flatnonzero(np.diff(marked) != 1)
+                begin, end = marked[np.append(0, cut + 1)], marked[np.append(cut, len(marked) - 1)] + cfg.min_words
+                found += [(s, e, later) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        return found
+    at = at[np.lexsort((start[at], grams[at]))]
+    size = count[at] + cfg.min_words - 1
     ends = np.cumsum(size)
-    at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(start, size)
-    row, first, end, later = share_stretches(gram, np.arange(len(order)), head, count, np.zeros(len(order), bool), code[at], np.concatenate(([0], ends)), cfg)
-    found: list[tuple[int, int, bool]] = []
-    for s, e, is_later in sorted(zip((start[row] + first).tolist(), (start[row] + end).tolist(), later.tolist(), strict=True), key=lambda r: (r[2], r[0], r[1])):
-        if found and found[-1][2] == is_later and s <= found[-1][1]:
-            found[-1] = (found[-1][0], max(e, found[-1][1]), is_later)
+    cells = np.arange(ends[-1]) + np.repeat(start[at] - ends + size, size)
+    row, begin, upto, later = share_stretches(grams[at], np.arange(len(at)), head[at], count[at], twin[at], code[cells], np.append(0, ends), cfg)
+    return list(zip((start[at][row] + begin).tolist(), (start[at][row] + upto).tolist(), later.tolist(), strict=True))
+
+
+def own_repeats(text: str, keys: np.ndarray, places: np.ndarray, cfg: Passages) -> list[tuple[int, int, bool]]:
+    """(first word, end, later) of passages that a text repeats in itself. Its suffixes are compared as those
+    of several documents are: own texts that are alike are repeats as a whole, and of each different one of
+    a gram the first is compared by words."""
+    order = np.lexsort((places[:, 0], keys[:, 2], keys[:, 1], keys[:, 0]))
+    key, (start, head, count) = keys[order], places[order].T
+    same = key[1:] == key[:-1]
+    old_class, old_gram = np.append(False, same.all(axis=1)), np.append(False, same[:, 0])
+    if not old_gram.any():
+        return []
+    first = ~old_class
+    twin = first & np.append(old_class[1:], False)
+    grams = np.cumsum(~old_gram) - 1
+    shared = first & (np.bincount(grams, weights=first)[grams] > 1)
+    end = start + count + cfg.min_words - 1
+    whole = old_class | (twin & ~shared)
+    found = list(zip(start[whole].tolist(), end[whole].tolist(), old_class[whole].tolist(), strict=True))
+    if shared.any():
+        found += _stretches_of_one(text, np.flatnonzero(shared), grams, start, head, count, twin, cfg)
+    out: list[tuple[int, int, bool]] = []
+    for s, e, is_later in sorted(found, key=lambda r: (r[2], r[0], r[1])):
+        if out and out[-1][2] == is_later and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), is_later)
         else:
-            found.append((s, e, is_later))
-    return found
+            out.append((s, e, is_later))
+    return out
 
 
 def _referred(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
