@@ -129,14 +129,26 @@ def closed_windows(spark, sf_dir):
     return _in_two(spark, sf_dir, _folder(spark, "closed"), lambda s: stream_windows.fixed(s, "ts", "6 hours", "1 day", sums, ["user_id"]))
 
 
+def _sessions_sql(rows: str) -> str:
+    """Sessions of rows (user_id, ts, value), each row with what its session is."""
+    return f"""SELECT *, min(ts) OVER s AS window_start, max(ts) OVER s + INTERVAL 8 HOUR AS window_end, count(*) OVER s AS n, sum(value) OVER s AS sum FROM (
+        SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (
+            SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR, true) AS new FROM {rows}))
+        WINDOW s AS (PARTITION BY user_id, k)"""
+
+
+# sessions that the first part has closed stay as they are, whatever comes near them
 @query(f"""
-    WITH {_PARTS}, kept AS (SELECT user_id, ts, value, upto FROM ev, mark WHERE first OR ts + INTERVAL 8 HOUR > before),
-    cut AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 8 HOUR, true) AS new FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    numbered AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM cut),
-    runs AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 8 HOUR AS window_end, count(*) AS n, round(sum(value), 4) AS total, any_value(upto) AS upto FROM numbered GROUP BY user_id, k)
-    SELECT user_id, window_start, window_end, n, total FROM runs WHERE window_end <= upto""")
+    WITH {_PARTS}, early AS (SELECT * EXCLUDE (new, k) FROM ({_sessions_sql("(SELECT user_id, ts, value FROM ev WHERE first)")})),
+    gone AS (SELECT early.* FROM early, mark WHERE window_end <= before),
+    rest AS (
+        SELECT user_id, ts, value FROM early, mark WHERE window_end > before
+        UNION ALL SELECT user_id, ts, value FROM ev, mark WHERE NOT first AND ts + INTERVAL 8 HOUR > before),
+    late AS (SELECT l.* EXCLUDE (new, k) FROM ({_sessions_sql("rest")}) l, mark WHERE window_end <= upto)
+    SELECT DISTINCT user_id, window_start, window_end, n, round(sum, 4) AS total FROM (SELECT * FROM gone UNION ALL SELECT * FROM late)""")
 def closed_sessions(spark, sf_dir):
-    """Sessions of users; late are rows whose own session, had they been alone, would have been closed."""
+    """Sessions of users; late are rows whose own session, had they been alone, would have been closed. What has
+    been given out takes no more rows."""
     sums = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
     return _in_two(spark, sf_dir, _folder(spark, "sessions"), lambda s: stream_windows.sessions(s, "ts", "8 hours", "1 day", sums, ["user_id"]))
 
@@ -208,11 +220,12 @@ def sql_sliding_window(spark, sf_dir):
     return spark.sql(f"SELECT user_id, pos, w[0] AS a, w[1] AS b, w[2] AS c FROM sliding_window(TABLE({name}) PARTITION BY user_id ORDER BY (pos), 'value', 3)")
 
 
-@query(catalogue.ORACLE_SQL["discounted_return"])
+# over the root of two there are no ties to round, as hundredths times powers of 0.99 have
+@query(f"WITH {BY_USER} SELECT event_id, round({catalogue._RETURN.format('PARTITION BY user_id ')} / sqrt(2), 5) AS scaled_return FROM ev")
 def sql_discounted_return(spark, sf_dir):
     tables.register(spark)
     name = _view(events(spark, sf_dir, "value", by=("user_id",)).select("user_id", "event_id", "pos", "value"))
-    return spark.sql(f"SELECT event_id, round(ret, 4) AS ret FROM discounted_return(TABLE({name}) PARTITION BY user_id ORDER BY (pos DESC), 'value', {catalogue.GAMMA})")
+    return spark.sql(f"SELECT event_id, round(ret / sqrt(2), 5) AS scaled_return FROM discounted_return(TABLE({name}) PARTITION BY user_id ORDER BY (pos DESC), 'value', {catalogue.GAMMA})")
 
 
 @query(catalogue.ORACLE_SQL["weight_entropy"])

@@ -29,7 +29,8 @@ def fixed(stream: DataFrame, time: str, width: str, delay: str, aggregates: Sequ
 
 def sessions(stream: DataFrame, time: str, gap: str, delay: str, aggregates: Sequence[Column], by: Sequence[str]) -> DataFrame:
     """(by, start, end, aggregates) of runs of rows of a key that are less than ``gap`` apart; end is ``gap`` after
-    the last row."""
+    the last row. A row is late by its own ``gap``, as if it were alone; one that isn't, but lies near a session
+    that has been given out, begins another."""
     return _aggregated(stream, F.session_window(time, gap), time, delay, by, aggregates)
 
 
