@@ -395,11 +395,15 @@ def test_op6_fit_equals_plain_dual_coordinate_descent():
         assert model.score(rows[i]) == pytest.approx(1 / (1 + math.exp(-(model.slope * m + model.shift))))
 
 
-def test_op6_bounds_the_sample(spark):
+def test_op6_bounds_the_sample(spark, monkeypatch):
     docs = frame(spark, [(i, f"word{i} " * (i + 1) + "x y z") for i in range(40)] * 3, clashes=False)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
-    for cfg in (nbsvm.NbSvm(max_rows=10), nbsvm.NbSvm(max_indicators=60)):
+    seen = []
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y, cfg, real=nbsvm.fit: seen.append(rows) or real(rows, y, cfg))
+    for cfg in (nbsvm.NbSvm(max_rows=10), nbsvm.NbSvm(max_indicators=60), nbsvm.NbSvm()):
         assert nbsvm.classify(docs, labels, cfg).count() == 120
+    few, small, every = seen
+    assert len(few) <= 10 and 0 < len(small) < len(every) and sum(map(len, small)) <= 60 < sum(map(len, every)) and len(every) > 20
 
 
 def test_op6_odd_rows(spark):
@@ -811,8 +815,18 @@ def test_stages_take_odd_rows_and_no_rows(spark):
     want = {"exact": len({t or "" for _, t in odd_rows()}), "packed": None}
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, docs, SMALL)
-        if name != "packed":
-            assert after.columns == docs.columns and not set(texts(after)) - set(odd_rows()) or name == "passages"
+        if name == "packed":
+            tokens = Counter()
+            for r in after.collect():
+                tokens[r.doc_id] += r.length
+            want_ids = Counter()
+            for d, t in odd_rows():
+                want_ids[d] += len(bpe_ids(t, 1)) // 4
+            assert tokens == want_ids
+        else:
+            assert after.columns == docs.columns
+            if name != "passages":  # which cuts texts
+                assert not set(texts(after)) - set(odd_rows())
         if want.get(name):
             assert after.count() == want[name]
         assert stage(spark, docs.limit(0), SMALL).count() == 0

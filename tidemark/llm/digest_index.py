@@ -12,7 +12,8 @@ lies in the warehouse, or at ``location``, which has to be a folder that all exe
 Defined results: null text counts as empty; of equal texts in a batch, the row with the largest
 doc_id stays, unless the index already had the text, then none stays; rows alike in doc_id and text
 are decided alike, and ``deduplicate`` returns one of them; a null doc_id stays only where its text
-has no other; an empty batch leaves the index as it was; further columns are carried along.
+has no other; an empty batch leaves the index as it was; texts of any length are one digest; further
+columns are carried along.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ indicators come to the driver. Every whole text is scored, without a shuffle.
 
 Defined results: null text counts as empty and, like every text without a token, has the bias' score;
 a doc_id with several labels has the least, and of several texts the least is learnt from; null labels are not learnt from; with no label of a class
-every score is the share of label 1 among the sample (0.5 if there is none); further columns of the
-documents are not looked at.
+every score is the share of label 1 among the sample (0.5 if there is none); texts of any length are
+scored whole; rows that repeat are scored each; further columns of the documents are not looked at; an
+empty table gives no row.
 """
 
 from __future__ import annotations
