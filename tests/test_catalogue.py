@@ -29,6 +29,11 @@ def test_stream_scores_each_row_but_the_last_of_a_key(spark):
     assert sorted((r.key, r.reward) for r in catalogue.stream_rewards(spark, SMALL).collect()) == sorted(want)
 
 
+def test_losses_make_a_table(spark):
+    rows = catalogue.QUERIES["autoencoder_training"](spark, SMALL).orderBy("epoch").collect()
+    assert [r.epoch for r in rows] == [0, 1, 2] and all(type(r.mse) is float and 0 < r.mse < 1 for r in rows)
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 

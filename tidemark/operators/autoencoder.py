@@ -119,7 +119,7 @@ def fit(rows: DataFrame, params: AutoencoderParams = AutoencoderParams(), column
                     continue
                 lost, values = lost + found[0], values + found[1]
                 [layers] = shaped(adam.step(flat([layers]), found[2:] / found[1]), [layers])
-            losses.append(lost / values)
+            losses.append(float(lost / values))
         return Autoencoder(layers[:n], layers[n:]), losses
     finally:
         work.drop()
