@@ -196,3 +196,20 @@ def test_a_run_evolves(spark, tmp_path, monkeypatch):
     assert report["n_connections"] >= 3 and report["training_fitness"] > 0 and report["loss"] > 0
     assert cli.main([path("x.csv"), "-ytf", path("y.csv"), "--no-headers", "-lm", path("net"), "-ef", path("out")]) == 0
     assert "population" in registry.get_plugin_params("optimizers", "neat") and builtin.neat_p2p.__doc__
+
+
+def test_errors_of_repeated_rows_and_any_genome_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(0, 1, 2).tolist(), float(rng.normal())) for _ in range(7)]
+    many = spark.createDataFrame(rows * 40 + rows[:1] * 500 + [(None, 1.0), ([1.0, 2.0], None)], "state array<double>, y double").repartition(5)
+    links = [(g, k, k, 3, 0.0, 1.0, float(rng.normal()), k != 1 or g != 7) for g in (-5, 7, 1 << 40) for k in range(3)]
+    genes = spark.createDataFrame(links, f"genome_id long, {evolution.CONNECTION}")
+    x, y = (np.array([r[k] for r in rows * 40 + rows[:1] * 500]) for k in (0, 1))
+    passes = []
+    monkeypatch.setattr(evolution, "_adder", lambda sent, adder=evolution._adder: passes.append(1) or adder(sent))
+    found = evolution.errors(many, genes, 2, 1).collect()
+    assert len(passes) == 1 and {r.genome_id for r in found} == {-5, 7, 1 << 40}
+    for r in found:
+        graph = evolution.graphs(genes.filter(f"genome_id = {r.genome_id}"), 2, 1)[r.genome_id]
+        gap = graph.evaluate(x)[:, 0] - y
+        assert r.n == 780 and r.mae == pytest.approx(np.abs(gap).mean()) and r.mse == pytest.approx((gap * gap).mean())

@@ -6,8 +6,8 @@ node that splits an innovation is the same one, in every genome and generation.
 outputs 1, a split the middle of what it splits; connections lead to greater depths only, so networks
 never have cycles and no graph is searched.
 
-A generation is joins and group-bys: fitness from one pass over the rows (each task adds up every genome's
-errors; what is broadcast is a block of genomes of bounded size), distances to the species'
+A generation is joins and group-bys: fitness from one pass over the distinct rows (each task adds up every
+genome's errors; what is broadcast is a block of genomes of bounded size), distances to the species'
 representatives by a join on innovation, ranks within a species by a range sort, crossover by a join of two
 parents' rows on innovation, and mutations by hashes of (seed, generation, genome, place), so that a seed
 repeats its run. Only the species' totals, a row each, come to the driver, which deals out the offspring.
@@ -31,6 +31,7 @@ from .position import with_position
 CONNECTION = "innovation long, src long, dst long, src_depth double, dst_depth double, weight double, enabled boolean"
 COLUMNS = [c.split()[0] for c in CONNECTION.split(", ")]
 BLOCK = 1 << 20  # connections that are broadcast at once
+ROWS, TEAM = 1024, 64  # rows and genomes of one shape that are evaluated at once
 BEST = 1e300  # a fitness that stands for an infinite one in sums
 Fitness = Callable[[Column, Column], Column]  # mean absolute and mean squared error -> fitness, larger is better
 
@@ -80,19 +81,30 @@ class Graph:
 
     def evaluate(self, x: np.ndarray) -> np.ndarray:
         """Outputs (rows, outputs): each node is the tanh of what its enabled connections bring."""
+        value = self._values(x, [c.weight for c in self.connections])
+        nothing = np.zeros(len(x))
+        return np.column_stack([value.get(self.inputs + 1 + k, nothing) for k in range(self.outputs)])
+
+    def first_outputs(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """First outputs (rows, genomes) of genomes that have these connections with weights of their own."""
+        value = self._values(x[:, :, None], list(weights.T))
+        return np.broadcast_to(value.get(self.inputs + 1, np.zeros((1, 1))), (len(x), len(weights)))
+
+    def _values(self, x: np.ndarray, weights: Sequence) -> dict[int, np.ndarray]:
+        """What each node gives; weights: of each connection, a number or one of each genome."""
         depth = {c.dst: c.dst_depth for c in self.connections}
-        into: dict[int, list[Connection]] = {}
-        for c in self.connections:
+        into: dict[int, list[tuple]] = {}
+        for c, w in zip(self.connections, weights, strict=True):
             if c.enabled:
-                into.setdefault(c.dst, []).append(c)
-        value = {i: x[:, i] for i in range(self.inputs)} | {self.inputs: np.ones(len(x))}
-        nothing = np.zeros(len(x))
+                into.setdefault(c.dst, []).append((c.src, w))
+        value = {i: x[:, i] for i in range(self.inputs)} | {self.inputs: np.ones((len(x), *x.shape[2:]))}
+        nothing = np.zeros((len(x), *x.shape[2:]))
         for node in sorted(depth, key=lambda n: (depth[n], n)):
             total = nothing
-            for c in into.get(node, ()):
-                total = total + c.weight * value.get(c.src, nothing)
+            for src, w in into.get(node, ()):
+                total = total + w * value.get(src, nothing)
             value[node] = np.tanh(total)
-        return np.column_stack([value.get(self.inputs + 1 + k, nothing) for k in range(self.outputs)])
+        return value
 
 
 def _unit(*of) -> Column:
@@ -140,15 +152,15 @@ def predict(df: DataFrame, graph: Graph, features: str, output: str = "Predictio
 
 def errors(frame: DataFrame, connections: DataFrame, inputs: int, outputs: int) -> DataFrame:
     """(genome_id, n, mae, mse) of every genome's first output against y, over all rows (state, y); rows
-    with a null state or y don't count. A block of genomes, BLOCK connections at most, is broadcast at a
-    time; a usual population is one block, and one pass."""
-    sizes = connections.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
-    facts = sizes.agg(F.max("genome_id").alias("last"), F.max("n").alias("most")).first()
+    with a null state or y don't count. Equal rows are scored once and count as often as they come. A block
+    of genomes, about BLOCK connections, is broadcast at a time; a usual population is one block, and one
+    pass."""
     rows = frame.select("state", "y").filter("state IS NOT NULL AND y IS NOT NULL")
-    step = max(1, BLOCK // max(1, facts.most or 1))
+    rows = rows.groupBy("state", "y").agg(F.count(F.lit(1)).alias("times"))
+    blocks = -(-connections.count() // BLOCK)
     parts = []
-    for begin in range(0, (facts.last if facts.last is not None else -1) + 1, step):
-        own = connections.filter((F.col("genome_id") >= begin) & (F.col("genome_id") < begin + step))
+    for block in range(blocks):
+        own = connections.filter(F.pmod(F.xxhash64("genome_id"), F.lit(blocks)) == block)
         sent = frame.sparkSession.sparkContext.broadcast(graphs(own, inputs, outputs))
         parts.append(rows.mapInPandas(_adder(sent), "genome_id long, n long, a double, s double"))
     if not parts:
@@ -162,15 +174,23 @@ def _adder(sent):
         import pandas as pd
 
         block = sent.value
+        alike: dict[tuple, list[int]] = {}  # genomes, by number, whose graphs differ in weights alone
+        for k, graph in enumerate(block.values()):
+            alike.setdefault(tuple((c.src, c.dst, c.dst_depth, c.enabled) for c in graph.connections), []).append(k)
+        every = list(block.values())
+        teams = [(every[own[0]], np.array(own), np.array([[c.weight for c in every[k].connections] for k in own])) for own in alike.values()]
         n, total = 0, np.zeros((len(block), 2))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y = np.stack(pdf["state"].to_numpy()), pdf["y"].to_numpy()
-            n += len(y)
-            for k, graph in enumerate(block.values()):
-                gap = graph.evaluate(x)[:, 0] - y
-                total[k] += np.abs(gap).sum(), (gap * gap).sum()
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                x, y, times = np.stack(part["state"].to_numpy()), part["y"].to_numpy()[:, None], part["times"].to_numpy()
+                n += int(times.sum())
+                for graph, own, weights in teams:
+                    for first in range(0, len(own), TEAM):
+                        gap = np.abs(graph.first_outputs(x, weights[first : first + TEAM]) - y)
+                        mine = own[first : first + TEAM]
+                        total[mine, 0] += times @ gap
+                        total[mine, 1] += times @ (gap * gap)
         if n:
             yield pd.DataFrame({"genome_id": list(block), "n": n, "a": total[:, 0], "s": total[:, 1]})
 
