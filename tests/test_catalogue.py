@@ -39,3 +39,16 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert [r.part for r in e.entry(spark).orderBy("part").collect()] == ["prune", "stabilize", "train"]
+
+
+@pytest.mark.parametrize("name", ["asof_next_purchase", "asof_last_error"])
+def test_ties_in_time_go_by_event(spark, tmp_path, name):
+    """Of rows at the same time the SQL takes any; the query takes one that is named."""
+    rows = [(0, "view", 0, 1), (9, "purchase", 5, 1), (4, "purchase", 5, 1), (7, "purchase", 5, 1), (3, "error", 6, 1), (8, "error", 6, 1), (5, "error", 6, 1), (6, "view", 7, 1)]
+    table = spark.createDataFrame([(i, kind, at, user, float(i)) for i, kind, at, user in rows], "event_id long, event_type string, at long, user_id long, value double")
+    table.selectExpr("event_id", "event_type", "timestamp_seconds(at) AS ts", "user_id", "value").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.event_id: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    if name == "asof_next_purchase":
+        assert {i: r.next_id for i, r in found.items()} == {0: 4}
+    else:
+        assert found[6].error_id == 8 and all(r.error_id in (None, 8) for r in found.values())

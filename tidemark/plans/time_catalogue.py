@@ -27,9 +27,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     SELECT l.event_id, r.event_id AS error_id, r.value AS error_value
     FROM events l ASOF LEFT JOIN e r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def asof_last_error(spark, sf_dir):
+    """Of a user's errors at the same time, between which the SQL leaves the choice open, the largest event_id counts."""
     rows = table(spark, sf_dir, "events")
     errors = rows.filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"), F.col("value").alias("error_value"))
-    return temporal.asof_join(rows.select("event_id", "user_id", "ts"), errors, "ts", by=["user_id"]).select("event_id", "error_id", "error_value")
+    return temporal.asof_join(rows.select("event_id", "user_id", "ts"), errors, "ts", by=["user_id"], ties=["error_id"]).select("event_id", "error_id", "error_value")
 
 
 @query("""
@@ -47,11 +48,12 @@ def asof_order_day(spark, sf_dir):
     FROM (SELECT * FROM events WHERE event_type = 'view') l ASOF JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.ts <= r.ts
     WHERE epoch_us(r.ts) - epoch_us(l.ts) <= 3600000000""")
 def asof_next_purchase(spark, sf_dir):
+    """Of purchases at the same time, between which the SQL leaves the choice open, the least event_id counts."""
     rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     views = rows.filter("event_type = 'view'").select("event_id", "at")
     bought = rows.filter("event_type = 'purchase'").select(F.col("event_id").alias("next_id"), F.col("at").alias("bought"))
     near = F.col("bought") - F.col("at") <= 3_600_000_000
-    found = temporal.asof_join(views, bought, "at", "bought", direction="forward", tolerance=near, how="inner")
+    found = temporal.asof_join(views, bought, "at", "bought", direction="forward", ties=["next_id"], tolerance=near, how="inner")
     return found.select("event_id", "next_id", (F.col("bought") - F.col("at")).alias("gap"))
 
 
