@@ -291,3 +291,16 @@ def test_a_stream_is_sent_once_over_restarts(spark, store, tmp_path):
     assert sent(handler) == list(range(30))
     with pytest.raises(Exception, match="query is missing"):
         stream.writeStream.format(remote.NAME).option("url", url).option("checkpointLocation", str(tmp_path / "other")).start().processAllAvailable()
+
+
+def test_rewards_of_a_table_of_several_files_and_missing_values(spark, duck, tmp_path):
+    from tidemark.plans import catalogue
+
+    from .conftest import SMALL, canonical
+
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("value", F.when(F.col("event_id") % 9 != 4, F.col("value")))
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.stream_rewards(spark, str(tmp_path)).select("key", "seq", "reward").collect()
+    sql = catalogue.ORACLE_SQL["stream_rewards"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.execute(f"SELECT key, seq, reward FROM ({sql})").fetchall()
+    assert want and canonical(found) == canonical(want)

@@ -475,7 +475,7 @@ def ppo_training(spark, sf_dir):
 def stream_rewards(spark, sf_dir):
     folder = f"{shared_root(spark)}/tidemark/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder of files
     rows = stream.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("value").alias("actual"), F.col("value").alias("predicted"))
     sink = rewards.step_rewards(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     sink.trigger(availableNow=True).start().awaitTermination()

@@ -13,7 +13,7 @@ STATE = "seq long, predicted double"
 
 def step_rewards(stream: DataFrame) -> DataFrame:
     """Rows key, seq, actual, predicted in: each prediction is scored when its key's next row arrives, by
-    1/|gap|, infinite where it is 0. Rows of a key have to arrive in order of seq over batches; within a
+    1/|gap|, infinite where it is 0, if that row's actual value is there. Rows of a key have to arrive in order of seq over batches; within a
     batch they are sorted."""
 
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
@@ -30,7 +30,8 @@ def step_rewards(stream: DataFrame) -> DataFrame:
             actual = rows["actual"].to_numpy()[1:]
         state.update((int(seq[-1]), float(predicted[-1])))
         gap = np.abs(actual - predicted[:-1])
+        known = ~np.isnan(actual)
         with np.errstate(divide="ignore"):
-            yield pd.DataFrame({"key": key[0], "seq": seq[:-1], "reward": 1 / gap})
+            yield pd.DataFrame({"key": key[0], "seq": seq[:-1][known], "reward": 1 / gap[known]})
 
     return stream.groupBy("key").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
