@@ -341,3 +341,17 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.main([path("x.csv"), "-ytf", path("y.csv"), "--no-headers", "-lm", path("net"), "-ef", path("out")]) == 0
     assert read_series(spark, path("out")).frame.count() == 10
     assert cli.main([]) == 1
+
+
+@pytest.mark.parametrize("name", ["series_reward", "lead_reward"])
+def test_rewards_before_missing_values_equal_sql(spark, duck, tmp_path, name):
+    from tidemark.plans import catalogue
+
+    from .conftest import SMALL, canonical
+
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("value", F.when(F.col("event_id") % 9 != 4, F.col("value")))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    names = sorted(found.columns)
+    sql = catalogue.ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert canonical(found.select(*names).collect()) == canonical(duck.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())

@@ -50,12 +50,12 @@ def episode(df: DataFrame, max_steps: int, by: Sequence[str] = (), name: str = "
 
 
 def step_rewards(df: DataFrame, actual: str, predicted: str, max_steps: int | None = None, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
-    """(by, pos, reward, done): the action at a row is scored against the row after it, the last one
-    against its own; 1/|gap|, infinite where it is 0."""
+    """(by, pos, reward, done): the action at a row is scored against the row after it, the last one, and
+    one before a missing value, against its own; 1/|gap|, infinite where it is 0."""
     over = ahead(by, name)
     rows = blocks(df.select(*by, name, actual, predicted), 1, by, name=name)
     rows = rows.withColumn("_next", F.lead(actual, 1).over(over)).withColumn("_last", F.lead(F.lit(1)).over(over).isNull()).filter("own")
-    seen = F.when(F.col("_last"), F.col(actual)).otherwise(F.col("_next"))
+    seen = F.coalesce(F.col("_next"), F.col(actual))
     done = F.col("_last") if max_steps is None else F.col("_last") | (F.col(name) + 1 == max_steps)
     out = rows.select(*by, name, inverse(F.abs(seen - F.col(predicted))).alias("reward"), done.alias("done"))
     return out if max_steps is None else out.filter(F.col(name) < max_steps)
