@@ -830,3 +830,29 @@ def test_stages_take_odd_rows_and_no_rows(spark):
         if want.get(name):
             assert after.count() == want[name]
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_stage_checks_what_the_ring_proposes(spark, monkeypatch):
+    """The ring links fingerprints first; of its links only those alike enough by their sets count."""
+    import corpus_pipeline
+    from tidemark.llm import jaccard_join, simhash
+
+    words = [f"w{i}" for i in range(400)]
+    near = words[:200] + ["other"] + words[201:]
+    far = [f"v{i}" for i in range(90)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, " ".join(far[:45]))], "doc_id long, text string")
+    proposed = []
+
+    def ring(distinct, keep):
+        found = real(distinct, keep=keep)
+        proposed.append(distinct.count())
+        prints = [r.fp for r in distinct.collect()]
+        every = [(a, b) for a in prints for b in prints if a < b]  # all pairs, most of them wrong
+        return found.unionByName(spark.createDataFrame(every, "a long, b long"))
+
+    real = simhash.links
+    monkeypatch.setattr(simhash, "links", ring)
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert proposed == [5] and kept == {1, 3, 4, 5}
+    sets = jaccard_join.shingle_sets([" ".join(words), " ".join(near)], 5)
+    assert bin(jaccard_join._print(sets[0]) ^ jaccard_join._print(sets[1])).count("1") <= 12

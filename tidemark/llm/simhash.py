@@ -212,9 +212,10 @@ def hex_fingerprint(fp: str = "fp"):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: Alike | None = None) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id. Rows without
     a doc_id can't be told apart by it and all stay; so do rows that share the least doc_id. alike: groups
-    are linked by that similarity of shingle sets, exactly, instead of by MAX_BITS bits of fingerprints."""
+    are linked by that similarity of shingle sets, exactly: the ring's links of fingerprints are checked by it,
+    and pairs that are alike though more than MAX_BITS bits apart come from the sets' rare shingles."""
     mine = free_name(docs, "stays_id")
-    groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike) if alike else near_duplicates(docs, id_col, text_col)
+    groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike, links) if alike else near_duplicates(docs, id_col, text_col)
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).join(stays.hint("merge"), F.col(id_col).cast("long") == F.col(mine), "left_semi")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
