@@ -304,3 +304,36 @@ def test_rewards_of_a_table_of_several_files_and_missing_values(spark, duck, tmp
     sql = catalogue.ORACLE_SQL["stream_rewards"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
     want = duck.execute(f"SELECT key, seq, reward FROM ({sql})").fetchall()
     assert want and canonical(found) == canonical(want)
+
+
+def test_rewards_of_odd_values_and_times(spark, duck, tmp_path):
+    """NaN and infinities are scored as in the SQL; a row without a time is its user's last; ties go by event."""
+    from tidemark.plans import catalogue
+
+    from .conftest import SMALL
+
+    odd = "CASE event_id % 9 WHEN 4 THEN double('NaN') WHEN 5 THEN double('inf') WHEN 6 THEN NULL WHEN 7 THEN 0 ELSE value END"
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").selectExpr("event_id", "CASE WHEN event_id NOT IN (0, 7, 11) THEN ts END AS ts", "event_id div 25 AS user_id", "event_type", f"{odd} AS value")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.stream_rewards(spark, str(tmp_path)).select("key", "seq", "reward").collect()
+    sql = catalogue.ORACLE_SQL["stream_rewards"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'").replace("ORDER BY ts", "ORDER BY ts, event_id")
+    want = duck.execute(f"SELECT key, seq, reward FROM ({sql})").fetchall()
+    assert len(want) > 700 and any(x != x for *_, x in want if x is not None)
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+    tied = spark.createDataFrame([(i, float(i)) for i in (8, 2, 6, 4)], "event_id long, value double").selectExpr("event_id", "timestamp_ntz'2024-01-01' AS ts", "1L AS user_id", "value")
+    tied.repartition(4).write.parquet(str(tmp_path / "tied" / "events.parquet"))
+    assert [r.reward for r in catalogue.stream_rewards(spark, str(tmp_path / "tied")).collect()] == [0.5] * 3
+
+
+def test_rewards_keep_odd_values_between_batches(spark, tmp_path):
+    from tidemark.streaming import rewards
+    from tidemark.streaming.windows import write
+
+    schema = "key string, seq long, actual double, predicted double"
+    found = []
+    for k, (actual, predicted) in enumerate([(1.0, float("nan")), (float("nan"), None), (2.0, float("inf")), (float("inf"), 3.0), (None, 5.0), (4.0, 1.0)]):
+        spark.createDataFrame([("a", k, actual, predicted)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        write(rewards.step_rewards(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    found = {r.seq: r.reward for r in spark.read.schema(rewards.RESULT).parquet(f"{tmp_path}/out").collect()}
+    assert found == {0: float("inf"), 1: None, 2: float("inf"), 4: 1.0}

@@ -473,10 +473,11 @@ def ppo_training(spark, sf_dir):
     SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS seq, CASE WHEN v2 = value THEN 'infinity'::DOUBLE ELSE 1 / abs(v2 - value) END AS reward
     FROM seen WHERE v2 IS NOT NULL""")
 def stream_rewards(spark, sf_dir):
+    """Of a user's events at the same time, between which the SQL leaves the order open, the least event_id comes first."""
     folder = f"{shared_root(spark)}/tidemark/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may name a file or a folder of files
-    rows = stream.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("value").alias("actual"), F.col("value").alias("predicted"))
-    sink = rewards.step_rewards(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    rows = stream.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("value").alias("actual"), F.col("value").alias("predicted"), "event_id")
+    sink = rewards.step_rewards(rows, ties=["event_id"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rewards.RESULT).parquet(f"{folder}/out")
