@@ -52,3 +52,12 @@ def test_ties_in_time_go_by_event(spark, tmp_path, name):
         assert {i: r.next_id for i, r in found.items()} == {0: 4}
     else:
         assert found[6].error_id == 8 and all(r.error_id in (None, 8) for r in found.values())
+
+
+@pytest.mark.parametrize("name", ["dense_position", "lead_reward", "series_reward", "discounted_return"])
+def test_rows_without_a_time_or_an_id_come_last(spark, duck, tmp_path, name):
+    """As the SQL has them: nulls come after all other rows."""
+    rows = spark.read.parquet(f"{SMALL}/events.parquet").selectExpr("nullif(event_id, 40) AS event_id", "CASE WHEN event_id % 9 <> 4 THEN ts END AS ts", "user_id", "event_type", "value")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    sql = queries.ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    same(queries.QUERIES[name](spark, str(tmp_path)), duck, sql)

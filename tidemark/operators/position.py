@@ -21,13 +21,16 @@ def _same(a: Sequence[str], b: Sequence[str]) -> Column:
     return out
 
 
-def with_position(df: DataFrame, *order: str, by: Sequence[str] = (), name: str = "pos") -> DataFrame:
-    """df with the 0-based rank of each row in the given order (within each group of ``by``).
+def with_position(df: DataFrame, *order: str, by: Sequence[str] = (), name: str = "pos", nulls: str = "first") -> DataFrame:
+    """df with the 0-based rank of each row in the given order (within each group of ``by``). nulls: whether
+    rows with a null in a column of the order come ``first`` or ``last`` by it.
 
     One range shuffle, no window over the whole table: rows are numbered within sorted partitions,
     the sorted table is written once, and the partitions' sizes (a row each) give the offsets. Ties
     are numbered in the order in which they were written."""
-    keys = [*by, *order]
+    if nulls not in ("first", "last"):
+        raise ValueError(f"unknown place of nulls {nulls}")
+    keys = [*by, *[F.col(c).asc_nulls_last() if nulls == "last" else F.col(c) for c in order]]
     sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     kept = materialise(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)

@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
     kept = dict.fromkeys([*by, "ts", "event_id", *columns])
-    return position.with_position(table(spark, sf_dir, "events").select(*kept), "ts", "event_id", by=by)
+    return position.with_position(table(spark, sf_dir, "events").select(*kept), "ts", "event_id", by=by, nulls="last")
 
 
 ORDERED = "ev AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)"
@@ -79,14 +79,14 @@ def dense_position(spark, sf_dir):
                  CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation""")
 def csv_roundtrip(spark, sf_dir):
     path = f"{shared_root(spark)}/tidemark/csv-{uuid.uuid4().hex}"
-    write_series(position.with_position(table(spark, sf_dir, "nation"), "n_nationkey"), path)
+    write_series(position.with_position(table(spark, sf_dir, "nation"), "n_nationkey", nulls="last"), path)
     return read_series(spark, path).frame
 
 
 @query("""SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS pos, CAST(r_regionkey AS DOUBLE) AS col_0, CAST(NULL AS DOUBLE) AS col_1 FROM region""")
 def csv_headerless(spark, sf_dir):
     path = f"{shared_root(spark)}/tidemark/csv-{uuid.uuid4().hex}"
-    write_series(position.with_position(table(spark, sf_dir, "region"), "r_regionkey"), path, headers=False)
+    write_series(position.with_position(table(spark, sf_dir, "region"), "r_regionkey", nulls="last"), path, headers=False)
     return read_series(spark, path, headers=False).frame
 
 
@@ -143,7 +143,7 @@ def coerced_cells(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice FROM orders")
 def target_by_ordinal(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    return position.with_position(rows, "o_orderkey").select("pos", rows.columns[3])
+    return position.with_position(rows, "o_orderkey", nulls="last").select("pos", rows.columns[3])
 
 
 @query(f"WITH {ORDERED} SELECT y.pos, x.event_id, y.value FROM ev x JOIN ev y ON x.pos - 5 = y.pos")
@@ -336,7 +336,7 @@ def advantage(spark, sf_dir):
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
     SELECT conv_id, pos, turn, role, text FROM t UNION ALL SELECT conv_id, n, turn, role, text FROM t WHERE pos = n - 1 AND n <> 4""")
 def trajectory_pad(spark, sf_dir):
-    turns = position.with_position(table(spark, sf_dir, "conversations"), "turn", "role", "text", by=("conv_id",))
+    turns = position.with_position(table(spark, sf_dir, "conversations"), "turn", "role", "text", by=("conv_id",), nulls="last")
     return windows.pad(turns, 4, ["conv_id"]).select("conv_id", "pos", "turn", "role", "text")
 
 
