@@ -856,3 +856,22 @@ def test_near_stage_checks_what_the_ring_proposes(spark, monkeypatch):
     assert proposed == [5] and kept == {1, 3, 4, 5}
     sets = jaccard_join.shingle_sets([" ".join(words), " ".join(near)], 5)
     assert bin(jaccard_join._print(sets[0]) ^ jaccard_join._print(sets[1])).count("1") <= 12
+
+
+def test_ring_gives_the_near_stage_all_pairs_within_its_bits(spark):
+    """Not only links that connect them: a pair counts though its ends are linked to others, or not alike to these."""
+    from tidemark.llm import jaccard_join
+
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, 30).tolist()
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for f in fps for _ in range(7)]
+    blank = bytes(jaccard_join.BITS // 8)
+    rows = [(i, f, i if i % 5 else 0, 40, blank) for i, f in enumerate(fps)]
+    facts = spark.createDataFrame(rows, "cls long, fp long, comp long, size int, bits binary")
+    cfg = jaccard_join.Alike(block=4)
+    keyed = jaccard_join._ring_elements(facts, simhash.ring_keys)
+    got = jaccard_join._tile_pairs(jaccard_join._tiled(keyed, facts, cfg), cfg, False, simhash.MAX_BITS)
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if rows[i][2] != rows[j][2] and (fps[i] ^ fps[j]).bit_count() <= 4}
+    assert len(want) > 400 and {tuple(r) for r in got.collect()} == want
+    forest = simhash.links(facts.select("fp").distinct()).count()
+    assert forest < len(want)  # what the stage compared before

@@ -96,14 +96,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def ring_keys(distinct: DataFrame) -> DataFrame:
-    """18 rows per fingerprint: place, masked bits (the key), fp."""
+def ring_keys(distinct: DataFrame, *more: str) -> DataFrame:
+    """18 rows per fingerprint: place, masked bits (the key), fp; more: columns that are carried along."""
     keys = [
         F.struct(F.lit(2 * i + j).cast("byte").alias("place"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits"))
         for i, _, *masks in RING
         for j, mask in enumerate(masks)
     ]
-    return distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.place", "k.bits", "fp")
+    return distinct.select("fp", *more, F.explode(F.array(*keys)).alias("k")).select("k.place", "k.bits", "fp", *more)
 
 
 def _forest(left: np.ndarray, right: np.ndarray | None, place: int) -> list[tuple[int, int]]:
@@ -212,10 +212,10 @@ def hex_fingerprint(fp: str = "fp"):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: Alike | None = None) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id. Rows without
     a doc_id can't be told apart by it and all stay; so do rows that share the least doc_id. alike: groups
-    are linked by that similarity of shingle sets, exactly: the ring's links of fingerprints are checked by it,
-    and pairs that are alike though more than MAX_BITS bits apart come from the sets' rare shingles."""
+    are linked by that similarity of shingle sets, exactly: all pairs within MAX_BITS bits come from the ring of
+    fingerprints, those that are alike though further apart from the sets' rare shingles, and the sets decide."""
     mine = free_name(docs, "stays_id")
-    groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike, links) if alike else near_duplicates(docs, id_col, text_col)
+    groups = jaccard_join.near_duplicates(docs, id_col, text_col, alike, links, ring_keys, MAX_BITS) if alike else near_duplicates(docs, id_col, text_col)
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).join(stays.hint("merge"), F.col(id_col).cast("long") == F.col(mine), "left_semi")
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
